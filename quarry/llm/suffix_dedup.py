@@ -14,9 +14,9 @@ first place of each passage only, so copies don't make it grow.
 
 Sampling before: a passage of ``min_words`` words holds at least one *anchor*, a
 run of ``min_words + 1 - window`` words whose hash is the smallest among
-``window`` neighbours. Only suffixes whose every anchor within ``min_words``
-words comes at least twice in the corpus can repeat, and only they enter the
-arrays. This is exact: no repeated suffix is lost.
+``window`` neighbours. A suffix can repeat only if the smallest of the anchors
+within its first ``min_words`` words comes at least twice in the corpus, and only
+such suffixes enter the arrays. This is exact: no repeated suffix is lost.
 
 A repeat of any length is found whole, since each of its suffixes down to
 ``min_words`` words is found. The earliest occurrence, by id and position, stays.
@@ -100,16 +100,13 @@ def suffix_table(docs: DataFrame, repeated: DataFrame, p: Params) -> DataFrame:
             known = b.column(2)
             for d, doc_id in enumerate(b.column(0).to_pylist()):
                 h = w.hash[w.first[d] : w.first[d + 1]]
-                at, _ = anchors(h, p)
-                if not len(at):
+                if len(h) < p.min_words:
                     continue
-                lone = np.setdiff1d(at, known[d].values.to_numpy())
-                # A suffix may repeat unless one of the anchors at its first `window` words stands alone.
-                n = len(h) - p.min_words + 1
-                spoilt = np.zeros(n + 1, np.int32)
-                np.add.at(spoilt, np.minimum(np.maximum(lone - p.window + 1, 0), n), 1)
-                np.add.at(spoilt, np.minimum(lone + 1, n), -1)
-                ok = np.flatnonzero(np.cumsum(spoilt[:n]) == 0)
+                # A suffix may repeat only if the smallest gram within its first min_words words is a repeated anchor.
+                g = grams(h, p.min_words + 1 - p.window)
+                again = np.sort(g[known[d].values.to_numpy()])
+                low = sliding(np.minimum, g, p.window)
+                ok = np.flatnonzero(again[np.minimum(np.searchsorted(again, low), len(again) - 1)] == low)
                 if len(ok):
                     full = grams(h, p.min_words)
                     out[0].append((h[ok] >> U64(32)).astype(np.uint32).view(np.int32))
@@ -164,7 +161,7 @@ def matches(docs: DataFrame, p: Params = Params()) -> DataFrame:
     repeated = scratch.write(repeated, "anchors")
     bounds = repeated.approxQuantile("doc_id", [i / p.batches for i in range(1, p.batches)], 0.01)
     suffixes = suffix_table(docs, repeated, p)
-    batch = sum((F.col("doc_id") > F.lit(int(x)) for x in ()), F.lit(0))
+    batch = F.lit(0)
     for x in sorted(set(int(x) for x in bounds or [])):
         batch = batch + (F.col("doc_id") > F.lit(x)).cast("int")
     table = scratch.write(suffixes.withColumn("batch", batch), "suffixes", ["batch"])
