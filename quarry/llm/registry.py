@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import chat, mixing, near_dedup, packing, quality, suffix_dedup
+from quarry.llm import chat, hamming, language, licenses, mixing, near_dedup, packing, quality, suffix_dedup, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,11 +31,27 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"))
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_table(spark, sf_dir, "documents"))
+
+
+def op9_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.expand(_table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {q.__name__: q for q in (op1_packing, op2_near_dedup, op3_mixing, op4_suffix_dedup, op5_quality, op10_chat)}
+QUERIES = {q.__name__: q for q in (op1_packing, op2_near_dedup, op3_mixing, op4_suffix_dedup, op5_quality, op6_token_counts, op7_licenses, op8_language, op9_hamming, op10_chat)}
 
 ORACLES: dict[str, str] = {}
 
@@ -108,3 +124,30 @@ o AS (SELECT *, row_number() OVER w - 1 AS n_context,
 SELECT conv_id, turn, n_context, prompt, text || '<|end|>' || chr(10) AS target, length(prompt) AS trainable_from
 FROM o WHERE role = 'assistant' AND text <> ''
 """
+
+ORACLES["op9_hamming"] = """
+WITH c AS (SELECT vec_id, min(array_to_string(list_transform(range(1, 65), lambda i: CASE WHEN embedding[65 - i] > 0 THEN '1' ELSE '0' END), '')) AS code
+           FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL GROUP BY vec_id),
+d AS (SELECT a.vec_id AS query_id, b.vec_id AS neighbor_id, CAST(bit_count(xor(a.code::BIT, b.code::BIT)) AS INTEGER) AS distance
+      FROM c a JOIN c b ON a.vec_id <> b.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS INTEGER) AS rank FROM d)
+SELECT * FROM r WHERE rank <= 10
+"""
+
+_template_values = ", ".join("('" + n + "', '" + t.replace("'", "''") + "')" for n, t in licenses.TEMPLATES.items())
+ORACLES["op7_licenses"] = rf"""
+WITH t AS (SELECT license, regexp_extract_all(lower(body), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w FROM (VALUES {_template_values}) v(license, body)),
+tg AS (SELECT license, len(w) AS size, i - 1 AS tp, array_to_string(w[i:i + 2], ' ') AS gram FROM t, LATERAL (SELECT unnest(range(1, len(w) - 1)) AS i)),
+d AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+dg AS (SELECT doc_id, i - 1 AS dp, array_to_string(w[i:i + 2], ' ') AS gram FROM d, LATERAL (SELECT unnest(range(1, len(w) - 1)) AS i)),
+hits AS (SELECT DISTINCT doc_id, license, size, dp - tp AS diagonal, tp FROM dg JOIN tg USING (gram)),
+votes AS (SELECT DISTINCT doc_id, license, size, diagonal FROM hits),
+steps AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER w <= greatest(1, least(8, size // 4)) THEN 0 ELSE 1 END AS step
+          FROM votes WINDOW w AS (PARTITION BY doc_id, license ORDER BY diagonal)),
+runs AS (SELECT *, sum(step) OVER (PARTITION BY doc_id, license ORDER BY diagonal) AS span FROM steps),
+cover AS (SELECT doc_id, license, size, span, tp + k AS tw, tp + diagonal + k AS dw FROM hits JOIN runs USING (doc_id, license, size, diagonal), range(0, 3) r(k)),
+spans AS (SELECT doc_id, license, size, span, count(DISTINCT tw) AS matched, count(DISTINCT dw) AS words, min(dw) AS start_word, max(dw) + 1 AS end_word
+          FROM cover GROUP BY ALL)
+SELECT doc_id, license, CAST(start_word AS BIGINT) AS start_word, CAST(end_word AS BIGINT) AS end_word, matched, CAST(size AS BIGINT) AS template_words
+FROM spans WHERE matched >= 0.8 * size AND words >= 0.8 * (end_word - start_word)
+"""

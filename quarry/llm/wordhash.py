@@ -19,6 +19,8 @@ BASE = 0x9E3779B97F4A7C15 | 1
 PIECE = 1 << 19
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[list(b" \t\n\r\x0b\x0c")] = True
+#: Only ASCII letters and digits, and all beyond ASCII, count as parts of words.
+PUNCTUATION = np.array([not (chr(i).isalnum() or i > 127) for i in range(256)])
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -52,7 +54,7 @@ class Words:
     doc: np.ndarray
 
 
-def words_of(column: pa.Array, lower: bool = True, hashes: bool = True) -> Words:
+def words_of(column: pa.Array, lower: bool = True, hashes: bool = True, space: np.ndarray = _SPACE) -> Words:
     """Null counts as empty. Lower-casing may change byte lengths: pass lower=False where offsets into the text matter."""
     col = pc.fill_null(column, "").cast(pa.large_string())
     if lower:
@@ -65,7 +67,7 @@ def words_of(column: pa.Array, lower: bool = True, hashes: bool = True) -> Words
     raw = col.buffers()[2]
     data = np.frombuffer(raw, dtype=np.uint8)[base : int(offsets[-1])] if n and raw is not None else np.zeros(0, np.uint8)
     offsets = offsets - base
-    ink = ~_SPACE[data]
+    ink = ~space[data]
     left = np.empty_like(ink)
     right = np.empty_like(ink)
     if len(ink):
