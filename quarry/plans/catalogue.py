@@ -1,4 +1,506 @@
-"""The registered queries over the search and metadata engine, with their SQL oracles."""
+"""The registered queries over the search and metadata engine, with their SQL oracles.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+Pages come from ``documents``, books from ``part``, authors from ``supplier``,
+genres from ``region`` and history from ``events``, by the adapters of
+``quarry.sources.corpus``. The SQL works on token rows and lists; it shares no
+expression with the engine. Arrays are compared as joined strings.
+"""
+
+from __future__ import annotations
+
+import datetime
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.functions import arabic, names, scalars
+from quarry.operators import highlight, manifest, metadata, nodes, store
+from quarry.operators import tokens as tok
+from quarry.operators.search import KEY, Filters, Search, in_order
+from quarry.sources import corpus, export
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def ar(latin: str) -> str:
+    """A fixture word in the script of the adapted pages."""
+    return arabic.fold(latin.translate(str.maketrans(corpus.LATIN, corpus.SCRIPT)))
+
+
+THE, OF, AND, TO, IN, TH = map(ar, ("the", "of", "and", "to", "in", "th"))
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def pages(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus.pages_from_documents(table(spark, sf, "documents"))
+
+
+def books(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus.books_from_parts(table(spark, sf, "part"))
+
+
+def authors(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus.authors_from_suppliers(table(spark, sf, "supplier"))
+
+
+def genres(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus.genres_from_regions(table(spark, sf, "region"))
+
+
+def history(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus.history_from_events(table(spark, sf, "events"))
+
+
+def saved(spark: SparkSession, sf: str) -> DataFrame:
+    h = history(spark, sf).where(F.col("id") % 10 == 0)
+    return h.groupBy("query_data").agg(F.min("id").alias("id")).select("id", "query_data")
+
+
+P = rf"""WITH p0 AS (
+  SELECT CAST(substr(source, 4) AS BIGINT) AS text_id, doc_id % 3 AS part_index, doc_id AS page_id, lang, text AS body,
+         regexp_extract_all(translate(translate(text, '{corpus.LATIN}', '{corpus.SCRIPT}'), '{arabic.FOLD_FROM + arabic.MARKS}', '{arabic.FOLD_TO}'), '\S+') AS surface
+  FROM documents),
+p1 AS (SELECT *, CASE WHEN text_id % 7 = 6 THEN NULL ELSE 100 + (text_id * 37) % 650 END AS death_ah, text_id % 8 AS author_id,
+              CASE lang WHEN 'en' THEN 1 WHEN 'de' THEN 2 WHEN 'es' THEN 3 WHEN 'fr' THEN 4 END::BIGINT AS genre_id FROM p0),
+p AS (SELECT *, (death_ah + 99) // 100 AS century_ah,
+             list_transform(surface, lambda s: substr(s, 1, 4)) AS lemma,
+             list_transform(surface, lambda s: nullif(array_to_string(string_split(translate(substr(regexp_replace(s, '[جذضق]', '', 'g'), 1, 3), 'وياء', '####'), ''), '.'), '')) AS root
+      FROM p1),
+t AS (SELECT text_id, part_index, page_id, unnest(range(len(surface))) AS pos, unnest(surface) AS surface, unnest(lemma) AS lemma, unnest(root) AS root FROM p)
+"""
+B = """b AS (
+  SELECT p_partkey AS id, p_brand AS corpus, p_name AS title, CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE p_partkey % 10 END AS author_id,
+         CASE WHEN p_partkey % 7 = 6 THEN NULL ELSE 100 + (p_partkey * 37) % 650 END AS death_ah, CAST(p_size % 5 AS BIGINT) AS genre_id,
+         CAST(p_size AS BIGINT) AS page_count, CAST(floor(p_retailprice) AS BIGINT) AS token_count, CAST(p_partkey AS VARCHAR) AS original_id,
+         p_partkey % 2 = 1 AS paginated, '["' || p_type || '"]' AS tags FROM part),
+books AS (SELECT *, (death_ah + 99) // 100 AS century_ah FROM b),
+authors AS (SELECT s_suppkey AS id, s_name AS author FROM supplier), genres AS (SELECT CAST(r_regionkey AS BIGINT) AS id, r_name AS genre FROM region)
+"""
+H = """WITH h AS (SELECT event_id AS id, event_type AS search_type, props AS query_data, event_type || ':' || props AS display_label, user_id % 5 AS book_filter_count, ts AS created_at FROM events),
+s AS (SELECT min(id) AS id, query_data FROM h WHERE id % 10 = 0 GROUP BY query_data)
+"""
+BY = "ORDER BY coalesce(death_ah, 0), text_id, part_index, page_id"
+
+
+def top(cond: str, limit: int = 50, offset: int = 0) -> str:
+    return f"{P} SELECT text_id, part_index, page_id, death_ah FROM p WHERE {cond} {BY} LIMIT {limit} OFFSET {offset}"
+
+
+def count(cond: str) -> str:
+    return f"{P} SELECT count(*) AS total_hits FROM p WHERE {cond}"
+
+
+def run_of(words: list[str], stream: str = "surface", pick: str = "t0.page_id") -> str:
+    """Rows where the words stand one after the other; a word may also be a condition on {}."""
+    test = lambda i, w: w.format(f"t{i}.{stream}") if "{}" in w else f"t{i}.{stream} = '{w}'"
+    joins = "".join(f" JOIN t t{i} ON t{i}.page_id = t0.page_id AND t{i}.pos = t0.pos + {i}" for i in range(1, len(words)))
+    return f"SELECT {pick} FROM t t0{joins} WHERE " + " AND ".join(test(i, w) for i, w in enumerate(words))
+
+
+def on(words: str, stream: str = "surface") -> str:
+    return f"page_id IN ({run_of(words.split(), stream)})"
+
+
+def near_sql(a: str, b: str, d: int) -> str:
+    return f"page_id IN (SELECT x.page_id FROM t x JOIN t y ON x.page_id = y.page_id AND abs(x.pos - y.pos) <= {d} WHERE x.{a} AND y.{b})"
+
+
+def lit_positions(hits: DataFrame) -> DataFrame:
+    return hits.select(*KEY, F.array_join(F.col("matched_token_indices").cast("array<string>"), ",").alias("positions"))
+
+
+def spots(cond: str, source: str, limit: int = 50, cap: int | None = None) -> str:
+    """Key and positions of the first pages; ``source`` gives (page_id, pos)."""
+    keep = f"WHERE n <= {cap}" if cap else ""
+    return f"""{P}, top AS (SELECT text_id, part_index, page_id FROM p WHERE {cond} {BY} LIMIT {limit}),
+      hit AS (SELECT DISTINCT page_id, pos FROM ({source})), num AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS n FROM hit)
+      SELECT text_id, part_index, page_id, coalesce(string_agg(pos::VARCHAR, ',' ORDER BY pos), '') AS positions
+      FROM top LEFT JOIN (SELECT * FROM num {keep}) USING (page_id) GROUP BY ALL"""
+
+
+def covered(words: list[str], stream: str = "surface") -> str:
+    return " UNION ALL ".join(run_of(words, stream, f"t0.page_id, t0.pos + {i} AS pos") for i in range(len(words)))
+
+
+def searching(node: nodes.Node, filters: Filters | None = None, limit: int = 50, offset: int = 0) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf: Search(pages(spark, sf)).keys(node, filters, limit, offset)
+
+
+def add(name: str, q: Callable[[SparkSession, str], DataFrame], sql: str | None) -> None:
+    QUERIES[name] = q
+    if sql:
+        ORACLES[name] = sql
+
+
+# Terms and filters.
+
+_of, _the, _and = nodes.term(OF, "surface"), nodes.term(THE, "surface"), nodes.term(AND, "surface")
+add("term_topk", searching(_of, limit=20), top(on(OF), 20))
+add("term_count", lambda s, d: Search(pages(s, d)).total(_the), count(on(THE)))
+add("term_book_filter", searching(_of, Filters(book_ids=[1, 2, 3, 5])), top(f"text_id IN (1, 2, 3, 5) AND {on(OF)}"))
+add("term_century_filter", searching(_of, Filters(century_ah=3)), top(f"century_ah = 3 AND {on(OF)}"))
+add("term_death_range", searching(_of, Filters(death_ah_min=200, death_ah_max=400)), top(f"death_ah BETWEEN 200 AND 400 AND {on(OF)}"))
+add("term_author_genre", searching(_of, Filters(author_id=3, genre_id=1)), top(f"author_id = 3 AND genre_id = 1 AND {on(OF)}"))
+add("term_lemma", searching(nodes.term(ar("that")[:4], "lemma")), top(on(ar("that")[:4], "lemma")))
+_ROOT = ar("the").translate(str.maketrans("", "", "جذضق"))[:3]
+add("term_root", searching(nodes.term(_ROOT, "root")), top(on(arabic.root_form(_ROOT), "root")))
+
+
+@query(f"{P} SELECT root, count(*) AS n, count(DISTINCT page_id) AS n_pages FROM t WHERE root IS NOT NULL GROUP BY root")
+def root_frequency(spark: SparkSession, sf: str) -> DataFrame:
+    t = corpus.tokens(pages(spark, sf)).where("root is not null")
+    per_page = t.groupBy("root", "page_id").agg(F.count("*").alias("k"))
+    return per_page.groupBy("root").agg(F.sum("k").alias("n"), F.count("*").alias("n_pages"))
+
+
+# Phrases.
+
+add("phrase_2", searching(nodes.term(f"{OF} {THE}", "surface")), top(on(f"{OF} {THE}")))
+add("phrase_3", searching(nodes.term(f"{OF} {THE} {AND}", "surface")), top(on(f"{OF} {THE} {AND}")))
+add("phrase_repeated_word", searching(nodes.term(f"{THE} {THE}", "surface")), top(on(f"{THE} {THE}")))
+add("phrase_count", lambda s, d: Search(pages(s, d)).total(nodes.term(f"{OF} {THE}", "surface")), count(on(f"{OF} {THE}")))
+add("phrase_positions", lambda s, d: lit_positions(Search(pages(s, d)).hits(nodes.term(f"{OF} {THE}", "surface"))), spots(on(f"{OF} {THE}"), covered([OF, THE])))
+add("term_positions_capped", lambda s, d: lit_positions(Search(pages(s, d)).hits(_the, cap=5)), spots(on(THE), covered([THE]), cap=5))
+
+# Boolean.
+
+_s = lambda w: (w, "surface")
+add("bool_and", searching(nodes.combined([_s(OF), _s(AND)])), top(f"{on(OF)} AND {on(AND)}"))
+add("bool_or", searching(nodes.combined([], [_s(OF), _s(ar("hain"))])), top(f"{on(OF)} OR {on(ar('hain'))}"))
+add("bool_and_or", searching(nodes.combined([_s(OF), _s(AND)], [_s(TO), _s(IN)])), top(f"{on(OF)} AND {on(AND)} AND ({on(TO)} OR {on(IN)})"))
+_L4 = ar("tion")[:4]
+add("bool_mixed_modes", searching(nodes.combined([_s(OF), (_L4, "lemma"), (_ROOT, "root")])), top(f"{on(OF)} AND {on(_L4, 'lemma')} AND {on(arabic.root_form(_ROOT), 'root')}"))
+add("bool_phrase_term", searching(nodes.combined([_s(f"{OF} {THE}"), _s(TO)])), top(f"{on(f'{OF} {THE}')} AND {on(TO)}"))
+add("bool_empty", searching(nodes.combined([], [])), top("false"))
+_clit = " OR ".join(on(w) for w in arabic.with_clitics(TH))
+_clit2 = " OR ".join(on(w) for w in arabic.with_clitics(IN))
+add("clitic_expansion", searching(nodes.with_clitics([(TH, "surface", True), (IN, "surface", True)])), top(f"({_clit}) AND ({_clit2})"))
+add("clitic_compat", searching(nodes.with_clitics([(TH, "surface", True), (IN, "surface", True)], compat=True)), top(f"({_clit}) OR ({_clit2})"))
+
+# Proximity.
+
+_eq = lambda w, s="surface": f"{s} = '{w}'"
+add("near_5", searching(nodes.near(_s(OF), _s(TO), 5)), top(near_sql(_eq(OF), _eq(TO), 5)))
+add("near_0_self", searching(nodes.near(_s(OF), _s(OF), 0)), top(on(OF)))
+add("near_cross_mode", searching(nodes.near(_s(OF), (_L4, "lemma"), 3)), top(near_sql(_eq(OF), _eq(_L4, "lemma"), 3)))
+add("near_multi_word", searching(nodes.near(_s(f"{OF} {THE}"), _s(TO), 2)), top(f"{on(f'{OF} {THE}')} AND {near_sql(f'surface IN ({OF!r}, {THE!r})', _eq(TO), 2)}"))
+add("near_count", lambda s, d: Search(pages(s, d)).total(nodes.near(_s(OF), _s(TO), 5)), count(near_sql(_eq(OF), _eq(TO), 5)))
+_pairs = f"SELECT x.page_id, x.pos, y.pos AS pos2 FROM t x JOIN t y ON x.page_id = y.page_id AND abs(x.pos - y.pos) <= 5 WHERE x.{_eq(OF)} AND y.{_eq(TO)}"
+add("near_positions", lambda s, d: lit_positions(Search(pages(s, d)).proximity(_s(OF), _s(TO), 5)), spots(near_sql(_eq(OF), _eq(TO), 5), f"SELECT page_id, pos FROM ({_pairs}) UNION SELECT page_id, pos2 FROM ({_pairs})", cap=50))
+
+
+@query(f"{P} SELECT x.page_id, min(abs(x.pos - y.pos)) AS distance FROM t x JOIN t y USING (page_id) WHERE x.{_eq(OF)} AND y.{_eq(AND)} GROUP BY x.page_id")
+def near_min_distance(spark: SparkSession, sf: str) -> DataFrame:
+    """The smallest gap between two words on each page that has both: the nearest neighbour on either side, in one sorted pass."""
+    t = corpus.tokens(pages(spark, sf)).where(F.col("surface").isin(OF, AND))
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("page_id").orderBy("pos")
+    gap = F.when(F.lag("surface").over(w) != F.col("surface"), F.col("pos") - F.lag("pos").over(w))
+    return t.withColumn("gap", gap).groupBy("page_id").agg(F.min("gap").cast("bigint").alias("distance")).where("distance is not null")
+
+
+# Wildcards.
+
+_pre = lambda p: "starts_with({}, '" + p + "')"
+_in = lambda p, e: "regexp_full_match({}, '" + p + ".*" + e + "')"
+_TI, _ON = ar("ti"), ar("on")
+
+
+def on_list(words: list[str]) -> str:
+    return f"page_id IN ({run_of(words)})"
+
+
+add("wild_prefix", searching(nodes.wildcard(ar("ing") + "*")), top(on_list([_pre(ar("ing"))])))
+add("wild_infix", searching(nodes.wildcard(f"{_TI}*{_ON}")), top(on_list([_in(_TI, _ON)])))
+add("wild_phrase", searching(nodes.wildcard(f"{OF} {_TI}*")), top(on_list([OF, _pre(_TI)])))
+add("wild_phrase_infix", searching(nodes.wildcard(f"{OF} {TH}*{ar('e')} {AND}")), top(on_list([OF, _in(TH, ar("e")), AND])))
+add("wild_phrase_positions", lambda s, d: lit_positions(Search(pages(s, d)).wildcard(f"{OF} {_TI}*")), spots(on_list([OF, _pre(_TI)]), covered([OF, _pre(_TI)])))
+add("wild_terms", searching(nodes.wildcard_terms(f"{_TI}* {OF}")), top(f"{on_list([_pre(_TI)])} AND {on(OF)}"))
+
+# Names: fixture words in the places of names.
+
+_form = names.NameForm(nasab=f"{TH} بن {TO}", nisbas=[THE], allow_one_nasab_nisba=True, allow_two_nasab=True)
+_form2 = names.NameForm(nasab=OF, allow_one_nasab=True)
+_pats, _pats2 = names.search_patterns(_form), names.search_patterns(_form2)
+_any_of = lambda pats: "(" + " OR ".join(on(p) for p in pats) + ")"
+add("name_one_form", searching(nodes.names([_pats])), top(_any_of(_pats)))
+add("name_two_forms", searching(nodes.names([_pats, _pats2])), top(f"{_any_of(_pats)} AND {_any_of(_pats2)}"))
+add("name_positions", lambda s, d: lit_positions(Search(pages(s, d)).names([_pats, _pats2])), spots(f"{_any_of(_pats)} AND {_any_of(_pats2)}", " UNION ALL ".join(covered(p.split()) for p in _pats)))
+
+# One page.
+
+_KEY = (2, 2, 2)
+_AT = "text_id = 2 AND part_index = 2 AND page_id = 2"
+_one = lambda src: f"{P} SELECT coalesce(string_agg(pos::VARCHAR, ',' ORDER BY pos), '') AS positions FROM (SELECT DISTINCT pos FROM ({src}) WHERE page_id IN (SELECT page_id FROM p WHERE {_AT})) HAVING (SELECT count(*) FROM p WHERE {_AT}) > 0"
+_join = lambda df: df.select(F.array_join(F.col("matched_token_indices").cast("array<string>"), ",").alias("positions"))
+
+
+@query(f"{P} SELECT text_id, part_index, page_id, author_id, genre_id, death_ah, century_ah, part_index::VARCHAR AS part_label, page_id::VARCHAR AS page_number, body FROM p WHERE {_AT}")
+def page_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    return Search(pages(spark, sf)).page(*_KEY).drop("score", "matched_token_indices")
+
+
+add("page_with_matches", lambda s, d: _join(Search(pages(s, d)).page_with_matches(_KEY, f"{OF} {THE}", "surface")), _one(covered([OF, THE])))
+add("page_positions", lambda s, d: _join(Search(pages(s, d)).positions(_KEY, THE, "surface")), _one(covered([THE])))
+add("positions_combined", lambda s, d: _join(Search(pages(s, d)).positions_combined(_KEY, [_s(OF), _s(THE)])), _one(covered([OF]) + " UNION ALL " + covered([THE])))
+add("positions_names", lambda s, d: _join(Search(pages(s, d)).positions_names(_KEY, [OF, f"{OF} {THE}"], cap=1000)), _one(covered([OF]) + " UNION ALL " + covered([OF, THE])))
+add("positions_wildcard", lambda s, d: _join(Search(pages(s, d)).positions_wildcard(_KEY, f"{TH}*", cap=1000)), _one(covered([_pre(TH)])))
+
+
+@query(f"""{P}, one AS (SELECT page_id FROM p WHERE {_AT}), w(i, word) AS (VALUES (0, '{OF}'), (1, '{THE}'))
+SELECT CAST(i AS INTEGER) AS i, coalesce(string_agg(pos::VARCHAR, ',' ORDER BY pos), '') AS positions FROM one, w LEFT JOIN t ON t.surface = w.word AND t.page_id = 2 GROUP BY i""")
+def positions_multi(spark: SparkSession, sf: str) -> DataFrame:
+    m = Search(pages(spark, sf)).positions_multi(_KEY, [_s(OF), _s(THE)], cap=100_000)
+    return m.select(F.posexplode("matched_token_indices").alias("i", "p")).select("i", F.array_join(F.col("p").cast("array<string>"), ",").alias("positions"))
+
+
+@query(f"{P} SELECT text_id, part_index, page_id FROM p WHERE text_id = 2 AND part_index = 1 AND page_id IN (0, 2) OR text_id = 2 AND part_index = 1 AND page_id IN (21, 23)")
+def page_nav(spark: SparkSession, sf: str) -> DataFrame:
+    s = Search(pages(spark, sf))
+    return s.neighbours(2, 1, 22).union(s.neighbours(2, 1, 1))
+
+
+# Paging and sets.
+
+add("paging_offset", searching(_of, limit=20, offset=10), top(on(OF), 20, 10))
+
+
+@query(top(on(OF), 60))
+def paging_concat(spark: SparkSession, sf: str) -> DataFrame:
+    s = Search(pages(spark, sf))
+    return s.keys(_of, limit=30).union(s.keys(_of, limit=30, offset=30))
+
+
+@query(f"{P} SELECT text_id, part_index, page_id, death_ah, count(*) OVER () AS total_hits FROM p WHERE {on(OF)} {BY} LIMIT 50")
+def total_hits_with_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return Search(pages(spark, sf)).with_total(_of)
+
+
+def _sets(how: str) -> Callable[[SparkSession, str], DataFrame]:
+    def f(spark: SparkSession, sf: str) -> DataFrame:
+        s = Search(pages(spark, sf))
+        a, b = (s.matching(n).select(*KEY) for n in (_of, _and))
+        return {"or": lambda: a.union(b).distinct(), "and": lambda: a.intersect(b), "not": lambda: a.exceptAll(b)}[how]()
+
+    return f
+
+
+add("pages_union", _sets("or"), f"{P} SELECT text_id, part_index, page_id FROM p WHERE {on(OF)} OR {on(AND)}")
+add("pages_intersect", _sets("and"), f"{P} SELECT text_id, part_index, page_id FROM p WHERE {on(OF)} AND {on(AND)}")
+add("pages_except", _sets("not"), f"{P} SELECT text_id, part_index, page_id FROM p WHERE {on(OF)} AND NOT {on(AND)}")
+
+# Tokens.
+
+
+def _overlay(spark: SparkSession, sf: str, drop_defined: bool = False) -> DataFrame:
+    d, packed = tok.dictionary_of(corpus.tokens(pages(spark, sf)))
+    if drop_defined:
+        d.definitions = d.definitions.where(F.col("id") % 5 != 0)
+    return tok.page_tokens(packed, d)
+
+
+_dict = f"""{P}, d AS (SELECT surface, lemma, root, dense_rank() OVER (ORDER BY surface, lemma, root NULLS FIRST) AS id FROM (SELECT DISTINCT surface, lemma, root FROM t)),
+o AS (SELECT t.*, d.id FROM t JOIN d ON t.surface = d.surface AND t.lemma = d.lemma AND t.root IS NOT DISTINCT FROM d.root)"""
+
+
+@query(f"""{_dict} SELECT text_id, part_index, page_id, CAST(pos AS INTEGER) AS idx, surface, lemma, root, 'noun' AS pos,
+  CASE WHEN id % 2 = 0 THEN 's,3' ELSE '' END AS features, CASE WHEN id % 3 = 0 THEN 'conj:و' ELSE '' END AS clitics FROM o""")
+def token_star_join(spark: SparkSession, sf: str) -> DataFrame:
+    t = _overlay(spark, sf)
+    clitics = F.array_join(F.transform("clitics", lambda c: F.concat(c["type"], F.lit(":"), c["display"])), ",")
+    return t.select(*KEY, "idx", "surface", "lemma", "root", "pos", F.array_join("features", ",").alias("features"), clitics.alias("clitics"))
+
+
+@query(f"{_dict} SELECT page_id, CAST(pos AS INTEGER) AS idx, CASE WHEN id % 5 = 0 THEN chr(65533) ELSE surface END AS surface, CASE WHEN id % 5 = 0 THEN 'unknown' ELSE lemma END AS lemma, CASE WHEN id % 5 = 0 THEN 'UNK' ELSE 'noun' END AS pos FROM o")
+def token_missing_placeholder(spark: SparkSession, sf: str) -> DataFrame:
+    return _overlay(spark, sf, True).select("page_id", "idx", "surface", "lemma", "pos")
+
+
+@query(f"{P} SELECT text_id, part_index, page_id, CAST(pos AS INTEGER) AS idx FROM t WHERE root = '{arabic.root_form(_ROOT)}'")
+def token_find_positions(spark: SparkSession, sf: str) -> DataFrame:
+    t = corpus.tokens(pages(spark, sf)).withColumnRenamed("pos", "idx")
+    return tok.find_positions(t, "root", arabic.root_form(_ROOT))
+
+
+@query(f"{P} SELECT surface, lemma, root FROM t WHERE {_AT} AND pos = 3")
+def token_at(spark: SparkSession, sf: str) -> DataFrame:
+    return tok.token_at(corpus.tokens(pages(spark, sf)).withColumnRenamed("pos", "idx"), _KEY, 3).select("surface", "lemma", "root")
+
+
+@query("SELECT l_orderkey, string_agg(n::VARCHAR, ',' ORDER BY n) AS ids FROM (SELECT l_orderkey, l_partkey * 70000 + l_linenumber AS n FROM lineitem WHERE l_partkey * 70000 < 4294960000) GROUP BY l_orderkey")
+def blob_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "lineitem").select("l_orderkey", (F.col("l_partkey") * 70000 + F.col("l_linenumber")).alias("n")).where("l_partkey * 70000 < 4294960000")
+    blobs = rows.groupBy("l_orderkey").agg(tok.encode_ids(F.array_sort(F.collect_list("n"))).alias("blob"))
+    return blobs.select("l_orderkey", F.array_join(tok.decode_ids(F.col("blob")).cast("array<string>"), ",").alias("ids"))
+
+
+# Scalar functions over whole tables.
+
+_raw = f"translate(text, '{corpus.LATIN}', '{corpus.SCRIPT}')"
+
+
+@query(f"SELECT doc_id, translate({_raw}, '{arabic.FOLD_FROM + arabic.MARKS}', '{arabic.FOLD_TO}') AS folded, length(regexp_replace({_raw}, '[^ء-يٱ-ۓ]', '', 'g')) AS letters FROM documents")
+def normalize_rows(spark: SparkSession, sf: str) -> DataFrame:
+    raw = F.translate("text", corpus.LATIN, corpus.SCRIPT)
+    return table(spark, sf, "documents").select("doc_id", arabic.fold_column(raw).alias("folded"), arabic.letters_column(raw).cast("bigint").alias("letters"))
+
+
+@query(rf"""WITH w AS (SELECT p_partkey, regexp_extract_all(translate(translate(p_name, '{corpus.LATIN}', '{corpus.SCRIPT}'), '{arabic.FOLD_FROM + arabic.MARKS}', '{arabic.FOLD_TO}'), '\S+') AS w FROM part)
+SELECT p_partkey, array_to_string(list_transform(w, lambda x: array_to_string(string_split(translate(x, 'وياء', '####'), ''), '.')), ' ') AS root_form FROM w""")
+def root_forms(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "part").select("p_partkey", arabic.root_form_column(F.translate("p_name", corpus.LATIN, corpus.SCRIPT)).alias("root_form"))
+
+
+@query(r"SELECT page_id, regexp_replace(regexp_replace(html, '(?i)<br\s*/?>', chr(10), 'g'), '<[^>]*>', '', 'g') AS body FROM pages")
+def strip_html_pages(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "pages").select("page_id", scalars.strip_html(F.col("html")).alias("body"))
+
+
+@query(r"SELECT page_id, substr(trim(regexp_replace(regexp_replace(html, '<[^>]*>', '', 'g'), '\s+', ' ', 'g')), 1, 500) AS context FROM pages")
+def export_context(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "pages").select("page_id", F.substring(scalars.strip_html_for_export(F.col("html")), 1, 500).alias("context"))
+
+
+@query(f"""{P}, f AS (SELECT page_id, min(pos) AS first FROM t WHERE surface = '{TO}' GROUP BY page_id), s AS (SELECT *, greatest(0, first - 5) AS start FROM p JOIN f USING (page_id))
+SELECT page_id, CASE WHEN start > 0 THEN '... ' ELSE '' END || array_to_string(surface[start + 1:start + 50], ' ') || CASE WHEN len(surface) > start + 50 THEN ' ...' ELSE '' END AS snippet FROM s""")
+def kwic_snippet(spark: SparkSession, sf: str) -> DataFrame:
+    node = nodes.term(TO, "surface")
+    return Search(pages(spark, sf)).matching(node).select("page_id", highlight.kwic(F.col("surface"), node.positions()).alias("snippet"))
+
+
+_skip_sql = arabic._SKIP.replace("'", "''")
+
+
+@query(f"SELECT doc_id, len(regexp_extract_all(regexp_replace({_raw}, '{_skip_sql}', '', 'g'), '{arabic._ARABIC}+')) AS n_tokens FROM documents")
+def arabic_token_count(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", highlight.token_count(F.translate("text", corpus.LATIN, corpus.SCRIPT)).cast("bigint").alias("n_tokens"))
+
+
+@query(r"SELECT p_partkey, '[' || p_type || ']' AS bad, p_type AS tag FROM part")
+def json_tags(spark: SparkSession, sf: str) -> DataFrame:
+    b = books(spark, sf)
+    good, bad = scalars.json_strings(F.col("tags")), scalars.json_strings(F.concat(F.lit("["), F.get(scalars.json_strings(F.col("tags")), F.lit(0)), F.lit("]")))
+    text = F.concat(F.lit("["), F.get(good, F.lit(0)), F.lit("]"))
+    return b.select(F.col("id").alias("p_partkey"), F.when(F.size(bad) == 0, text).alias("bad"), F.get(good, F.lit(0)).alias("tag"))
+
+
+@query("SELECT doc_id, sha256(text) AS hash, sha256(text) = sha256(text || '') AS same FROM documents")
+def content_hashes(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents")
+    h = F.sha2("text", 256)
+    return d.select("doc_id", h.alias("hash"), scalars.sha256_matches(F.col("text"), F.concat(F.lit("sha256:"), h)).alias("same"))
+
+
+# Metadata.
+
+_BOOK = "id, corpus, title, author_id, death_ah, century_ah, genre_id, page_count, token_count, original_id, paginated, tags"
+_cols = [c.strip() for c in _BOOK.split(",")]
+_book = lambda df: df.select(*_cols)
+_bw = f"WITH {B}"
+add("books_all", lambda s, d: _book(metadata.all_books(books(s, d))), f"{_bw} SELECT {_BOOK} FROM books")
+add("books_list", lambda s, d: _book(metadata.list_books(books(s, d), genre_id=2, century_ah=3)), f"{_bw} SELECT {_BOOK} FROM books WHERE genre_id = 2 AND century_ah = 3 ORDER BY id LIMIT 100")
+add("books_filtered", lambda s, d: _book(metadata.list_books_filtered(books(s, d), 150, 500, [1, 3])), f"{_bw} SELECT {_BOOK} FROM books WHERE death_ah BETWEEN 150 AND 500 AND genre_id IN (1, 3) ORDER BY death_ah NULLS LAST, id LIMIT 10000")
+add("book_by_id", lambda s, d: _book(metadata.get_book(books(s, d), 42)), f"{_bw} SELECT {_BOOK} FROM books WHERE id = 42")
+add("genres", lambda s, d: metadata.in_id_order(genres(s, d)), f"{_bw} SELECT * FROM genres")
+add("authors", lambda s, d: metadata.in_id_order(authors(s, d)), f"{_bw} SELECT * FROM authors")
+add("centuries", lambda s, d: metadata.centuries(books(s, d)), f"{_bw} SELECT century_ah, count(*) AS n_books FROM books WHERE century_ah IS NOT NULL GROUP BY century_ah")
+add("corpus_stats", lambda s, d: metadata.corpus_stats(table(s, d, "documents"), books(s, d)), "SELECT (SELECT count(*) FROM documents) AS n_pages, (SELECT count(*) FROM part) AS n_books")
+_asum = "SELECT a.id, a.author, coalesce(min(b.death_ah), 0) AS death_ah, count(b.id) AS book_count FROM authors a LEFT JOIN books b ON b.author_id = a.id"
+add("author_summary", lambda s, d: metadata.author_summary(authors(s, d), books(s, d)).drop("known_death"), f"{_bw} {_asum} GROUP BY a.id, a.author")
+add("authors_search", lambda s, d: metadata.search_authors(authors(s, d), books(s, d), "Supplier#00000000"), f"{_bw} {_asum} WHERE lower(a.author) LIKE '%supplier#00000000%' GROUP BY a.id, a.author ORDER BY min(b.death_ah) NULLS LAST, a.id LIMIT 50")
+add("authors_search_short", lambda s, d: metadata.search_authors(authors(s, d), books(s, d), "Su"), f"{_bw} {_asum} WHERE false GROUP BY a.id, a.author")
+add("author_rollup", lambda s, d: metadata.author_rollup(books(s, d), authors(s, d), genres(s, d)), f"""{_bw} SELECT coalesce(b.author_id, -1) AS author_id, count(*) AS n_books, CAST(sum(coalesce(page_count, 0)) AS BIGINT) AS n_pages,
+  array_to_string(list_sort(list_distinct(list(g.genre))), '; ') AS genres, arg_min(death_ah, b.id) FILTER (WHERE death_ah IS NOT NULL) AS death_ah, any_value(a.author) AS author
+  FROM books b LEFT JOIN genres g ON g.id = b.genre_id LEFT JOIN authors a ON a.id = b.author_id GROUP BY coalesce(b.author_id, -1)""")
+_named = "FROM books b LEFT JOIN authors a ON a.id = b.author_id"
+_ids = lambda df: df.select("id", "title", "author")
+_FB = metadata.BookFilter(150, 600, [0, 1, 2], "000000003")
+add("browser_filter", lambda s, d: _ids(metadata.browse(books(s, d), authors(s, d), _FB)), f"{_bw} SELECT b.id, title, author {_named} WHERE death_ah BETWEEN 150 AND 600 AND genre_id IN (0, 1, 2) AND (lower(title) LIKE '%000000003%' OR lower(coalesce(author, '')) LIKE '%000000003%')")
+add("books_plain_search", lambda s, d: _ids(metadata.plain_search(books(s, d), authors(s, d), "SUPPLIER#000000004")), f"{_bw} SELECT b.id, title, author {_named} WHERE lower(title) LIKE '%supplier#000000004%' OR lower(coalesce(author, '')) LIKE '%supplier#000000004%'")
+add("collection_filter", lambda s, d: metadata.in_collections(books(s, d), metadata.collections_table(s, [("a", [1, 2, 3]), ("b", [3, 10, 99]), ("c", [5])]), ["a", "b"]).select("id", "title"), f"{_bw} SELECT id, title FROM books WHERE id IN (1, 2, 3, 10, 99)")
+add("selected_books", lambda s, d: _ids(metadata.selected(books(s, d), authors(s, d), [2, 4, 12, 14], "000000004")), f"{_bw} SELECT b.id, title, author {_named} WHERE b.id IN (2, 4, 12, 14) AND (lower(title) LIKE '%000000004%' OR lower(coalesce(author, '')) LIKE '%000000004%')")
+add("books_unknown_author", lambda s, d: metadata.books_of_author(books(s, d), None).select("id"), f"{_bw} SELECT id FROM books WHERE author_id IS NULL")
+
+_enr = f"""{P}, {B}, hit AS (SELECT * FROM p WHERE {on(OF)} {BY} LIMIT 50)
+SELECT {{}} FROM hit LEFT JOIN books b ON b.id = hit.text_id LEFT JOIN authors a ON a.id = b.author_id LEFT JOIN genres g ON g.id = b.genre_id"""
+_enriched = lambda s, d: metadata.enriched(Search(pages(s, d)).hits(_of, cap=5), books(s, d), authors(s, d), genres(s, d))
+add("results_enriched", lambda s, d: _enriched(s, d).select(*KEY, "title", "author", "genre"), _enr.format("text_id, part_index, page_id, coalesce(title, '') AS title, coalesce(author, '') AS author, coalesce(genre, '') AS genre"))
+
+
+def _csv(*cells: str) -> str:
+    def cell(c: str) -> str:
+        v = f"coalesce(({c})::VARCHAR, '')"
+        return f"""CASE WHEN regexp_matches({v}, '[,"\\n\\r]') THEN '"' || replace({v}, '"', '""') || '"' ELSE {v} END"""
+
+    return " || ',' || ".join(map(cell, cells)) + " AS value"
+
+
+add("export_books_csv", lambda s, d: export.csv_lines(export.books_sheet(books(s, d), authors(s, d), genres(s, d))), f"""{_bw} SELECT {_csv("b.id", "title", "author", "author_id", "death_ah", "century_ah", "genre", "genre_id", "page_count", "token_count", "corpus", "original_id", "CASE WHEN paginated THEN 'Yes' ELSE 'No' END")}
+  {_named} LEFT JOIN genres g ON g.id = b.genre_id""")
+add("export_results_csv", lambda s, d: export.csv_lines(export.results_sheet(_enriched(s, d))), _enr.format(_csv("text_id", "coalesce(title, '')", "coalesce(author, '')", "hit.death_ah", "hit.century_ah", "coalesce(genre, '')", "part_index", "page_id", "'0.00'", r"substr(trim(regexp_replace(regexp_replace(body, '<[^>]*>', '', 'g'), '\s+', ' ', 'g')), 1, 500)")))
+add("export_authors_csv", lambda s, d: export.csv_lines(export.authors_sheet(metadata.author_rollup(books(s, d), authors(s, d), genres(s, d)))), f"{ORACLES['author_rollup'].replace('SELECT coalesce(b.author_id', ', r AS (SELECT coalesce(b.author_id', 1)}) SELECT {_csv('author', 'author_id', 'death_ah', 'n_books', 'n_pages', 'genres')} FROM r")
+
+# User tables.
+
+_HC = ["id", "search_type", "query_data", "display_label", "book_filter_count"]
+_hc = ", ".join(_HC)
+add("history_recent", lambda s, d: store.newest(history(s, d), 50).select(*_HC), f"{H} SELECT {_hc} FROM h ORDER BY created_at DESC, id DESC LIMIT 50")
+add("history_rotate", lambda s, d: store.add_history(history(s, d).where("id % 2 = 0"), history(s, d).where("id % 2 = 1")).select(*_HC), f"{H} SELECT {_hc} FROM h ORDER BY created_at DESC, id DESC LIMIT 100")
+add("history_is_saved", lambda s, d: store.history_with_saved(history(s, d), saved(s, d)).select("id", "query_data", "is_saved"), f"{H} SELECT n.id, n.query_data, s.id IS NOT NULL AS is_saved FROM (SELECT * FROM h ORDER BY created_at DESC, id DESC LIMIT 100) n LEFT JOIN s USING (query_data)")
+add("saved_insert_ignore", lambda s, d: store.save_search(saved(s, d), history(s, d).where("id % 10 = 1").select("id", "query_data")), f"{H} SELECT * FROM s UNION ALL SELECT min(id), query_data FROM h WHERE id % 10 = 1 AND query_data NOT IN (SELECT query_data FROM s) GROUP BY query_data")
+
+# Manifests and versions: parts as remote files, those of even keys as local ones.
+
+_MF = "WITH r AS (SELECT p_name || p_partkey AS name, md5(p_name) AS hash, CAST(p_size AS BIGINT) AS size FROM part), l AS (SELECT p_name || p_partkey AS name, CASE WHEN p_partkey % 6 = 0 THEN 'x' ELSE md5(p_name) END AS hash, p_partkey % 10 <> 0 AS complete FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT 'old' || p_partkey, 'y', true FROM part WHERE p_partkey < 20)"
+
+
+def _files(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    p = table(spark, sf, "part")
+    name, k = F.concat("p_name", F.col("p_partkey").cast("string")), F.col("p_partkey")
+    remote = p.select(name.alias("name"), F.md5(F.col("p_name").cast("binary")).alias("hash"), F.col("p_size").cast("bigint").alias("size"))
+    local = p.where(k % 2 == 0).select(name.alias("name"), F.when(k % 6 == 0, "x").otherwise(F.md5(F.col("p_name").cast("binary"))).alias("hash"), (k % 10 != 0).alias("complete"))
+    return remote, local.union(p.where(k < 20).select(F.concat(F.lit("old"), k.cast("string")), F.lit("y"), F.lit(True)))
+
+
+add("manifest_missing", lambda s, d: manifest.missing_files(*_files(s, d)), f"{_MF} SELECT name, hash, size FROM r WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.name = r.name AND l.hash = r.hash AND l.complete)")
+add("manifest_orphans", lambda s, d: manifest.orphans(*_files(s, d)).select("name"), f"{_MF} SELECT name FROM l WHERE name NOT IN (SELECT name FROM r)")
+add("download_size", lambda s, d: manifest.download_size(manifest.missing_files(*_files(s, d))).select("bytes"), f"{_MF} SELECT CAST(sum(size) AS BIGINT) AS bytes FROM r WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.name = r.name AND l.hash = r.hash AND l.complete)")
+_v = lambda k: F.concat_ws(".", (k % 3).cast("string"), (k % 11).cast("string"), (k % 7).cast("string"))
+
+
+@query("SELECT p_partkey, (p_partkey % 3, p_partkey % 11, p_partkey % 7) >= (1, 4, 2) AS at_least, p_partkey % 3 AS major, p_partkey % 7 AS patch FROM part")
+def semver_order(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("p_partkey")
+    v = F.concat(_v(k), F.when(k % 4 == 0, "-alpha").otherwise(""))
+    own = scalars.version(v)
+    return table(spark, sf, "part").select("p_partkey", scalars.meets_minimum(v, F.lit("1.4.2")).alias("at_least"), own["major"].cast("bigint").alias("major"), own["patch"].cast("bigint").alias("patch"))
+
+
+@query("""SELECT event_id::VARCHAR AS id FROM events WHERE event_id % 3 <> 1 AND ts <= TIMESTAMP '2024-01-15' AND (event_id % 4 = 0 OR ts + INTERVAL 3 DAY >= TIMESTAMP '2024-01-15')
+  AND (event_id % 2, event_id % 5, 0) <= (1, 2, 0) AND (event_id % 6 = 0 OR NOT (event_id % 8 = 0 AND event_id % 16 = 0))""")
+def announcements_eligible(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events")
+    k, text = F.col("event_id"), lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    rows = e.select(
+        k.cast("string").alias("id"), F.when(k % 3 == 0, "all").when(k % 3 == 1, "web").otherwise("desktop").alias("target"), text(F.col("ts")).alias("starts_at"),
+        F.when(k % 4 != 0, text(F.col("ts") + F.expr("INTERVAL 3 DAYS"))).alias("expires_at"), F.concat_ws(".", (k % 2).cast("string"), (k % 5).cast("string"), F.lit("0")).alias("min_app_version"),
+        F.lit(None).cast("string").alias("max_app_version"), F.when(k % 6 == 0, "forced").when(k % 6 == 1, "important").otherwise("normal").alias("priority"), (k % 8 == 0).alias("show_once"),
+    )
+    gone = e.where(k % 16 == 0).select(k.cast("string").alias("id"))
+    return manifest.eligible_announcements(rows, gone, datetime.datetime(2024, 1, 15), "1.2.0").select("id")
