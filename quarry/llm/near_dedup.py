@@ -11,11 +11,12 @@ the largest distance accepted, which makes the distance exact wherever it is
 accepted: at most ``1 - similarity`` of the longer text's words.
 
 Groups of copies, however large: equal texts collapse to one representative
-first. In a bucket every member is aligned with the smallest id, its hub; members
-that the hub's group doesn't take in go on to the next round, in pairs where few
-are left and with a hub of their own otherwise, until each is accounted for. So
-a bucket of n copies costs n alignments, no member is dropped, and hot hubs are
-spread over tasks.
+first. In a bucket every member is aligned with the smallest id, its hub, so that
+n copies cost n alignments, and hot hubs are spread over tasks. The members that
+aren't near their hub are gathered by bucket and clustered by leaders: each is
+held against all leaders so far, by a count of common words that can't rule out a
+match wrongly and then by alignment, and leads on its own if none is near. Each
+member of each bucket is accounted for.
 
 Edge cases: null or blank texts and null ids are in no group; rows that repeat an
 id are one document, whose text is the smallest by fingerprint; texts of fewer
@@ -44,9 +45,8 @@ class Params:
     ell: int = 3
     sketches: int = 14
     similarity: float = 0.8
-    #: Members of a hub that one task aligns, and bucket sizes that are finished pair by pair.
+    #: Members of a hub that one task aligns.
     fan: int = 256
-    pairs_upto: int = 48
 
 
 def sketch(h: np.ndarray, p: Params, odd: np.ndarray) -> np.ndarray:
@@ -216,6 +216,58 @@ def verified(pairs: DataFrame, words: DataFrame, p: Params) -> DataFrame:
     return rows.mapInArrow(run, "a bigint, b bigint")
 
 
+class Leaders:
+    """Leader clustering of one bucket."""
+
+    BINS = 128
+
+    def __init__(self, p: Params):
+        self.p = p
+        self.ids: list[int] = []
+        self.words: list[np.ndarray] = []
+        self.bins = np.zeros((16, self.BINS), dtype=np.int32)
+
+    def add(self, doc_id: int, w: np.ndarray) -> list[int]:
+        """The leaders near to w; if there are none, w leads."""
+        n = len(self.ids)
+        own = np.bincount(w % self.BINS, minlength=self.BINS).astype(np.int32)
+        near_ids: list[int] = []
+        if n:
+            lens = np.array([len(x) for x in self.words])
+            longer = np.maximum(lens, len(w))
+            # Words that share no bin can't be equal, so this bounds the common words from above.
+            common = np.minimum(self.bins[:n], own).sum(axis=1)
+            maybe = np.flatnonzero(longer - common <= ((1 - self.p.similarity) * longer + 1e-9).astype(int))
+            if len(maybe):
+                near_ids = [self.ids[i] for i, ok in zip(maybe, near(w, [self.words[i] for i in maybe], self.p.similarity)) if ok]
+        if not near_ids:
+            if n == len(self.bins):
+                self.bins = np.concatenate([self.bins, np.zeros_like(self.bins)])
+            self.bins[n] = own
+            self.ids.append(doc_id)
+            self.words.append(w)
+        return near_ids
+
+
+def led(rest: DataFrame, words: DataFrame, p: Params) -> DataFrame:
+    """Near (a, b) among the members of each bucket of ``rest`` (bucket, b)."""
+    rows = rest.join(words, rest["b"] == words["doc_id"]).select("bucket", "b", "w").repartition("bucket").sortWithinPartitions("bucket", "b")
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, leaders = None, Leaders(p)
+        for batch in it:
+            a_out, b_out = [], []
+            for bucket, b, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if bucket != last:
+                    last, leaders = bucket, Leaders(p)
+                near_ids = leaders.add(b, np.frombuffer(w.as_buffer(), dtype=np.uint32).copy())
+                a_out += near_ids
+                b_out += [b] * len(near_ids)
+            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
+
+    return rows.mapInArrow(run, "a bigint, b bigint")
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """``id, comp`` of the vertices of (a, b) edges; comp is the smallest id that is connected. Large-star and small-star in turn."""
 
@@ -255,40 +307,17 @@ def groups(docs: DataFrame, p: Params = Params()) -> DataFrame:
     scratch.drop(sk)
     slots = exact.select("rep", F.posexplode("sk").alias("j", "v")).select(F.xxhash64("j", "v").alias("bucket"), "rep").distinct()
     w = Window.partitionBy("bucket")
-    left = scratch.write(slots.withColumn("n", F.count("*").over(w)).where("n > 1").select("bucket", "rep"), "buckets")
-    words, edges, tried, comp = None, None, None, None
-    turn = 0
-    while True:
-        sized = left.withColumn("n", F.count("*").over(w)).withColumn("hub", F.min("rep").over(w))
-        pairs = sized.where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
-        if turn:
-            few = sized.where(F.col("n") <= p.pairs_upto).select("bucket", "rep")
-            more = few.select("bucket", F.col("rep").alias("a")).join(few.select("bucket", F.col("rep").alias("b")), "bucket").where("a < b").select("a", "b")
-            pairs = pairs.union(more)
-        pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = scratch.write(pairs, "pairs")
-        if turn == 0:
-            needed = left.select(F.col("rep").alias("doc_id")).distinct()
-            texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text").join(needed, "doc_id", "left_semi")
-            words = scratch.write(word_ids(texts).groupBy("doc_id").agg(F.min("w").alias("w")) if _repeats(docs) else word_ids(texts), "words")
-        found = scratch.write(verified(pairs, words, p), "found")
-        edges = found if edges is None else edges.union(found)
-        tried = pairs if tried is None else tried.union(pairs)
-        comp = scratch.write(components(edges, scratch), "components")
-        # A member is done with when it is in its hub's group, and in the later rounds when its bucket was small enough for all pairs.
-        named = sized if turn == 0 else sized.where(F.col("n") > p.pairs_upto)
-        c1 = comp.select(F.col("id").alias("rep"), F.col("comp").alias("c1"))
-        c2 = comp.select(F.col("id").alias("hub"), F.col("comp").alias("c2"))
-        rest = named.where("rep != hub").join(c1, "rep", "left").join(c2, "hub", "left")
-        rest = rest.where("c1 is null or c2 is null or c1 != c2").select("bucket", "rep")
-        rest = rest.withColumn("n", F.count("*").over(w)).where("n > 1").select("bucket", "rep")
-        rest = scratch.write(rest, "rest")
-        scratch.drop(left)
-        left, turn = rest, turn + 1
-        if left.limit(1).count() == 0:
-            break
+    members = slots.withColumn("n", F.count("*").over(w)).withColumn("hub", F.min("rep").over(w)).where("n > 1 and rep != hub")
+    members = scratch.write(members.select("bucket", F.col("hub").alias("a"), F.col("rep").alias("b")), "members")
+    pairs = scratch.write(members.select("a", "b").distinct(), "pairs")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text").join(needed, "doc_id", "left_semi")
+    words = scratch.write(word_ids(texts).groupBy("doc_id").agg(F.min("w").alias("w")) if _repeats(docs) else word_ids(texts), "words")
+    found = scratch.write(verified(pairs, words, p), "found")
+    rest = members.join(found, ["a", "b"], "left_anti").select("bucket", "b")
+    rest = rest.withColumn("n", F.count("*").over(w)).where("n > 1").select("bucket", "b")
+    more = scratch.write(led(rest, words, p), "led")
+    comp = scratch.write(components(found.union(more), scratch), "components")
     grouped = exact.join(comp, exact["rep"] == comp["id"], "left").select(F.explode("ids").alias("doc_id"), F.coalesce("comp", "rep").alias("group_id"), F.size("ids").alias("n"), "comp")
     return grouped.where("comp is not null or n > 1").select("doc_id", "group_id")
 
