@@ -183,9 +183,9 @@ def near(x: np.ndarray, ys: list[np.ndarray], similarity: float) -> np.ndarray:
 def verified(pairs: DataFrame, words: DataFrame, p: Params) -> DataFrame:
     """The (a, b) of ``pairs`` that are near, by streaming each hub's members past its words."""
     per_hub = pairs.groupBy("a").agg(F.ceil(F.count("*") / p.fan).cast("int").alias("salts"))
-    hubs = per_hub.join(words, per_hub["a"] == words["doc_id"]).select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("bigint").alias("b"), "w")
+    hubs = per_hub.join(words.hint("merge"), per_hub["a"] == words["doc_id"]).select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("bigint").alias("b"), "w")
     members = pairs.join(per_hub, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b")
-    members = members.join(words, members["b"] == words["doc_id"]).select("a", "salt", "b", "w")
+    members = members.join(words.hint("merge"), members["b"] == words["doc_id"]).select("a", "salt", "b", "w")
     rows = hubs.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,7 +251,7 @@ class Leaders:
 
 def led(rest: DataFrame, words: DataFrame, p: Params) -> DataFrame:
     """Near (a, b) among the members of each bucket of ``rest`` (bucket, b)."""
-    rows = rest.join(words, rest["b"] == words["doc_id"]).select("bucket", "b", "w").repartition("bucket").sortWithinPartitions("bucket", "b")
+    rows = rest.join(words.hint("merge"), rest["b"] == words["doc_id"]).select("bucket", "b", "w").repartition("bucket").sortWithinPartitions("bucket", "b")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, leaders = None, Leaders(p)
@@ -310,8 +310,9 @@ def groups(docs: DataFrame, p: Params = Params()) -> DataFrame:
     members = slots.withColumn("n", F.count("*").over(w)).withColumn("hub", F.min("rep").over(w)).where("n > 1 and rep != hub")
     members = scratch.write(members.select("bucket", F.col("hub").alias("a"), F.col("rep").alias("b")), "members")
     pairs = scratch.write(members.select("a", "b").distinct(), "pairs")
+    # Merge joins at every size: texts and words move once whether or not the other side would fit in memory.
     needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text").join(needed, "doc_id", "left_semi")
+    texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text").join(needed.hint("merge"), "doc_id", "left_semi")
     words = scratch.write(word_ids(texts).groupBy("doc_id").agg(F.min("w").alias("w")) if _repeats(docs) else word_ids(texts), "words")
     found = scratch.write(verified(pairs, words, p), "found")
     rest = members.join(found, ["a", "b"], "left_anti").select("bucket", "b")
