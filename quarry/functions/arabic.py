@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import string
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,7 +19,8 @@ CLITICS = ("و", "ف", "ب", "ل", "ك")
 SURFACE, LEMMA, ROOT = "surface", "lemma", "root"
 MODES = (SURFACE, LEMMA, ROOT)
 
-_QUERY_PUNCTUATION = "!\"#$%&'()+,-./:;<=>?@[\\]^_`{|}~،؛؟«»‹›“”‘’「」『』【】〈〉《》〔〕…—–·•°¬¨´¸٪٫٬۔。、"
+#: ASCII signs but the star, and the others by code point.
+_QUERY_PUNCTUATION = string.punctuation.replace("*", "") + "¨«¬°´·¸»،؛؟٪٫٬۔–—‘’“”•…‹›、。〈〉《》「」『』【】〔〕"
 
 
 def fold(text: str) -> str:
@@ -71,7 +73,8 @@ def with_clitics(query: str) -> list[str]:
 
 # Reader text: which characters belong to which token.
 
-SKIP_SIGNS = ".,،:;!?؟؛«»\"“”'‘’()[]{}⦗⦘﴾﴿/\\–—-_…·•●○◦۔؍٫٬٭±×÷=≠<>≤≥∞∑∏√∫∂∇¡¿†‡§¶©®™°′″‴"
+#: ASCII signs but a few, and the others by code point.
+SKIP_SIGNS = "".join(c for c in string.punctuation if c not in '#$%&*+@^`|~') + "¡§©«®°±¶·»¿×÷،؍؛؟٫٬٭۔–—‘’“”†‡•…′″‴™∂∇∏∑√∞∫≠≤≥○●◦⦗⦘﴾﴿"
 _SKIP = "[" + re.escape(SKIP_SIGNS).replace("&", r"\&") + "A-Za-zÀ-ɏḀ-ỿ0-9٠-٩۰-۹]"
 _ARABIC = "[؀-ۿݐ-ݿࢠ-ࣿ]"
 _SKIP_RE, _ARABIC_RE = re.compile(_SKIP), re.compile(_ARABIC)
