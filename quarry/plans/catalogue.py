@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from quarry.functions import arabic, names, scalars
 from quarry.operators import highlight, manifest, metadata, nodes, store
 from quarry.operators import tokens as tok
+from quarry.operators.postings import TermIndex, all_of, any_of
 from quarry.operators.search import KEY, Filters, Search, in_order
 from quarry.sources import corpus, export
 from quarry.workdir import Scratch
@@ -329,6 +330,38 @@ add("pages_union", _sets("or"), f"{P} SELECT text_id, part_index, page_id FROM p
 add("pages_intersect", _sets("and"), f"{P} SELECT text_id, part_index, page_id FROM p WHERE {on(OF)} AND {on(AND)}")
 add("pages_except", _sets("not"), f"{P} SELECT text_id, part_index, page_id FROM p WHERE {on(OF)} AND NOT {on(AND)}")
 
+# The same over postings clustered by term.
+
+_INDEX: dict[tuple[str, str], TermIndex] = {}
+
+
+def index(spark: SparkSession, sf: str) -> TermIndex:
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INDEX:
+        path = f"{Scratch(spark).root}/postings"
+        corpus.write_term_index(pages(spark, sf), path)
+        _INDEX[key] = TermIndex.open(spark, path)
+    return _INDEX[key]
+
+
+_at = lambda df: df.select(*KEY, F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
+
+
+def every(source: str) -> str:
+    """Positions by page, of all pages; ``source`` gives (page_id, pos)."""
+    return f"""{P} SELECT text_id, part_index, page_id, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions
+      FROM p JOIN (SELECT DISTINCT page_id, pos FROM ({source})) USING (page_id) GROUP BY ALL"""
+
+
+add("index_term", lambda s, d: _at(index(s, d).term(THE)), every(covered([THE])))
+add("index_prefix", lambda s, d: _at(index(s, d).prefix(_TI)), every(covered([_pre(_TI)])))
+add("index_infix", lambda s, d: _at(index(s, d).prefix(_TI, _ON)), every(covered([_in(_TI, _ON)])))
+add("index_phrase", lambda s, d: _at(index(s, d).phrase([OF, THE])), every(covered([OF, THE])))
+add("index_near", lambda s, d: _at(index(s, d).near(OF, TO, 5)), every(f"SELECT page_id, pos FROM ({_pairs}) UNION SELECT page_id, pos2 FROM ({_pairs})"))
+add("index_all_of", lambda s, d: all_of([index(s, d).term(OF), index(s, d).term(AND)]).select(*KEY), f"{P} SELECT text_id, part_index, page_id FROM p WHERE {on(OF)} AND {on(AND)}")
+add("index_any_of", lambda s, d: any_of([index(s, d).term(OF), index(s, d).term(AND)]).select(*KEY), f"{P} SELECT text_id, part_index, page_id FROM p WHERE {on(OF)} OR {on(AND)}")
+add("term_frequency", lambda s, d: index(s, d).frequencies(), f"{P} SELECT surface AS term, count(DISTINCT page_id) AS n_pages, count(*) AS n FROM t GROUP BY surface")
+
 # Tokens.
 
 

@@ -27,6 +27,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/quarry-{uuid.uuid4().hex}"
         self.n = 0
+        self.tables: list[DataFrame] = []
 
     def write(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
         self.n += 1
@@ -37,6 +38,7 @@ class Scratch:
         writer.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        self.tables.append(out)
         return out
 
     def drop(self, *tables: DataFrame | None) -> None:
@@ -45,3 +47,9 @@ class Scratch:
             if t is not None and getattr(t, "_scratch_path", None):
                 path = sc._jvm.org.apache.hadoop.fs.Path(t._scratch_path)
                 path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+                t._scratch_path = None
+
+    def keep_only(self, *tables: DataFrame) -> None:
+        """Frees all others; for when what is returned reads only these."""
+        self.drop(*[t for t in self.tables if not any(t is k for k in tables)])
+        self.tables = list(tables)

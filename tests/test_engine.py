@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import highlight, manifest, metadata, nodes, store
 from quarry.operators import tokens as tok
+from quarry.operators.postings import TermIndex, all_of, any_of
 from quarry.operators.search import Filters, Search
 from quarry.sources import corpus, export
 from quarry.streaming import ingest
@@ -135,6 +136,19 @@ def test_term_index_layout(spark, pages, rows, tmp_path):
     assert {r["page_id"]: r["positions"] for r in got} == {r[2]: at(r[10], ["اب"]) for r in rows if "اب" in r[10]}
 
 
+def test_postings_agree_with_page_scans(spark, pages, rows, tmp_path):
+    corpus.write_term_index(pages, str(tmp_path / "i"))
+    ix, s = TermIndex.open(spark, str(tmp_path / "i")), Search(pages)
+    got = lambda df, c="positions": {r["page_id"]: r[c] for r in df.collect()}
+    hits = lambda node: got(s.hits(node, limit=1000), "matched_token_indices")
+    assert got(ix.phrase(["اب", "كتب"])) == hits(nodes.term("اب كتب", "surface"))
+    assert got(ix.near("اب", "كتب", 2)) == hits(nodes.near(("اب", "surface"), ("كتب", "surface"), 2))
+    assert got(ix.prefix("اب")) == hits(nodes.wildcard("اب*")) and got(ix.prefix("كت", "ب")) == hits(nodes.wildcard("كت*ب"))
+    assert got(all_of([ix.term("اب"), ix.term("من")])) == hits(nodes.combined([("اب", "surface"), ("من", "surface")]))
+    assert got(any_of([ix.term("اب"), ix.term("من")])) == hits(nodes.combined([], [("اب", "surface"), ("من", "surface")]))
+    assert "EqualTo(term,اب)" in ix.term("اب")._jdf.queryExecution().toString()
+
+
 def test_streaming_gives_what_batch_gives(spark, pages, rows, tmp_path):
     base = pages.drop("surface_j", "lemma_j", "root_j")
     base.repartition(3).write.parquet(str(tmp_path / "in"))
