@@ -252,20 +252,25 @@ _form2 = names.NameForm(nasab=OF, allow_one_nasab=True)
 _pats, _pats2 = names.search_patterns(_form), names.search_patterns(_form2)
 
 
-def _any_of(patterns: list[str]) -> str:
-    """Pages with one of the patterns among their runs of as many words."""
-    parts = []
+def _runs(patterns: list[str]) -> list[tuple[int, str]]:
+    """For each length of pattern: (page_id, pos) where a run of so many words is one of them."""
+    out = []
     for n in sorted({len(p.split()) for p in patterns}):
         some = ", ".join(f"'{p}'" for p in patterns if len(p.split()) == n)
-        runs = f"SELECT page_id, surface, unnest(range(1, len(surface) - {n - 2})) AS i FROM p"
-        parts.append(f"page_id IN (SELECT page_id FROM ({runs}) WHERE array_to_string(surface[i:i + {n - 1}], ' ') IN ({some}))")
-    return "(" + " OR ".join(parts) + ")"
+        gram = "surface" + "".join(f" || ' ' || lead(surface, {k}) OVER w" for k in range(1, n))
+        out.append((n, f"SELECT page_id, pos FROM (SELECT page_id, pos, {gram} AS gram FROM t WINDOW w AS (PARTITION BY page_id ORDER BY pos)) WHERE gram IN ({some})"))
+    return out
+
+
+def _any_of(patterns: list[str]) -> str:
+    return "(" + " OR ".join(f"page_id IN (SELECT page_id FROM ({sql}))" for _, sql in _runs(patterns)) + ")"
 
 
 add("name_one_form", searching(nodes.names([_pats])), top(_any_of(_pats)))
 add("name_two_forms", searching(nodes.names([_pats, _pats2])), top(f"{_any_of(_pats)} AND {_any_of(_pats2)}"))
 _few = [f"{OF} {THE}", f"{TO} {THE}"]
-add("name_positions", lambda s, d: lit_positions(Search(pages(s, d)).names([_few, [AND]])), spots(f"{_any_of(_few)} AND {on(AND)}", " UNION ALL ".join(covered(p.split()) for p in _few)))
+_few_at = " UNION ALL ".join(f"SELECT page_id, pos + k AS pos FROM ({sql}), range(0, {n}) k(k)" for n, sql in _runs(_few))
+add("name_positions", lambda s, d: lit_positions(Search(pages(s, d)).names([_few, [AND]])), spots(f"{_any_of(_few)} AND {on(AND)}", _few_at))
 
 # One page.
 
