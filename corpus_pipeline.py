@@ -53,5 +53,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = scratch.write(stage(spark, docs, sf_dir), name)
+        kept = scratch.write(stage(spark, docs, sf_dir), name)
+        scratch.keep_only(kept)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)

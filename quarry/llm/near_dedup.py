@@ -296,10 +296,9 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return now.select(F.col("b").alias("id"), F.col("a").alias("comp")).union(now.select(F.col("a").alias("id"), F.col("a").alias("comp")).distinct())
 
 
-def groups(docs: DataFrame, p: Params = Params()) -> DataFrame:
+def groups(docs: DataFrame, p: Params = Params(), scratch: Scratch | None = None) -> DataFrame:
     """``doc_id, group_id`` of every document that has a near or exact duplicate; group_id is the smallest id of the group."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+    scratch = scratch or Scratch(docs.sparkSession)
     sk = scratch.write(sketches_of(docs, p), "sketches")
     one = sk.groupBy("doc_id").agg(F.min(F.struct("f1", "f2", "sk")).alias("s")).select("doc_id", "s.*")
     exact = one.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("sk").alias("sk"), F.collect_list("doc_id").alias("ids"))
@@ -319,6 +318,7 @@ def groups(docs: DataFrame, p: Params = Params()) -> DataFrame:
     rest = rest.withColumn("n", F.count("*").over(w)).where("n > 1").select("bucket", "b")
     more = scratch.write(led(rest, words, p), "led")
     comp = scratch.write(components(found.union(more), scratch), "components")
+    scratch.keep_only(exact, comp)
     grouped = exact.join(comp, exact["rep"] == comp["id"], "left").select(F.explode("ids").alias("doc_id"), F.coalesce("comp", "rep").alias("group_id"), F.size("ids").alias("n"), "comp")
     return grouped.where("comp is not null or n > 1").select("doc_id", "group_id")
 
@@ -330,7 +330,9 @@ def _repeats(docs: DataFrame) -> bool:
 
 def drop_near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """``docs`` with one document of each group, the one of the smallest id, and one row of each id."""
-    losers = groups(docs, p).where("doc_id != group_id").select("doc_id")
+    scratch = Scratch(docs.sparkSession)
+    losers = scratch.write(groups(docs, p, scratch).where("doc_id != group_id").select("doc_id"), "losers")
+    scratch.keep_only(losers)
     kept = docs.join(losers, "doc_id", "left_anti").select(*docs.columns)
     if not _repeats(docs):
         return kept

@@ -129,7 +129,7 @@ class SuffixIndex:
         self.scratch = scratch
         self.levels: list[tuple[int, DataFrame]] = []
 
-    def add(self, suffixes: DataFrame) -> list[DataFrame]:
+    def add(self, suffixes: DataFrame) -> DataFrame:
         """Takes in a batch; returns ``doc_id, at, src_doc, src_at`` of its suffixes that repeat an earlier one."""
         old = F.struct(F.col("doc_id").alias("src_doc"), F.col("at").alias("src_at"))
         here = Window.partitionBy(*self.KEY)
@@ -141,6 +141,7 @@ class SuffixIndex:
         self_first = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("at") == F.col("first.at"))
         source = F.coalesce("known", F.struct(F.col("first.doc_id").alias("src_doc"), F.col("first.at").alias("src_at")))
         matches = scanned.where(F.col("known").isNotNull() | ~self_first).select("doc_id", "at", source.alias("src")).select("doc_id", "at", "src.*")
+        matches = self.scratch.write(matches, "matches")
         fresh = scanned.where(F.col("known").isNull() & self_first).select(*self.KEY, "doc_id", "at")
         rank, table, used = 0, fresh, []
         while self.levels and self.levels[-1][0] == rank:
@@ -148,18 +149,19 @@ class SuffixIndex:
             table, rank = table.union(other), rank + 1
             used.append(other)
         self.levels.append((rank, self.scratch.write(table.dropDuplicates([*self.KEY, "doc_id", "at"]).sortWithinPartitions(*self.KEY), "level")))
-        self.scratch.drop(*used)
-        return [matches]
+        self.scratch.drop(scanned, *used)
+        return matches
 
 
-def matches(docs: DataFrame, p: Params = Params()) -> DataFrame:
+def matches(docs: DataFrame, p: Params = Params(), scratch: Scratch | None = None) -> DataFrame:
     """``doc_id, at, src_doc, src_at``: the passage of ``min_words`` words at ``at`` comes earlier, first at src."""
-    scratch = Scratch(docs.sparkSession)
+    scratch = scratch or Scratch(docs.sparkSession)
     all_anchors = anchor_table(docs, p)
     twice = F.count("*").over(Window.partitionBy("key"))
     repeated = all_anchors.withColumn("n", twice).where("n > 1").groupBy("doc_id").agg(F.collect_list("at").alias("ats"))
     repeated = scratch.write(repeated, "anchors")
-    bounds = repeated.approxQuantile("doc_id", [i / p.batches for i in range(1, p.batches)], 0.01)
+    shares = [i / p.batches for i in range(1, p.batches)]
+    bounds = repeated.agg(F.percentile_approx("doc_id", shares, 1000)).first()[0] if shares else []
     suffixes = suffix_table(docs, repeated, p)
     batch = F.lit(0)
     for x in sorted(set(int(x) for x in bounds or [])):
@@ -167,20 +169,21 @@ def matches(docs: DataFrame, p: Params = Params()) -> DataFrame:
     table = scratch.write(suffixes.withColumn("batch", batch), "suffixes", ["batch"])
     index, found = SuffixIndex(scratch), []
     for i in range(p.batches):
-        found += index.add(table.where(F.col("batch") == i).drop("batch"))
+        found.append(index.add(table.where(F.col("batch") == i).drop("batch")))
+    scratch.keep_only(*found)
     out = found[0]
     for m in found[1:]:
         out = out.unionByName(m)
     return out
 
 
-def spans(docs: DataFrame, p: Params = Params()) -> DataFrame:
+def spans(docs: DataFrame, p: Params = Params(), scratch: Scratch | None = None) -> DataFrame:
     """``doc_id, start_word, end_word, src_doc_id``: the maximal runs of repeated words, end exclusive.
 
     ``src_doc_id`` is the document of the first occurrence of the run's first
     ``min_words`` words.
     """
-    m = matches(docs, p).distinct()
+    m = matches(docs, p, scratch).distinct()
     by_doc = Window.partitionBy("doc_id").orderBy("at")
     new = F.when(F.col("at") <= F.lag("at").over(by_doc) + p.min_words, 0).otherwise(1)
     runs = m.withColumn("new", new).withColumn("run", F.sum("new").over(by_doc))
@@ -224,4 +227,7 @@ def cut(text: str | None, cuts: list) -> str:
 
 def drop_repeats(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """``docs`` with every passage of ``min_words`` words or more left where it comes first only."""
-    return cut_spans(docs, Scratch(docs.sparkSession).write(spans(docs, p), "spans"))
+    scratch = Scratch(docs.sparkSession)
+    found = scratch.write(spans(docs, p, scratch), "spans")
+    scratch.keep_only(found)
+    return cut_spans(docs, found)
