@@ -191,7 +191,7 @@ def count_tokens(docs: DataFrame, ranks: str = RANKS, pattern: str = PATTERN, bl
     shape = "cut int, block bigint, data binary"
     id_type = docs.schema["doc_id"].dataType.simpleString()
     slot = F.when(F.col("cut") < 0, F.pmod(F.xxhash64("block"), F.lit(cuts)).cast("int")).otherwise(F.col("cut"))
-    by_cut = docs.select("doc_id", "text").mapInArrow(postings, shape).repartition(cuts, slot).sortWithinPartitions("cut")
+    by_cut = docs.select("doc_id", "text").mapInArrow(postings, shape).repartitionById(cuts, slot).sortWithinPartitions("cut")
     sums = by_cut.mapInArrow(counted, shape)
     by_block = sums.repartition("block").sortWithinPartitions("block", "cut")
     return by_block.mapInArrow(summed, f"doc_id {id_type}, n_tokens bigint")
