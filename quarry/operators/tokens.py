@@ -8,14 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.scalars import json_clitics, json_strings
+from quarry.workdir import Scratch
 
 KEY = ["text_id", "part_index", "page_id"]
 
 
 def decode_ids(blob: Column) -> Column:
     """Little-endian unsigned 32-bit numbers; a trailing part of one is ignored."""
-    byte = lambda i, k: F.conv(F.hex(F.substring(blob, i * 4 + (k + 1), F.lit(1))), 16, 10).cast("bigint")
-    number = lambda i: byte(i, 0) + byte(i, 1) * 256 + byte(i, 2) * 65536 + byte(i, 3) * 16777216
+    byte = lambda i, k: F.hex(F.substring(blob, i * 4 + k, F.lit(1)))
+    number = lambda i: F.conv(F.concat(*[byte(i, k) for k in (4, 3, 2, 1)]), 16, 10).cast("bigint")
     count = F.floor(F.length(blob) / 4).cast("int")
     return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), number)).otherwise(F.array().cast("array<bigint>"))
 
@@ -76,9 +77,19 @@ def find_positions(tokens: DataFrame, field: str, value: str) -> DataFrame:
     return tokens.where(F.col(field) == value).select(*KEY, "idx")
 
 
+def numbered(rows: DataFrame, by: list[str], scratch: Scratch) -> DataFrame:
+    """``rows`` with ``id`` 1, 2, ... in the order of ``by``, ranked in range partitions and shifted by the sizes of those before."""
+    parts = scratch.write(rows.repartitionByRange(*by).withColumn("pid", F.spark_partition_id()), "ranked")
+    ahead = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    shift = parts.groupBy("pid").agg(F.count("*").alias("n")).select("pid", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("shift"))
+    rank = F.row_number().over(Window.partitionBy("pid").orderBy(*by))
+    return parts.join(F.broadcast(shift), "pid").select(*rows.columns, (F.col("shift") + rank).alias("id"))
+
+
 def dictionary_of(tokens: DataFrame) -> tuple[Dictionary, DataFrame]:
     """A dictionary and packed pages from a token table (key, pos, surface, lemma, root); ids follow the sort order."""
-    number = lambda rows, *by: rows.withColumn("id", F.dense_rank().over(Window.orderBy(*by)).cast("bigint"))
+    scratch = Scratch(tokens.sparkSession)
+    number = lambda rows, *by: scratch.write(numbered(rows, list(by), scratch), "dimension")
     lemmas = number(tokens.select("lemma").distinct(), "lemma")
     roots = number(tokens.where("root is not null").select("root").distinct(), "root")
     spark = tokens.sparkSession
