@@ -99,7 +99,7 @@ class Search:
         return self.hits(nodes.wildcard(query), **kw)
 
     def names(self, forms: list[list[str]], first_form_only: bool = True, **kw) -> DataFrame:  # noqa: ANN003
-        """As the reference behaviour has it, only the first form is highlighted unless asked otherwise."""
+        """Only the first form is highlighted unless asked otherwise."""
         return self.hits(nodes.names(forms), light=nodes.names(forms[:1]) if first_form_only else None, **kw)
 
     def with_total(self, node: Node, filters: Filters | None = None, limit: int = 50) -> DataFrame:
