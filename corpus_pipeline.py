@@ -6,6 +6,7 @@ the last stage gives the places of the documents' words in the sequences.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm import mixing, near_dedup, packing, quality, suffix_dedup
@@ -13,8 +14,14 @@ from quarry.workdir import Scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass every rule of the cascade."""
-    return quality.keep_good(docs)
+    """Documents that pass every rule of the cascade, with toxicity as ``labels`` teach it where that table is there."""
+    try:
+        labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        labels = None
+    return quality.keep_good(docs, labels=labels)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -329,6 +329,34 @@ def test_quality_keeps_the_clean_and_any_order_agrees(spark, awkward, empty):
     assert quality.judge(awkward).count() == 15 and quality.judge(empty).count() == 0
 
 
+def test_toxicity_is_learned_in_each_language(spark, awkward):
+    r = random.Random(21)
+    langs = {"en": "scump", "de": "blödl", "fr": "crétin", "es": "bobón"}
+    rows, labels = [], []
+    for lang, stem in langs.items():
+        marks = [stem + x for x in "abcdefgh"]
+        for k in range(240):
+            i, toxic = len(rows), k % 3 == 0
+            words = [f"{lang}{w}" for w in prose(r, 40).split()] + (r.sample(marks, 4) if toxic else [])
+            r.shuffle(words)
+            # Some rows don't name their language.
+            rows.append((i, " ".join(words), None if k % 12 in (5, 6, 9) else lang, "s"))
+            labels.append((i, int(toxic), k % 2))
+    df = frame(spark, rows)
+    of = {i: (lang or "none", t) for (i, _, lang, _), (_, t, _) in zip(rows, labels)}
+    fit, held = ({i for i, _, h in labels if h == part} for part in (0, 1))
+    taught = spark.createDataFrame([(i, t) for i, t, _ in labels if i in fit], "doc_id bigint, toxic int")
+    kept = {x["doc_id"] for x in quality.keep_good(df, labels=taught).collect()}
+    assert {x["doc_id"] for x in quality.keep_good(df).collect()} == set(of)
+    for name in (*langs, "none"):
+        toxic, clean = ({i for i in held if of[i] == (name, t)} for t in (1, 0))
+        assert len(toxic) > 5 and len(toxic & kept) <= 0.1 * len(toxic) and len(clean & kept) >= 0.97 * len(clean)
+    # Ids that repeat, labels of unknown rows or of one class only teach nothing wrong.
+    odd = spark.createDataFrame([(1, 1), (1, 0), (999, 1), (None, 1)], "doc_id bigint, toxic int")
+    assert quality.keep_good(awkward, labels=odd).columns == awkward.columns
+    assert quality.keep_good(awkward, labels=odd).count() == quality.keep_good(awkward, labels=odd.where("doc_id = 999")).count() == quality.keep_good(awkward).count()
+
+
 # 6. Token counts.
 
 
