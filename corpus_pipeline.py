@@ -40,8 +40,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places in training sequences of 2,048 words."""
-    return packing.pack(docs)
+    """Places in training sequences of 2,048 words; sequences by shard and bin follow the order of the mix."""
+    return packing.pack_in_order(docs)
 
 
 STAGES = [

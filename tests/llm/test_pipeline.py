@@ -52,6 +52,56 @@ def test_stages_take_effect(spark, docs, tmp_path):
         assert packing.check_bins([(x["bin"], x["offset"], x["size"]) for x in rows if x["shard"] == shard], 2048)
 
 
+def test_sequences_follow_the_curriculum(spark, tmp_path):
+    r = random.Random(30)
+    # A large source that loses share and a small one that gains it, and is repeated.
+    rows = [(i, prose(r, r.randint(100, 400)), "en", "big" if i % 20 else "small") for i in range(2400)]
+    of = {i: s for i, _, _, s in rows}
+    stages = dict(corpus_pipeline.STAGES)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        stages["source_mix"](spark, frame(spark, rows), "").write.option("maxRecordsPerFile", 300).parquet(str(tmp_path / "mix"))
+        mixed = spark.read.parquet(str(tmp_path / "mix"))
+        outs = [packing.pack_in_order(mixed, shard_tokens=t).collect() for t in (60_000, 10**9)] + [packing.pack_in_order(mixed.orderBy("doc_id"), shard_tokens=60_000).collect()]
+        default = stages["best_fit_packing"](spark, mixed, "").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = Counter()
+    for x in mixed.collect():
+        want[x["doc_id"]] += len(x["text"].split())
+    for out in (*outs, default):
+        got = Counter()
+        for x in out:
+            got[x["doc_id"]] += x["size"]
+        assert got == want
+        for shard in {x["shard"] for x in out}:
+            assert packing.check_bins([(x["bin"], x["offset"], x["size"]) for x in out if x["shard"] == shard], 2048)
+    for out in (outs[0], outs[1], default):
+        out = sorted(out, key=lambda x: (x["shard"], x["bin"], x["offset"]))
+        share = []
+        for q in range(4):
+            part = out[q * len(out) // 4 : (q + 1) * len(out) // 4]
+            share.append(sum(x["size"] for x in part if of[x["doc_id"]] == "small") / sum(x["size"] for x in part))
+        assert share[0] < share[1] < share[2] < share[3] and share[3] > 1.8 * share[0], share
+    # Shards are ranges of the schedule, in its order.
+    at = defaultdict(list)
+    for x in mixing.positions(frame(spark, rows)).collect():
+        at[x["doc_id"]].append(x["position"])
+    once = {i: v[0] for i, v in at.items() if len(v) == 1}
+    shards = defaultdict(list)
+    for x in outs[0]:
+        if x["doc_id"] in once:
+            shards[x["shard"]].append(once[x["doc_id"]])
+    keys = sorted(shards)
+    assert len(keys) > 3 and all(max(shards[a]) <= min(shards[b]) for a, b in zip(keys, keys[1:]))
+    # The order of a table that isn't a plain file scan counts as well.
+    by_id = defaultdict(list)
+    for x in outs[2]:
+        by_id[x["shard"]].append(x["doc_id"])
+    keys = sorted(by_id)
+    assert len(keys) > 3 and all(max(by_id[a]) <= min(by_id[b]) for a, b in zip(keys, keys[1:]))
+
+
 def test_awkward_tables_run_through(spark, awkward, empty, tmp_path):  # noqa: F811
     for label, start in (("a", awkward), ("e", empty)):
         now = start
