@@ -43,7 +43,8 @@ from quarry.workdir import Scratch
 class Params:
     k: int = 2
     ell: int = 3
-    sketches: int = 14
+    #: So many that a pair of just the similarity asked for shares a bucket in more than nine of ten cases, from 20 words up.
+    sketches: int = 32
     similarity: float = 0.8
     #: Members of a hub that one task aligns.
     fan: int = 256

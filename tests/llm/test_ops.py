@@ -155,6 +155,23 @@ def test_near_dedup_recall_and_precision(spark):
     assert all(g == min(d for d, h in got.items() if h == g) for g in set(got.values()))
 
 
+def test_near_dedup_finds_isolated_pairs_at_the_threshold(spark):
+    r = random.Random(17)
+    docs, kinds = [], [(sim, n) for sim in (0.8, 0.82, 0.85) for n in (20, 50, 100, 300)]
+    for sim, n in kinds:
+        for _ in range(150):
+            x = [f"w{r.getrandbits(48)}" for _ in range(n)]
+            y = list(x)
+            for p in r.sample(range(n), int((1 - sim) * n + 1e-9)):
+                y[p] = f"v{r.getrandbits(48)}"
+            docs += [(len(docs) + j, " ".join(t), "en", "s") for j, t in enumerate((x, y))]
+    got = {x["doc_id"]: x["group_id"] for x in near_dedup.groups(frame(spark, docs)).collect()}
+    for k, kind in enumerate(kinds):
+        pairs = range(300 * k, 300 * (k + 1), 2)
+        assert sum(got.get(i) == got.get(i + 1) == i for i in pairs) >= 0.9 * len(pairs), kind
+    assert all(g in (i, i - 1) for i, g in got.items())
+
+
 def test_near_dedup_hot_bucket_and_leftovers(spark):
     r = random.Random(1)
     base = prose(r, 100).split()
