@@ -1,7 +1,7 @@
-"""Intermediate tables in the folder that all executors share.
+"""Intermediate tables in the folder that all executors share, and small files beside them.
 
-The folder is the one the cluster names in ``spark.checkpoint.dir``; only where
-that is unset (tests, a laptop) does the session get a folder of its own.
+The folder is the one the cluster names in ``spark.checkpoint.dir``; only a local
+session without that setting (tests, a laptop) gets a folder of its own.
 """
 
 from __future__ import annotations
@@ -15,38 +15,75 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quarry-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
+def _file(spark: SparkSession, path: str):  # noqa: ANN202
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _file(spark, path)
+    return fs.exists(at)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file of any file system that Spark reads."""
+    fs, at = _file(spark, path)
+    stream = fs.open(at)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Written beside and moved, so that readers see the old content or the new."""
+    fs, new = _file(spark, path + ".new")
+    stream = fs.create(new, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    _, at = _file(spark, path)
+    if fs.exists(at):
+        fs.delete(at, False)
+    if not fs.rename(new, at):
+        raise OSError(f"{path} can't be written")
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage; ``drop`` frees one early."""
 
-    def __init__(self, spark: SparkSession):
+    def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/quarry-{uuid.uuid4().hex}"
-        self.n = 0
+        self.root = root or f"{shared_dir(spark)}/quarry-{uuid.uuid4().hex}"
+        self.n, self.id = 0, uuid.uuid4().hex[:6]
         self.tables: list[DataFrame] = []
 
-    def write(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+    def path(self, name: str) -> str:
+        """A new one, also where the folder holds tables of an earlier run."""
         self.n += 1
-        path = f"{self.root}/{self.n:03d}-{name}"
-        writer = df.write.option("compression", "zstd")
-        if partition_by:
-            writer = writer.partitionBy(*partition_by)
-        writer.parquet(path)
+        return f"{self.root}/{self.n:03d}-{self.id}-{name}"
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = self.path(name)
+        df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         self.tables.append(out)
         return out
 
     def drop(self, *tables: DataFrame | None) -> None:
-        sc = self.spark.sparkContext
         for t in tables:
             if t is not None and getattr(t, "_scratch_path", None):
-                path = sc._jvm.org.apache.hadoop.fs.Path(t._scratch_path)
-                path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+                fs, at = _file(self.spark, t._scratch_path)
+                fs.delete(at, True)
                 t._scratch_path = None
 
     def keep_only(self, *tables: DataFrame) -> None:
