@@ -309,15 +309,52 @@ def test_repeats_are_exactly_those_of_brute_force(spark, params):
     assert sorted(map(tuple, got)) == slow_spans(docs, params.min_words)
 
 
-def test_levels_merge_geometrically(spark):
-    from quarry.workdir import Scratch
+def suffixes_of(spark, docs, p):
+    return suffix_dedup.suffix_table(suffix_dedup._texts(frame(spark, [(i, t, "en", "s") for i, t in docs]), False), p)
+
 
-    index = suffix_dedup.SuffixIndex(Scratch(spark))
-    ranks = []
+def test_levels_merge_geometrically(spark, tmp_path):
+    index = suffix_dedup.SuffixIndex(spark, f"file://{tmp_path}/index")
+    ranks, found = [], []
     for b in range(6):
-        index.add(spark.createDataFrame([(1, 10 * b + i, b, i) for i in range(3)], "word int, print bigint, doc_id bigint, at int"))
+        rows = [(10 * b + i, b, 0, i) for i in range(3)] + [(11, b, 0, 9)]
+        found += [tuple(x) for x in index.add(spark.createDataFrame(rows, suffix_dedup.SUFFIX)).collect()]
+        index.drop_merged()
         ranks.append([r for r, _ in index.levels])
     assert ranks == [[0], [1], [1, 0], [2], [2, 0], [2, 1]]
+    assert sorted(found) == [(1, 0, 1, 0, 0, 9), *[(b, 0, 9, 0, 0, 9) for b in range(1, 6)]]
+    index.close()
+
+
+def test_index_takes_a_further_batch_from_its_folder(spark, tmp_path):
+    docs, p, folder = passages(random.Random(77)), suffix_dedup.Params(min_words=12), f"file://{tmp_path}/index"
+    cuts = [docs[:20], docs[20:40], docs[40:]]
+    index, got = suffix_dedup.SuffixIndex(spark, folder, p), []
+    for part in cuts:
+        found = index.add_documents(frame(spark, [(i, t, "en", "s") for i, t in part]))
+        got += [(x["doc_id"], x["at"], x["src_doc"], x["src_at"]) for x in found.distinct().collect()]
+        index.close()
+        index = suffix_dedup.SuffixIndex.open(spark, folder)
+    want, first = [], {}
+    for i, t in docs:
+        w = t.lower().split()
+        for at in range(len(w) - 11):
+            src = first.setdefault(tuple(w[at : at + 12]), (i, at))
+            want += [(i, at, *src)] if src != (i, at) else []
+    assert sorted(got) == sorted(want) and len(want) > 500
+    assert [rank for rank, _ in index.levels] == [1, 0]
+    index.close()
+
+
+def test_rows_that_share_an_id_but_not_a_text(spark):
+    r = random.Random(12)
+    passage = prose(r, 60)
+    docs = [(1, passage + " " + prose(r, 5)), (2, prose(r, 20) + " " + passage), (2, "a b"), (2, "a b"), (3, passage), (3, "x " + passage + " y"), (3, "x " + passage + " y")]
+    df = frame(spark, [(i, t, "en", "s") for i, t in docs])
+    got = sorted(map(tuple, suffix_dedup.spans(df).collect()))
+    assert got == [(2, 20, 80, 1), (3, 0, 60, 1), (3, 1, 61, 1)]
+    out = sorted((x["doc_id"], x["text"]) for x in suffix_dedup.drop_repeats(df).collect())
+    assert out == sorted([docs[0], (2, " ".join(docs[1][1].split()[:20])), (2, "a b"), (2, "a b"), (3, "x y"), (3, "x y")])
 
 
 def test_cutting(spark, awkward, empty):
