@@ -8,26 +8,30 @@ differs in at most d // 4 bits; after the first j of the next round, within
 4 (r + 1) + j - 1. A query ends as soon as its kth smallest distance, computed on
 the full codes, is covered so. The result is exact, ties by the smaller id.
 
-Every row is a query. The codes are cut into shards and query blocks of bounded
-size; a task searches one block in one shard, and the k best of all shards
-merge. No table is broadcast.
+A stated set of rows asks, all rows answer. The codes are cut into shards of bounded
+size, and a task builds the indexes of its shard once and streams the queries past
+them, however many they are; the k best of all shards merge. Each query visits every
+shard. Only where there are fewer shards than ``tasks`` are shards copied, so that
+several tasks share the queries. No table is broadcast.
 
 Codes are the signs of the first 64 components: bit i is set if component i > 0.
 
 Edge cases: null ids and null embeddings are left out; a null component counts as
 not positive, and missing ones too; rows that repeat an id count as one, with the
 smallest code; equal codes are at distance 0; with fewer than k other rows all of
-them are returned; an empty table gives an empty result.
+them are returned; an empty table gives an empty result. Only ``vec_id`` (bigint)
+and ``embedding`` are read, and columns of other names don't matter.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.workdir import Scratch
@@ -88,28 +92,42 @@ def codes_of(embeddings: DataFrame) -> DataFrame:
     return rows.groupBy("vec_id").agg(F.min("code").alias("code"))
 
 
-def nearest(embeddings: DataFrame, k: int = 10, shard_rows: int = 65_536, block_rows: int = 4096) -> DataFrame:
-    """``query_id, neighbor_id, distance, rank`` with the k nearest other codes of every row."""
+def nearest(embeddings: DataFrame, k: int = 10, shard_rows: int = 65_536, asks: Column | None = None, tasks: int = 24) -> DataFrame:
+    """``query_id, neighbor_id, distance, rank`` with the k nearest other codes of every row, or of the rows that meet ``asks`` (a condition on ``vec_id``)."""
     spark = embeddings.sparkSession
     codes = Scratch(spark).write(codes_of(embeddings), "codes")
-    n = codes.count()
-    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-n // max(block_rows, min(shard_rows, n // 24 + 1))))
+    shards = max(1, -(-codes.count() // shard_rows))
+    copies = max(1, -(-tasks // shards))
     h = F.xxhash64("vec_id")
-    base = codes.select("vec_id", "code", F.pmod(h, F.lit(shards)).alias("shard"), F.pmod(F.shiftrightunsigned(h, 20), F.lit(blocks)).alias("block"))
     upto = lambda n: F.explode(F.expr(f"sequence(0L, {n - 1}L)"))
-    targets = base.select("shard", upto(blocks).alias("block"), "vec_id", "code")
-    queries = base.select(upto(shards).alias("shard"), "block", "vec_id", "code")
-
-    def run(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if len(q) and len(t):
-            index = Index(t["vec_id"].to_numpy(), t["code"].to_numpy().view(np.uint64))
-            for own, code in zip(q["vec_id"].tolist(), q["code"].to_numpy().view(np.uint64).tolist()):
-                ids, d = index.search(code, own, k)
-                out.append((np.full(len(ids), own, np.int64), ids, d))
-        cols = [np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i in range(3)]
-        return pd.DataFrame({"query_id": cols[0], "neighbor_id": cols[1], "distance": cols[2].astype(np.int32)})
-
-    found = queries.groupBy("shard", "block").cogroup(targets.groupBy("shard", "block")).applyInPandas(run, "query_id bigint, neighbor_id bigint, distance int")
+    answers = codes.select(F.pmod(h, F.lit(shards)).alias("shard"), upto(copies).alias("copy"), F.lit(False).alias("asks"), "vec_id", "code")
+    queries = codes.where(asks) if asks is not None else codes
+    queries = queries.select(upto(shards).alias("shard"), F.pmod(F.shiftrightunsigned(h, 20), F.lit(copies)).alias("copy"), F.lit(True).alias("asks"), "vec_id", "code")
+    rows = answers.unionByName(queries).repartition(shards * copies, "shard", "copy").sortWithinPartitions("shard", "copy", "asks")
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, index, ids, values = None, None, [], []
+        for b in it:
+            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            shard, copy, query = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            vec, code = b.column(3).to_numpy(), b.column(4).to_numpy().view(np.uint64)
+            # Runs of one shard and kind.
+            edge = np.flatnonzero((np.diff(shard, prepend=-1) != 0) | (np.diff(copy, prepend=-1) != 0) | (np.diff(query.astype(np.int8), prepend=2) != 0))
+            for at, upto_ in zip(edge, [*edge[1:], b.num_rows]):
+                if (shard[at], copy[at]) != last:
+                    last, index, ids, values = (shard[at], copy[at]), None, [], []
+                if not query[at]:
+                    ids.append(vec[at:upto_].copy())
+                    values.append(code[at:upto_].copy())
+                    continue
+                if index is None:
+                    index = Index(np.concatenate(ids or [np.zeros(0, np.int64)]), np.concatenate(values or [np.zeros(0, np.uint64)]))
+                for own, c in zip(vec[at:upto_].tolist(), code[at:upto_].tolist()):
+                    found, d = index.search(c, own, k)
+                    out.append((np.full(len(found), own, np.int64), found, d))
+            columns = [np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2].astype(np.int32))], ["query_id", "neighbor_id", "distance"])
+
+    found = rows.mapInArrow(run, "query_id bigint, neighbor_id bigint, distance int")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "neighbor_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)

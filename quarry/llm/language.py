@@ -1,17 +1,25 @@
 """Language identification: words first, then shorter and shorter character n-grams.
 
-The model counts words by language in a sample of labelled rows, at most
-``train_rows``; this bound is the only one, all else sees whole texts. A word of
-the vocabulary scores its log frequency in each language. A word that isn't
-there scores, at each of its characters, the longest n-gram from there that the
-model knows (``longest`` characters down to 1), and counts as the mean of those.
+The model counts words by language in a bounded sample of labelled rows: of each
+language those of the smallest hash of id and text over the whole table, ``rows``
+at most, and no more once they hold ``words`` words (or an equal part of
+``entries``, if there are many languages). So rare languages, and languages that
+lie at the end of the table, are in it. This bound is the only one: every word of
+the sample is kept, and what is identified is read whole. What the driver and the
+tasks hold grows with the entries (word, language) of the sample.
+
+A word of the vocabulary scores its log frequency in each language. A word that
+isn't there scores, at each of its characters, the longest n-gram from there that
+the model knows (``longest`` characters down to 1), and counts as the mean of those.
 A document goes to the language of the largest sum; ties go to the name that
 comes first.
 
 Edge cases: texts without words (null, empty, signs only) are ``und``; every row
 gives one row, so null or repeated ids stay; rows without a label aren't trained
-on; without any labelled row everything is ``und``. Only ``doc_id``, ``text`` and,
-for training, ``lang`` are read.
+on; without any labelled row, or in an empty table, everything is ``und``; very long
+texts are scored whole, and the row of the sample that crosses the bound of words is
+taken whole. Only ``doc_id``, ``text`` and, for training, ``lang`` are read, and
+columns of other names don't matter.
 """
 
 from __future__ import annotations
@@ -29,23 +37,55 @@ from quarry.llm.wordhash import PUNCTUATION, U64, batches, mix, words_of
 
 @dataclass(frozen=True)
 class Params:
-    #: Rows of the training sample, words kept of each language, and languages at most.
-    train_rows: int = 4000
-    words: int = 50_000
+    #: The training sample: rows and words of each language at most, and words of all.
+    rows: int = 1000
+    words: int = 500_000
+    entries: int = 5_000_000
+    #: Languages of a list that may be sent to all tasks.
+    broadcast_langs: int = 10_000
     longest: int = 5
     alpha: float = 0.1
-    seed: int = 11
+
+
+@dataclass
+class Logs:
+    """Sorted 64-bit keys with their log frequencies: ``base`` of a language where a key is unseen in it, and ``more`` where it is seen."""
+
+    keys: np.ndarray
+    first: np.ndarray
+    lang: np.ndarray
+    more: np.ndarray
+    base: np.ndarray
+
+    @classmethod
+    def of(cls, key: np.ndarray, lang: np.ndarray, n: np.ndarray, n_langs: int, alpha: float, among: int | None = None) -> Logs:
+        """From (key, language, count), which may repeat; ``among`` is the number of kinds if it isn't that of the keys."""
+        keys, own = np.unique(key, return_inverse=True)
+        pairs, at = np.unique(own * max(1, n_langs) + lang, return_inverse=True)
+        count = np.bincount(at, weights=n, minlength=len(pairs))
+        lang = pairs % max(1, n_langs)
+        total = np.bincount(lang, weights=count, minlength=n_langs)
+        below = np.log(total + alpha * (len(keys) if among is None else among)) if len(keys) else np.zeros(n_langs)
+        base = np.log(alpha) - below
+        first = np.searchsorted(pairs // max(1, n_langs), np.arange(len(keys) + 1))
+        return cls(keys, first, lang.astype(np.int32), np.log(count + alpha) - np.log(alpha), base)
+
+    def rows(self, at: np.ndarray) -> np.ndarray:
+        """Log frequencies in each language of the keys at ``at``."""
+        out = np.repeat(self.base[None, :], len(at), axis=0)
+        n = self.first[at + 1] - self.first[at]
+        entry = np.repeat(self.first[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        out[np.repeat(np.arange(len(at)), n), self.lang[entry]] += self.more[entry]
+        return out
 
 
 @dataclass
 class Model:
-    """Sorted 64-bit keys with a row of log frequencies for each, for words and for n-grams of each length."""
+    """Words by their hashes, and n-grams of each length by their keys."""
 
     langs: list[str]
-    word_keys: np.ndarray
-    word_logs: np.ndarray
-    gram_keys: list[np.ndarray]
-    gram_logs: list[np.ndarray]
+    words: Logs
+    grams: list[Logs]
 
 
 def ngram_keys(words: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,34 +103,30 @@ def ngram_keys(words: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
     return word, key
 
 
-def _logs(counts: np.ndarray, alpha: float) -> np.ndarray:
-    total = counts.sum(axis=0)
-    return np.log((counts + alpha) / (total + alpha * len(counts)))
-
-
 def fit(counts: list[tuple[str, str, int]], p: Params = Params()) -> Model:
     """From (language, word, count) of the sample."""
     langs = sorted({r[0] for r in counts})
     col = {x: i for i, x in enumerate(langs)}
-    table: dict[str, np.ndarray] = {}
-    for lang, word, n in counts:
-        table.setdefault(word, np.zeros(len(langs)))[col[lang]] += n
-    words = sorted(table)
-    freq = np.array([table[w] for w in words]).reshape(len(words), len(langs))
-    raw = [w.encode() for w in words]
-    keys = words_of(pa.array(words, pa.string()), space=PUNCTUATION, lower=False)
-    single = np.diff(keys.first) == 1
-    order = np.argsort(keys.hash[keys.first[:-1][single]])
-    gram_keys, gram_logs = [], []
-    for n in range(1, p.longest + 1):
-        at, key = ngram_keys(raw, n)
-        at, key = at[key > 0], key[key > 0]
-        uniq, own = np.unique(key, return_inverse=True)
-        sums = np.stack([np.bincount(own, weights=freq[at, j], minlength=len(uniq)) for j in range(len(langs))], axis=1) if len(langs) else np.zeros((len(uniq), 0))
-        gram_keys.append(uniq)
-        gram_logs.append(_logs(sums, p.alpha))
-    seen = freq[single]
-    return Model(langs, keys.hash[keys.first[:-1][single]][order], _logs(seen, p.alpha)[order], gram_keys, gram_logs)
+    names = sorted({r[1] for r in counts})
+    at = {w: i for i, w in enumerate(names)}
+    word, lang, n = (np.array([f(r) for r in counts], dtype=np.int64) for f in (lambda r: at[r[1]], lambda r: col[r[0]], lambda r: r[2]))
+    order = np.argsort(word, kind="stable")
+    word, lang, n = word[order], lang[order], n[order]
+    first = np.searchsorted(word, np.arange(len(names) + 1))
+    hashed = words_of(pa.array(names, pa.string()), space=PUNCTUATION, lower=False)
+    single = np.diff(hashed.first) == 1
+    of = np.zeros(len(names), U64)
+    of[single] = hashed.hash[hashed.first[:-1][single]]
+    known = single[word]
+    raw, grams = [w.encode() for w in names], []
+    for size in range(1, p.longest + 1):
+        own, key = ngram_keys(raw, size)
+        own, key = own[key > 0], key[key > 0]
+        # Each n-gram counts as often as its word does, in each language of the word.
+        each = first[own + 1] - first[own]
+        entry = np.repeat(first[own] - np.cumsum(each) + each, each) + np.arange(each.sum())
+        grams.append(Logs.of(np.repeat(key, each), lang[entry], n[entry], len(langs), p.alpha))
+    return Model(langs, Logs.of(of[word[known]], lang[known], n[known], len(langs), p.alpha), grams)
 
 
 def _find(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,10 +137,10 @@ def _find(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_scores(m: Model, hashes: np.ndarray, words: list[bytes] | None, longest: int) -> np.ndarray:
-    """Rows of scores of distinct words; ``words`` gives the bytes of those that ``known`` misses, in order."""
-    at, hit = _find(m.word_keys, hashes)
+    """Rows of scores of distinct words; ``words`` gives the bytes of those that the vocabulary misses, in order."""
+    at, hit = _find(m.words.keys, hashes)
     out = np.zeros((len(hashes), len(m.langs)))
-    out[hit] = m.word_logs[at[hit]] if len(m.word_logs) else 0
+    out[hit] = m.words.rows(at[hit])
     if words:
         total, n_chars = np.zeros((len(words), len(m.langs))), np.zeros(len(words))
         open_ = None
@@ -112,11 +148,12 @@ def word_scores(m: Model, hashes: np.ndarray, words: list[bytes] | None, longest
             word, key = ngram_keys(words, n)
             open_ = np.ones(len(key), bool) if open_ is None else open_
             todo = np.flatnonzero(open_ & (key > 0))
-            i, found = _find(m.gram_keys[n - 1], key[todo])
+            i, found = _find(m.grams[n - 1].keys, key[todo])
             todo, i = todo[found], i[found]
             open_[todo] = False
+            logs = m.grams[n - 1].rows(i)
             for j in range(len(m.langs)):
-                total[:, j] += np.bincount(word[todo], weights=m.gram_logs[n - 1][i, j], minlength=len(words))
+                total[:, j] += np.bincount(word[todo], weights=logs[:, j], minlength=len(words))
             n_chars += np.bincount(word[todo], minlength=len(words))
         out[~hit] = total / np.maximum(n_chars, 1)[:, None]
     return out
@@ -129,7 +166,7 @@ def predict(m: Model, texts: pa.Array, longest: int) -> tuple[list[str], np.ndar
     if not len(w.hash) or not m.langs:
         return ["und"] * n, np.zeros(n)
     uniq, first, own = np.unique(w.hash, return_index=True, return_inverse=True)
-    _, hit = _find(m.word_keys, uniq)
+    _, hit = _find(m.words.keys, uniq)
     data = w.data.tobytes()
     unseen = [data[s:e] for s, e in zip(w.start[first[~hit]].tolist(), w.end[first[~hit]].tolist())]
     scores = word_scores(m, uniq, unseen, longest)
@@ -141,17 +178,27 @@ def predict(m: Model, texts: pa.Array, longest: int) -> tuple[list[str], np.ndar
     return [m.langs[i] if c else "und" for i, c in zip(best, count)], np.where(count > 0, margin, 0.0)
 
 
+def sample(docs: DataFrame, p: Params = Params()) -> DataFrame:
+    """``lang, text`` of the training rows."""
+    labelled = docs.where("lang is not null and text is not null").select("lang", F.xxhash64("doc_id", "text").alias("h"), "text")
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    n_langs = sizes.count()
+    sizes = F.broadcast(sizes) if n_langs <= p.broadcast_langs else sizes
+    # A share of the hashes that holds more rows than are taken but for a vanishing chance, and then the smallest.
+    share = F.least(F.lit(1.0), (2.0 * p.rows + 100) / F.col("n"))
+    drawn = labelled.join(sizes, "lang").where(F.col("h").cast("double") / float(1 << 63) <= 2.0 * share - 1.0)
+    words = F.regexp_count("text", F.lit(r"[a-zA-Z0-9\x{80}-\x{10FFFF}]+"))
+    by = Window.partitionBy("lang").orderBy("h", "text")
+    ahead = F.coalesce(F.sum(words).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    most = min(p.words, p.entries // max(1, n_langs))
+    return drawn.withColumn("r", F.row_number().over(by)).withColumn("ahead", ahead).where((F.col("r") <= p.rows) & (F.col("ahead") < most)).select("lang", "text")
+
+
 def train(docs: DataFrame, p: Params = Params()) -> Model:
-    """Counts words of at most ``train_rows`` rows, drawn over the whole table, in Spark; the driver gets ``words`` a language."""
-    labelled = docs.where("lang is not null and text is not null").select("lang", "text")
-    n = labelled.select("lang").count()
-    if not n:
-        return fit([], p)
-    sample = labelled.sample(min(1.0, 1.2 * p.train_rows / n), p.seed).limit(p.train_rows)
-    words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([a-z0-9\x{80}-\x{10FFFF}]+)"), F.lit(1))).alias("word"))
-    counts = words.groupBy("lang", "word").count()
-    top = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))).where(F.col("r") <= p.words)
-    return fit([tuple(r) for r in top.select("lang", "word", "count").collect()], p)
+    """Counts the words of the sample in Spark; the driver gets each (language, word) once."""
+    words = sample(docs, p).select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([a-z0-9\x{80}-\x{10FFFF}]+)"), F.lit(1))).alias("word"))
+    counts = words.groupBy("lang", "word").count().toArrow()
+    return fit(list(zip(*(counts[c].to_pylist() for c in ("lang", "word", "count")))), p)
 
 
 def identify(docs: DataFrame, model: Model | None = None, p: Params = Params()) -> DataFrame:

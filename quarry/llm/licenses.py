@@ -5,8 +5,13 @@ grams of the license templates. A hit of document position p and template
 position q votes for the diagonal p - q, where an unbroken copy puts all its
 votes. Diagonals of one template that lie within its slack are merged, since a
 word put in or left out moves the rest of a copy to the next one. A merged span
-is verified by the words that its grams prove equal: they must make up
-``least`` of the template and of the span.
+is verified by the words that its grams prove equal: they must make up ``least`` of
+the template and of the span, and the words that tell a version or a variant from
+others (``license_texts.telling``) must all be among them. Where verified spans of
+several templates overlap, the best stays: the one with more proved words, then the
+larger share of its template, then the name that comes first; a span goes if any
+better one overlaps it. Words that a text puts between those of a template aren't
+read, so a variant that no template covers can be taken for the one that it extends.
 
 The grams of the templates are sent to all tasks while they are fewer than
 ``broadcast_grams``, beyond which the join shuffles.
@@ -14,7 +19,7 @@ The grams of the templates are sent to all tasks while they are fewer than
 Edge cases: null, empty and short texts have no grams; null ids are left out;
 rows that repeat an id vote as one document; very long texts are processed in
 whole, in slices of rows; an empty table, or no templates, give no spans. Only
-``doc_id`` and ``text`` are read.
+``doc_id`` (bigint) and ``text`` are read.
 """
 
 from __future__ import annotations
@@ -27,29 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.llm.license_texts import TEMPLATES, telling
 from quarry.llm.wordhash import PUNCTUATION, batches, grams, words_of
 
-TEMPLATES: dict[str, str] = {
-    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-    "MIT-notice": "Released under the MIT License.",
-    "MIT-notice-2": "Licensed under the MIT License.",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
-    "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
-    "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
-    "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-2.0-notice": "This work is licensed under the GNU General Public License, version 2.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
-    "CC-BY-4.0-notice": "Licensed under CC BY 4.0.",
-    "CC-BY-SA-4.0-notice": "Licensed under CC BY-SA 4.0.",
-    "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
-}
-
-
 @dataclass(frozen=True)
 class Params:
     k: int = 3
@@ -77,20 +62,22 @@ def gram_table(docs: DataFrame, k: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, at int, gram bigint")
 
 
-def template_table(spark: SparkSession, templates: dict[str, str], k: int) -> tuple[DataFrame, int]:
-    """``license, size, t_at, gram`` and its number of rows."""
-    rows = []
+def template_table(spark: SparkSession, templates: dict[str, str], k: int) -> tuple[DataFrame, DataFrame, int]:
+    """``license, size, t_at, gram``; ``license, must``, the positions of its telling words; and the number of grams."""
+    rows, must = [], []
     for name, text in templates.items():
         w = words_of(pa.array([text]), space=PUNCTUATION)
+        data = w.data.tobytes()
+        must.append((name, telling([data[s:e].decode() for s, e in zip(w.start, w.end)])))
         rows += [(name, len(w.hash), i, int(g)) for i, g in enumerate(grams(w.hash, k).view(np.int64).tolist())]
-    return spark.createDataFrame(rows, "license string, size int, t_at int, gram bigint"), len(rows)
+    return spark.createDataFrame(rows, "license string, size int, t_at int, gram bigint"), spark.createDataFrame(must, "license string, must array<int>"), len(rows)
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, p: Params = Params()) -> DataFrame:
     """``doc_id, license, start_word, end_word, matched, template_words`` of the verified spans, end exclusive."""
-    table, n = template_table(docs.sparkSession, TEMPLATES if templates is None else templates, p.k)
+    table, must, n = template_table(docs.sparkSession, TEMPLATES if templates is None else templates, p.k)
     if n <= p.broadcast_grams:
-        table = F.broadcast(table)
+        table, must = F.broadcast(table), F.broadcast(must)
     hits = gram_table(docs, p.k).join(table, "gram").select("doc_id", "license", "size", (F.col("at") - F.col("t_at")).alias("diagonal"), "t_at")
     votes = hits.groupBy("doc_id", "license", "size", "diagonal").agg(F.collect_set("t_at").alias("ts"))
     along = Window.partitionBy("doc_id", "license").orderBy("diagonal")
@@ -101,11 +88,24 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, p: Params = P
     in_template = F.flatten(F.transform("ts", run))
     in_doc = F.flatten(F.transform("ts", lambda t: run(t + F.col("diagonal"))))
     spans = merged.groupBy("doc_id", "license", "size", "span").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list(in_template)))).alias("matched"), F.array_distinct(F.flatten(F.collect_list(in_doc))).alias("at")
+        F.array_distinct(F.flatten(F.collect_list(in_template))).alias("in_template"), F.array_distinct(F.flatten(F.collect_list(in_doc))).alias("at")
     )
-    spans = spans.withColumn("start_word", F.array_min("at")).withColumn("end_word", F.array_max("at") + 1)
+    spans = spans.withColumn("matched", F.size("in_template")).withColumn("start_word", F.array_min("at")).withColumn("end_word", F.array_max("at") + 1)
     proved = (F.col("matched") >= p.least * F.col("size")) & (F.size("at") >= p.least * (F.col("end_word") - F.col("start_word")))
-    return spans.where(proved).select(
-        "doc_id", "license", F.col("start_word").cast("bigint").alias("start_word"), F.col("end_word").cast("bigint").alias("end_word"),
-        F.col("matched").cast("bigint").alias("matched"), F.col("size").cast("bigint").alias("template_words"),
-    )
+    told = spans.where(proved).join(must, "license").where(F.size(F.array_except("must", "in_template")) == 0)
+    long = lambda c: F.col(c).cast("bigint").alias(c)
+    return best(told.select("doc_id", "license", long("start_word"), long("end_word"), long("matched"), F.col("size").cast("bigint").alias("template_words")))
+
+
+def best(spans: DataFrame) -> DataFrame:
+    """Without the spans that a better one overlaps; only spans that hang together by overlaps are compared."""
+    by = Window.partitionBy("doc_id").orderBy("start_word", "end_word", "license")
+    last = F.max("end_word").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    islands = spans.withColumn("new", F.when(F.col("start_word") < last, 0).otherwise(1)).withColumn("island", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    # Compared as structs: more words, then the larger share, then the name. All islands are a few license texts long.
+    row = F.struct("start_word", "end_word", (-F.col("matched")).alias("m"), (-F.col("matched") / F.col("template_words")).alias("share"), "license", "matched", "template_words")
+    rank = lambda x: F.struct(x["m"], x["share"], x["license"], x["start_word"])
+    better = lambda x, y: (y["start_word"] < x["end_word"]) & (x["start_word"] < y["end_word"]) & (rank(y) < rank(x))
+    kept = F.filter("all", lambda x: ~F.exists("all", lambda y: better(x, y)))
+    out = islands.groupBy("doc_id", "island").agg(F.collect_list(row).alias("all")).select("doc_id", F.explode(kept).alias("s"))
+    return out.select("doc_id", "s.license", "s.start_word", "s.end_word", "s.matched", "s.template_words")

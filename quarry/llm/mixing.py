@@ -13,10 +13,22 @@ The running token counts are computed in two levels, so that a source however
 large is spread over tasks: sums per slice of the hash range, a running sum over
 those few rows, and a window inside each slice.
 
+A segment starts where the one before it ends, to the bit, so that every document
+that the demand reaches is in one segment.
+
+``mix`` gives the rows themselves. Time is the share of the budget that is spent,
+so equal steps of position hold about equal numbers of tokens and serve as ranges
+without a sample. Positions are sent to the rows while they are at most
+``broadcast_positions`` and the texts move once; beyond that rows and positions are
+joined by a shuffle first, with the same result.
+
 Edge cases: rows without an id or of no words (null or empty text) have no
 tokens and get no position; a null source is a source of its own, written as
-``''``; repeated rows are laid one after the other; an empty table gives an empty
-result; the sources of the schedule that have no documents only lose their share.
+``''``; repeated rows are laid one after the other; documents whose hashes tie are
+laid by id, then length, and positions that tie are ordered by source, id and
+epoch; very long texts count whole and shift those after them; columns of any name
+pass through ``mix`` unchanged; an empty table gives an empty result; the sources
+of the schedule that have no documents only lose their share.
 """
 
 from __future__ import annotations
@@ -40,6 +52,7 @@ class Curriculum:
     knots: int = 4
     slice_rows: int = 50_000
     broadcast_rows: int = 200_000
+    broadcast_positions: int = 1_000_000
 
 
 def natural_schedule(supply: DataFrame, c: Curriculum) -> DataFrame:
@@ -61,7 +74,7 @@ def segments(schedule: DataFrame, supply: DataFrame, budget: float, knots: int)
     seg = seg.withColumn("until", F.sum("area").over(per_source))
     return seg.select(
         "source", "tokens", (F.col("knot") * step).alias("t0"), "share", ((F.col("next") - F.col("share")) / step).alias("slope"),
-        (F.col("until") - F.col("area")).alias("from_tokens"), "until",
+        F.coalesce(F.lag("until").over(per_source), F.lit(0.0)).alias("from_tokens"), "until",
     )
 
 
@@ -114,13 +127,19 @@ def curriculum(docs: DataFrame, c: Curriculum = Curriculum()) -> DataFrame:
 
 def mix(docs: DataFrame, c: Curriculum = Curriculum()) -> DataFrame:
     """The rows of ``docs`` in training order; a row comes once for each epoch that reaches it."""
+    spark = docs.sparkSession
     words = F.regexp_count("text", F.lit(r"\S+"))
     rows = docs.select(F.col("doc_id").alias("id"), words.alias("n"), F.struct(*[docs[x] for x in docs.columns]).alias("row"))
     nth = Window.partitionBy("id", "epoch").orderBy("n_tokens", "position")
-    at = positions(docs, c).withColumnRenamed("doc_id", "id").withColumn("k", F.row_number().over(nth)).select("id", "epoch", "position", "k")
-    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+    repeats = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+    at = positions(docs, c).withColumnRenamed("doc_id", "id")
+    at = at.withColumn("k", F.row_number().over(nth)) if repeats else at.withColumn("k", F.lit(1))
+    at = Scratch(spark).write(at.select("id", "epoch", "position", "k"), "positions")
+    if repeats:
         rows = rows.where("n > 0").withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("n")))
-        placed = rows.join(at, ["id", "k"])
     else:
-        placed = rows.join(at, "id")
-    return placed.orderBy("position", "id", "epoch").select("row.*")
+        rows = rows.withColumn("k", F.lit(1))
+    placed = rows.join(F.broadcast(at) if at.count() <= c.broadcast_positions else at.hint("merge"), ["id", "k"])
+    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    part = F.least(F.floor(F.col("position") * F.lit(ranges) / F.lit(SCALE)), F.lit(ranges - 1)).cast("int")
+    return placed.repartitionById(ranges, part).sortWithinPartitions("position", "id", "epoch").select("row.*")

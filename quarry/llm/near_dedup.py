@@ -10,18 +10,23 @@ Verification: words are aligned in a band about the diagonal that is as wide as
 the largest distance accepted, which makes the distance exact wherever it is
 accepted: at most ``1 - similarity`` of the longer text's words.
 
-Groups of copies, however large: equal texts collapse to one representative
-first. In a bucket every member is aligned with the smallest id, its hub, so that
-n copies cost n alignments, and hot hubs are spread over tasks. The members that
-aren't near their hub are gathered by bucket and clustered by leaders: each is
-held against all leaders so far, by a count of common words that can't rule out a
-match wrongly and then by alignment, and leads on its own if none is near. Each
-member of each bucket is accounted for.
+Every candidate pair is accounted for. Equal texts collapse to one representative
+first. In a bucket every member is aligned with the smallest id, its hub, so that n
+copies cost n alignments, and hot hubs are spread over tasks. The members then fall
+into components; pairs of a component are connected already. Where a bucket still
+holds members of several components, all pairs across them are held against each
+other, each pair in the first bucket that it shares, until the two components meet
+or no pair is left: a count of common words that can't rule out a match wrongly,
+then the alignment. Buckets too large for one task are cut into blocks, and each
+pair of blocks is a task of its own. The classes are those of aligning all pairs
+of all buckets.
 
 Edge cases: null or blank texts and null ids are in no group; rows that repeat an
 id are one document, whose text is the smallest by fingerprint; texts of fewer
-words than a sketch needs use all they have; a table without duplicates gives no
-rows. Only ``doc_id`` and ``text`` are read.
+words than a sketch needs use all they have; very long texts are sketched and
+aligned whole; similarities that tie with the limit count as near; a table without
+duplicates, as an empty one, gives no rows. Only ``doc_id`` (bigint) and ``text``
+are read; columns of other names pass through ``drop_near_duplicates`` unchanged.
 """
 
 from __future__ import annotations
@@ -48,6 +53,9 @@ class Params:
     similarity: float = 0.8
     #: Members of a hub that one task aligns.
     fan: int = 256
+    #: Members and words of a block of a large bucket.
+    block: int = 512
+    block_words: int = 4_000_000
 
 
 def sketch(h: np.ndarray, p: Params, odd: np.ndarray) -> np.ndarray:
@@ -77,40 +85,51 @@ def odds(p: Params) -> np.ndarray:
     return np.random.default_rng(20).integers(0, 1 << 63, p.sketches, dtype=U64) * U64(2) + U64(1)
 
 
+def fingerprint(h: np.ndarray) -> tuple[int, int]:
+    """128 bits of a sequence of words."""
+    at = np.arange(1, len(h) + 1, dtype=U64)
+    return int(mix(h + mix(at)).sum(dtype=U64).view(np.int64)), int((mix(h ^ U64(0x5851F42D4C957F2D)) * (at * U64(2) + U64(1))).sum(dtype=U64).view(np.int64))
+
+
 def sketches_of(docs: DataFrame, p: Params) -> DataFrame:
-    """``doc_id, f1, f2, sk`` for the documents with words: a 128-bit fingerprint of the word sequence, and the sketch."""
+    """``doc_id, f1, f2, n, sk`` for the documents with words: a 128-bit fingerprint of the word sequence, its length, and the sketch."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         odd = odds(p)
         for b in batches(it, 1):
             w = words_of(b.column(1))
-            ids, f1, f2, sk = [], [], [], []
+            ids, f1, f2, n, sk = [], [], [], [], []
             for d, doc_id in enumerate(b.column(0).to_pylist()):
                 h = w.hash[w.first[d] : w.first[d + 1]]
                 if len(h):
-                    at = np.arange(1, len(h) + 1, dtype=U64)
                     ids.append(doc_id)
-                    f1.append(int(mix(h + mix(at)).sum(dtype=U64).view(np.int64)))
-                    f2.append(int((mix(h ^ U64(0x5851F42D4C957F2D)) * (at * U64(2) + U64(1))).sum(dtype=U64).view(np.int64)))
+                    n.append(len(h))
+                    for out, x in zip((f1, f2), fingerprint(h)):
+                        out.append(x)
                     sk.append(sketch(h, p, odd).view(np.int64))
             flat = np.concatenate(sk) if sk else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sk) + 1, dtype=np.int32) * p.sketches), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), lists], ["doc_id", "f1", "f2", "sk"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(n, pa.int32()), lists], ["doc_id", "f1", "f2", "n", "sk"])
 
-    return docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(run, "doc_id bigint, f1 bigint, f2 bigint, sk array<bigint>")
+    return docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(run, "doc_id bigint, f1 bigint, f2 bigint, n int, sk array<bigint>")
 
 
-def word_ids(docs: DataFrame) -> DataFrame:
-    """``doc_id, w``: the words as 32-bit hashes, packed."""
+def word_ids(docs: DataFrame, repeats: bool) -> DataFrame:
+    """``doc_id, w``: the words as 32-bit hashes, packed; of an id that repeats those of the text that was sketched."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it, 1):
             w = words_of(b.column(1))
             h = (w.hash >> U64(32)).astype(np.uint32)
-            packed = [h[s:e].tobytes() for s, e in zip(w.first[:-1], w.first[1:])]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], ["doc_id", "w"])
+            each = list(zip(w.first[:-1], w.first[1:]))
+            prints = [fingerprint(w.hash[s:e]) if repeats and e > s else (0, 0) for s, e in each]
+            columns = [b.column(0), *(pa.array([f[i] for f in prints], pa.int64()) for i in (0, 1)), pa.array([h[s:e].tobytes() for s, e in each], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "f1", "f2", "w"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, w binary")
+    out = docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, f1 bigint, f2 bigint, w binary")
+    if repeats:
+        out = out.where("length(w) > 0").groupBy("doc_id").agg(F.min(F.struct("f1", "f2", "w")).alias("m")).select("doc_id", "m.w")
+    return out.select("doc_id", "w")
 
 
 def common_words(x_sorted: np.ndarray, y: np.ndarray) -> int:
@@ -217,54 +236,85 @@ def verified(pairs: DataFrame, words: DataFrame, p: Params) -> DataFrame:
     return rows.mapInArrow(run, "a bigint, b bigint")
 
 
-class Leaders:
-    """Leader clustering of one bucket."""
+class Block:
+    """Members of a bucket, or of two blocks of it, by component. Pairs of one component, and of one block where there are two, need no look."""
 
     BINS = 128
 
     def __init__(self, p: Params):
         self.p = p
-        self.ids: list[int] = []
-        self.words: list[np.ndarray] = []
-        self.bins = np.zeros((16, self.BINS), dtype=np.int32)
-
-    def add(self, doc_id: int, w: np.ndarray) -> list[int]:
-        """The leaders near to w; if there are none, w leads."""
-        n = len(self.ids)
-        own = np.bincount(w % self.BINS, minlength=self.BINS).astype(np.int32)
-        near_ids: list[int] = []
-        if n:
-            lens = np.array([len(x) for x in self.words])
-            longer = np.maximum(lens, len(w))
+        self.rows: list[tuple[int, int, int, np.ndarray, np.ndarray]] = []
+
+    def add(self, doc_id: int, comp: int, side: int, sk: np.ndarray, w: np.ndarray) -> None:
+        self.rows.append((doc_id, comp, side, sk, w))
+
+    def links(self, slot: int, two: bool) -> list[tuple[int, int]]:
+        """Near pairs that connect all components that near pairs connect."""
+        if len({r[1] for r in self.rows}) < 2:
+            return []
+        ids, comps, sides, sks, words = zip(*self.rows)
+        names, comp = np.unique(np.array(comps), return_inverse=True)
+        side, sk, lens = np.array(sides), np.array(sks)[:, :slot], np.array([len(w) for w in words])
+        bins = np.array([np.minimum(np.bincount(w % self.BINS, minlength=self.BINS), 65535) for w in words], dtype=np.uint16)
+        # Labels of components, renamed as they meet.
+        root, out = np.arange(len(names)), []
+        for i in range(1, len(ids)):
+            where = np.flatnonzero((root[comp[:i]] != root[comp[i]]) & ((side[:i] != side[i]) | (not two)))
+            longer = np.maximum(lens[where], lens[i])
+            most = ((1 - self.p.similarity) * longer + 1e-9).astype(int)
+            ok = np.abs(lens[where] - lens[i]) <= most
+            where, longer, most = where[ok], longer[ok], most[ok]
             # Words that share no bin can't be equal, so this bounds the common words from above.
-            common = np.minimum(self.bins[:n], own).sum(axis=1)
-            maybe = np.flatnonzero(longer - common <= ((1 - self.p.similarity) * longer + 1e-9).astype(int))
-            if len(maybe):
-                near_ids = [self.ids[i] for i, ok in zip(maybe, near(w, [self.words[i] for i in maybe], self.p.similarity)) if ok]
-        if not near_ids:
-            if n == len(self.bins):
-                self.bins = np.concatenate([self.bins, np.zeros_like(self.bins)])
-            self.bins[n] = own
-            self.ids.append(doc_id)
-            self.words.append(w)
-        return near_ids
-
-
-def led(rest: DataFrame, words: DataFrame, p: Params) -> DataFrame:
-    """Near (a, b) among the members of each bucket of ``rest`` (bucket, b)."""
-    rows = rest.join(words.hint("merge"), rest["b"] == words["doc_id"]).select("bucket", "b", "w").repartition("bucket").sortWithinPartitions("bucket", "b")
+            common = np.minimum(bins[where], bins[i]).sum(axis=1, dtype=np.int64)
+            where = where[(longer - common <= most) & ~(sk[where] == sk[i]).any(axis=1)]
+            share = 1
+            while len(where):
+                # A few of each component first: one near member is enough.
+                order = np.argsort(root[comp[where]], kind="stable")
+                by = root[comp[where[order]]]
+                nth = np.arange(len(by)) - np.searchsorted(by, by)
+                now, where = where[order[nth < share]], where[order[nth >= share]]
+                for j, close in zip(now, near(words[i], [words[j] for j in now], self.p.similarity)):
+                    if close and root[comp[j]] != root[comp[i]]:
+                        out.append((ids[j], ids[i]))
+                        root[root == root[comp[j]]] = root[comp[i]]
+                where = where[root[comp[where]] != root[comp[i]]]
+                share *= 4
+        return out
+
+
+def across(members: DataFrame, comp: DataFrame, exact: DataFrame, words: DataFrame, p: Params, scratch: Scratch) -> DataFrame:
+    """Near (a, b) among members (bucket, b) of a bucket that ``comp`` doesn't connect."""
+    labelled = members.join(comp.withColumnRenamed("id", "b").hint("merge"), "b", "left")
+    labelled = scratch.write(labelled.select("bucket", "b", F.coalesce("comp", "b").alias("comp")), "labelled")
+    mixed = labelled.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("bucket")
+    mixed = scratch.write(mixed, "mixed")
+    sk = exact.select(F.col("rep").alias("b"), "n", "sk")
+    rows = scratch.write(labelled.join(mixed.hint("merge"), "bucket", "left_semi").join(sk.hint("merge"), "b"), "crossing")
+    sizes = rows.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / p.block), F.ceil(F.sum("n") / p.block_words)).cast("int").alias("blocks"))
+    rows = rows.join(scratch.write(sizes, "sizes").hint("merge"), "bucket").withColumn("own", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
+    # A member goes to the pairs of its block with every block, itself included.
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    rows = rows.select("bucket", "b", "comp", "sk", "own", other).withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
+    rows = rows.join(words.withColumnRenamed("doc_id", "b").hint("merge"), "b")
+    rows = rows.select("bucket", "x", "y", "own", "comp", "b", "sk", "w").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "comp", "b")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, leaders = None, Leaders(p)
+        last, block, slot = None, Block(p), 0
+
+        def done() -> pa.RecordBatch:
+            found = block.links(slot, last is not None and last[1] != last[2])
+            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
         for batch in it:
-            a_out, b_out = [], []
-            for bucket, b, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                if bucket != last:
-                    last, leaders = bucket, Leaders(p)
-                near_ids = leaders.add(b, np.frombuffer(w.as_buffer(), dtype=np.uint32).copy())
-                a_out += near_ids
-                b_out += [b] * len(near_ids)
-            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
+            whole, x, y, own, comps, b = (batch.column(i).to_pylist() for i in range(6))
+            flat = batch.column(6).flatten().to_numpy().reshape(-1, p.sketches) if batch.num_rows else None
+            for r, w in enumerate(batch.column(7)):
+                if (whole[r], x[r], y[r]) != last:
+                    yield done()
+                    last, block, slot = (whole[r], x[r], y[r]), Block(p), whole[r] & 255
+                block.add(b[r], comps[r], own[r], flat[r].copy(), np.frombuffer(w.as_buffer(), dtype=np.uint32).copy())
+        yield done()
 
     return rows.mapInArrow(run, "a bigint, b bigint")
 
@@ -298,30 +348,47 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def groups(docs: DataFrame, p: Params = Params(), scratch: Scratch | None = None) -> DataFrame:
-    """``doc_id, group_id`` of every document that has a near or exact duplicate; group_id is the smallest id of the group."""
-    scratch = scratch or Scratch(docs.sparkSession)
+    """``doc_id, group_id, n_links`` of every document that has a near or exact duplicate.
+
+    ``group_id`` is the smallest id of the group. ``n_links`` counts the other
+    texts to which the document's text was aligned and found near; these links
+    connect the group. It is 0 where all the others of a group have the same text.
+    """
+    scratch, repeats = scratch or Scratch(docs.sparkSession), _repeats(docs)
     sk = scratch.write(sketches_of(docs, p), "sketches")
-    one = sk.groupBy("doc_id").agg(F.min(F.struct("f1", "f2", "sk")).alias("s")).select("doc_id", "s.*")
-    exact = one.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("sk").alias("sk"), F.collect_list("doc_id").alias("ids"))
+    one = sk.groupBy("doc_id").agg(F.min(F.struct("f1", "f2", "n", "sk")).alias("s")).select("doc_id", "s.*") if repeats else sk
+    exact = one.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sk").alias("sk"), F.collect_list("doc_id").alias("ids"))
     exact = scratch.write(exact, "exact")
     scratch.drop(sk)
-    slots = exact.select("rep", F.posexplode("sk").alias("j", "v")).select(F.xxhash64("j", "v").alias("bucket"), "rep").distinct()
-    w = Window.partitionBy("bucket")
-    members = slots.withColumn("n", F.count("*").over(w)).withColumn("hub", F.min("rep").over(w)).where("n > 1 and rep != hub")
-    members = scratch.write(members.select("bucket", F.col("hub").alias("a"), F.col("rep").alias("b")), "members")
+    # A bucket is one value of one slot, which stands in its last byte.
+    slot = lambda v, j: F.call_function("shiftleft", F.xxhash64(v), F.lit(8)) + j
+    slots = exact.select("rep", F.posexplode("sk").alias("j", "v")).select(slot(F.col("v"), F.col("j")).alias("bucket"), "rep")
+    hubs = slots.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count("*").alias("c")).where("c > 1").select("bucket", "hub")
+    hubs = scratch.write(hubs, "hubs")
+    members = slots.join(hubs.hint("merge"), "bucket").where("rep != hub").select("bucket", F.col("hub").alias("a"), F.col("rep").alias("b"))
+    members = scratch.write(members, "members")
     pairs = scratch.write(members.select("a", "b").distinct(), "pairs")
     # Merge joins at every size: texts and words move once whether or not the other side would fit in memory.
     needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text").join(needed.hint("merge"), "doc_id", "left_semi")
-    words = scratch.write(word_ids(texts).groupBy("doc_id").agg(F.min("w").alias("w")) if _repeats(docs) else word_ids(texts), "words")
+    words = scratch.write(word_ids(texts, repeats), "words")
     found = scratch.write(verified(pairs, words, p), "found")
-    rest = members.join(found, ["a", "b"], "left_anti").select("bucket", "b")
-    rest = rest.withColumn("n", F.count("*").over(w)).where("n > 1").select("bucket", "b")
-    more = scratch.write(led(rest, words, p), "led")
-    comp = scratch.write(components(found.union(more), scratch), "components")
+    comp = scratch.write(components(found, scratch), "components")
+    more = scratch.write(across(members.drop("a"), comp, exact, words, p, scratch), "across")
+    links = scratch.write(found.union(more).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    # The new links are few: they join components, whose members needn't be connected again.
+    at = lambda c: comp.select(F.col("id").alias(c), F.col("comp").alias(f"c{c}"))
+    between = more.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    joined = scratch.write(components(between, scratch), "joined").select(F.col("id").alias("comp"), F.col("comp").alias("last"))
+    single = between.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(comp, "id", "left_anti").select("id", F.col("id").alias("comp"))
+    comp = comp.union(single).join(joined, "comp", "left").select("id", F.coalesce("last", "comp").alias("comp"))
+    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
+    comp = scratch.write(comp.join(degree, "id", "left").select("id", "comp", F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
     scratch.keep_only(exact, comp)
-    grouped = exact.join(comp, exact["rep"] == comp["id"], "left").select(F.explode("ids").alias("doc_id"), F.coalesce("comp", "rep").alias("group_id"), F.size("ids").alias("n"), "comp")
-    return grouped.where("comp is not null or n > 1").select("doc_id", "group_id")
+    grouped = exact.join(comp, exact["rep"] == comp["id"], "left").select(
+        F.explode("ids").alias("doc_id"), F.coalesce("comp", "rep").alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.size("ids").alias("n"), "comp"
+    )
+    return grouped.where("comp is not null or n > 1").select("doc_id", "group_id", "n_links")
 
 
 def _repeats(docs: DataFrame) -> bool:

@@ -1,9 +1,9 @@
 """Document quality rules as a short-circuit cascade.
 
 Each rule is a built-in Spark expression that is true for an acceptable text. On
-a bounded sample (``sample_rows``, a fifth of the rows of the leading partitions)
-every rule is timed and its rejections are counted; the rules
-are then joined by AND in the order of rejections per second of cost, so that
+a bounded sample (``sample_rows`` rows of the whole table or, of a table of more
+than ``sample_files`` Parquet files, of so many files evenly spread over it) every
+rule is timed and its rejections are counted; the rules are then joined by AND in the order of rejections per second of cost, so that
 most bad documents stop at a cheap rule. The order changes only the cost: a
 document is kept if and only if it passes all the rules.
 
@@ -172,14 +172,24 @@ def toxicity_rule(t: Toxicity, has_lang: bool, text: str = "text") -> Rule:
     return Rule("toxicity", ok)
 
 
-def measure(docs: DataFrame, rules: list[Rule], text: str = "text", sample_rows: int = 1000, seed: int = 7) -> list[Measured]:
-    """Cost and rejections of each rule over at most ``sample_rows`` sampled texts."""
-    # take() runs over as few partitions as it needs, whatever the size of the table.
-    read = docs.select(text, *[c for c in ("lang",) if c in docs.columns])
-    rows = read.sample(0.2, seed).take(sample_rows)
-    if len(rows) < sample_rows // 5:
-        rows = read.take(sample_rows)
-    sample = docs.sparkSession.createDataFrame(rows, read.schema).repartition(4).persist()
+def drawn(docs: DataFrame, columns: list[str], sample_rows: int, sample_files: int, seed: int) -> DataFrame:
+    """At most ``sample_rows`` rows, wherever they stand."""
+    plan = docs._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() == "LogicalRelation":
+        relation = plan.relation()
+        if relation.getClass().getSimpleName() == "HadoopFsRelation" and relation.fileFormat().toString() == "Parquet":
+            files = sorted(docs.inputFiles())
+            if len(files) > sample_files:
+                chosen = [files[(2 * i + 1) * len(files) // (2 * sample_files)] for i in range(sample_files)]
+                docs = docs.sparkSession.read.schema(docs.schema).parquet(*chosen)
+    rows = docs.select(*columns)
+    share = min(1.0, (1.2 * sample_rows + 100) / max(1, docs.count()))
+    return rows.sample(share, seed).orderBy(F.xxhash64(*columns)).limit(sample_rows)
+
+
+def measure(docs: DataFrame, rules: list[Rule], text: str = "text", sample_rows: int = 1000, sample_files: int = 64, seed: int = 7) -> list[Measured]:
+    """Cost and rejections of each rule over the sample."""
+    sample = drawn(docs, [text, *[c for c in ("lang",) if c in docs.columns]], sample_rows, sample_files, seed).repartition(4).persist()
     try:
         sample.count()
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarry.llm import chat, hamming, language, licenses, mixing, near_dedup, packing, quality, suffix_dedup, token_counts
+from quarry.llm import chat, hamming, language, license_texts, licenses, mixing, near_dedup, packing, quality, suffix_dedup, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,7 +47,7 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hamming.nearest(_table(spark, sf_dir, "embeddings"))
+    return hamming.nearest(_table(spark, sf_dir, "embeddings"), asks=F.col("vec_id") % 20 == 0)
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +87,8 @@ shares AS (SELECT *, weight / sum(weight) OVER (PARTITION BY knot) AS share FROM
 nexts AS (SELECT *, lead(share) OVER (PARTITION BY source ORDER BY knot) AS nxt FROM shares),
 areas AS (SELECT nexts.*, budget, (share + nxt) * (0.5 * 0.25 * budget) AS area FROM nexts, total WHERE nxt IS NOT NULL),
 untils AS (SELECT *, sum(area) OVER (PARTITION BY source ORDER BY knot) AS until FROM areas),
-seg AS (SELECT source, tokens, budget, knot * 0.25 AS t0, share, (nxt - share) / 0.25 AS slope, until - area AS from_tokens, until FROM untils),
+seg AS (SELECT source, tokens, budget, knot * 0.25 AS t0, share, (nxt - share) / 0.25 AS slope,
+        coalesce(lag(until) OVER (PARTITION BY source ORDER BY knot), 0.0) AS from_tokens, until FROM untils),
 demand AS (SELECT source, tokens, max(until) AS demand FROM seg GROUP BY ALL),
 places AS (
   SELECT doc_id, source, n_tokens, start + epoch * tokens AS pos, epoch
@@ -129,11 +133,13 @@ ORACLES["op9_hamming"] = """
 WITH c AS (SELECT vec_id, min(array_to_string(list_transform(range(1, 65), lambda i: CASE WHEN embedding[65 - i] > 0 THEN '1' ELSE '0' END), '')) AS code
            FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL GROUP BY vec_id),
 d AS (SELECT a.vec_id AS query_id, b.vec_id AS neighbor_id, CAST(bit_count(xor(a.code::BIT, b.code::BIT)) AS INTEGER) AS distance
-      FROM c a JOIN c b ON a.vec_id <> b.vec_id),
+      FROM c a JOIN c b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS INTEGER) AS rank FROM d)
 SELECT * FROM r WHERE rank <= 10
 """
 
+_split = lambda t: re.findall("[0-9a-z\x80-\U0010ffff]+", t.lower())
+_must_values = ", ".join(f"('{n}', {i})" for n, t in licenses.TEMPLATES.items() for i in license_texts.telling(_split(t)))
 _template_values = ", ".join("('" + n + "', '" + t.replace("'", "''") + "')" for n, t in licenses.TEMPLATES.items())
 ORACLES["op7_licenses"] = rf"""
 WITH t AS (SELECT license, regexp_extract_all(lower(body), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w FROM (VALUES {_template_values}) v(license, body)),
@@ -147,7 +153,13 @@ steps AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER w <= greatest(1, lea
 runs AS (SELECT *, sum(step) OVER (PARTITION BY doc_id, license ORDER BY diagonal) AS span FROM steps),
 cover AS (SELECT doc_id, license, size, span, tp + k AS tw, tp + diagonal + k AS dw FROM hits JOIN runs USING (doc_id, license, size, diagonal), range(0, 3) r(k)),
 spans AS (SELECT doc_id, license, size, span, count(DISTINCT tw) AS matched, count(DISTINCT dw) AS words, min(dw) AS start_word, max(dw) + 1 AS end_word
-          FROM cover GROUP BY ALL)
+          FROM cover GROUP BY ALL),
+must(license, tw) AS (VALUES {_must_values}),
+told AS (SELECT doc_id, license, size, span, count(DISTINCT tw) AS told FROM cover JOIN must USING (license, tw) GROUP BY ALL),
+need AS (SELECT license, count(*) AS need FROM must GROUP BY license),
+good AS (SELECT s.*, row_number() OVER (PARTITION BY doc_id ORDER BY matched DESC, matched / size DESC, license, start_word) AS place
+         FROM spans s LEFT JOIN told USING (doc_id, license, size, span) LEFT JOIN need USING (license)
+         WHERE matched >= 0.8 * size AND words >= 0.8 * (end_word - start_word) AND coalesce(told, 0) = coalesce(need, 0))
 SELECT doc_id, license, CAST(start_word AS BIGINT) AS start_word, CAST(end_word AS BIGINT) AS end_word, matched, CAST(size AS BIGINT) AS template_words
-FROM spans WHERE matched >= 0.8 * size AND words >= 0.8 * (end_word - start_word)
+FROM good g WHERE NOT EXISTS (SELECT 1 FROM good b WHERE b.doc_id = g.doc_id AND b.place < g.place AND b.start_word < g.end_word AND g.start_word < b.end_word)
 """

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, hamming, language, licenses, mixing, near_dedup, packing, quality, suffix_dedup, token_counts, wordhash
+from quarry.llm import chat, hamming, language, license_texts, licenses, mixing, near_dedup, packing, quality, suffix_dedup, token_counts, wordhash
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 #: Extra columns named like those that the operators make.
@@ -184,6 +184,60 @@ def test_near_dedup_hot_bucket_and_leftovers(spark):
     assert len(got) == 400 and set(got.values()) == {0}
 
 
+def test_near_dedup_verifies_pairs_that_meet_beside_the_hub(spark):
+    """B is near A and C near B, but C isn't near A: B and C are found as often as A and B."""
+    r = random.Random(23)
+    docs = []
+    for _ in range(300):
+        a = [f"w{r.getrandbits(48)}" for _ in range(100)]
+        b, c = list(a), None
+        for p in r.sample(range(0, 50), 12):
+            b[p] = f"x{r.getrandbits(48)}"
+        c = list(b)
+        for p in r.sample(range(50, 100), 12):
+            c[p] = f"y{r.getrandbits(48)}"
+        docs += [(len(docs) + j, " ".join(t), "en", "s") for j, t in enumerate((a, b, c))]
+    for block in (512, 2):
+        got = {x["doc_id"]: (x["group_id"], x["n_links"]) for x in near_dedup.groups(frame(spark, docs), near_dedup.Params(block=block)).collect()}
+        of = lambda i: got.get(i, (-1 - i, 0))[0]
+        first, second = (sum(of(i + j) == of(i + j + 1) for i in range(0, 900, 3)) for j in (0, 1))
+        assert first >= 285 and second >= 285
+        assert all(n in (1, 2) for _, n in got.values())
+
+
+def test_near_dedup_classes_are_those_of_aligning_all_candidates(spark):
+    """Families that drift, against all pairs of all buckets aligned."""
+    r = random.Random(31)
+    docs = []
+    for _ in range(12):
+        w = prose(r, 90).split()
+        for _ in range(15):
+            docs.append((len(docs), " ".join(w), "en", "s"))
+            for p in r.sample(range(90), r.randint(3, 16)):
+                w[p] = r.choice(VOCAB) + r.choice(VOCAB)
+    p = near_dedup.Params()
+    w = wordhash.words_of(pa.array([t for _, t, *_ in docs]))
+    hashes = [w.hash[a:b] for a, b in zip(w.first, w.first[1:])]
+    sk = [near_dedup.sketch(h, p, near_dedup.odds(p)) for h in hashes]
+    root = list(range(len(docs)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(docs)):
+        for j in range(i):
+            if (sk[i] == sk[j]).any() and edits(docs[i][1].split(), docs[j][1].split()) <= int(0.2 * 90 + 1e-9):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    sizes = Counter(find(i) for i in range(len(docs)))
+    want = {i: find(i) for i in range(len(docs)) if sizes[find(i)] > 1}
+    for params in (p, near_dedup.Params(block=3, fan=4)):
+        assert {x["doc_id"]: x["group_id"] for x in near_dedup.groups(frame(spark, docs), params).collect()} == want
+    assert len(set(want.values())) > 12
+
+
 def test_components(spark):
     from quarry.workdir import Scratch
 
@@ -194,7 +248,7 @@ def test_components(spark):
 
 def test_near_dedup_awkward(spark, awkward, empty):
     got = sorted(map(tuple, near_dedup.groups(awkward).collect()))
-    assert got == [(1, 1), (2, 1), (8, 8), (9, 8)]
+    assert got == [(1, 1, 0), (2, 1, 0), (8, 8, 0), (9, 8, 0)]
     kept = near_dedup.drop_near_duplicates(awkward)
     assert kept.columns == awkward.columns
     assert sorted(x["doc_id"] for x in kept.collect() if x["doc_id"] is not None) == [1, 3, 4, 5, 6, 7, 8, 10, 11, 12]
@@ -259,9 +313,34 @@ def test_curriculum_inverts_demand(spark):
     assert late["s0"] / sum(late.values()) < early["s0"] / sum(early.values())
 
 
+def test_no_document_is_lost_or_doubled_between_segments(spark):
+    """Equal sources whose demand is just their supply: each document comes once, also those that start on a knot."""
+    for n_sources, per in ((2, 53), (3, 92), (5, 53), (5, 92), (7, 53), (24, 53)):
+        rows = [(i, "one", "en", f"s{i % n_sources}") for i in range(n_sources * per)]
+        got = Counter(x["doc_id"] for x in mixing.positions(frame(spark, rows)).collect())
+        assert got == Counter(range(n_sources * per)), (n_sources, per)
+
+
+def test_mix_gives_the_same_beyond_the_broadcast(spark, awkward):
+    r = random.Random(6)
+    rows = [(i, " ".join(["w"] * r.randint(1, 40)), "en", r.choice(["a", "a", "a", "b"])) for i in range(200)]
+    for df in (frame(spark, rows), awkward):
+        near, far = (mixing.mix(df, mixing.Curriculum(broadcast_positions=n)) for n in (10**6, 0))
+        assert [x["doc_id"] for x in near.collect()] == [x["doc_id"] for x in far.collect()]
+    want = [(x["doc_id"], x["epoch"]) for x in mixing.curriculum(frame(spark, rows)).collect()]
+    assert [x["doc_id"] for x in mixing.mix(frame(spark, rows)).collect()] == [i for i, _ in want]
+
+
 def test_mixing_awkward(spark, awkward, empty):
     got = mixing.curriculum(awkward).collect()
     assert {g["doc_id"] for g in got} <= {1, 2, 6, 7, 8, 9, 10, 12} and {g["source"] for g in got} >= {""}
+    at = {}
+    for g in sorted(got, key=lambda g: (g["source"], g["epoch"], g["position"])):
+        key = (g["source"], g["epoch"])
+        assert g["position"] >= at.get(key, 0)
+        at[key] = g["position"]
+    # src1 has by far the most tokens and is trained on in part; of all others each document comes at least once.
+    assert {g["doc_id"] for g in got} >= {2, 7, 10, 12}
     mixed = mixing.mix(awkward)
     assert mixed.columns == awkward.columns
     assert Counter(x["doc_id"] for x in mixed.collect()) == Counter(g["doc_id"] for g in got)
@@ -463,8 +542,25 @@ def slow_scan(text, templates, k=3, least=0.8):
             tw = {j + x for d in g for j in votes[d] for x in range(k)}
             dw = {j + d + x for d in g for j in votes[d] for x in range(k)}
             if len(tw) >= least * len(t) and len(dw) >= least * (max(dw) + 1 - min(dw)):
-                out.append((name, min(dw), max(dw) + 1, len(tw), len(t)))
-    return out
+                if tw >= set(license_texts.telling(t)):
+                    out.append((name, min(dw), max(dw) + 1, len(tw), len(t)))
+    rank = lambda x: (-x[3], -x[3] / x[4], x[0], x[1])
+    return [x for x in out if not any(y[1] < x[2] and x[1] < y[2] and rank(y) < rank(x) for y in out)]
+
+
+def test_licenses_are_told_apart(spark):
+    """Each template, and none besides, is found in its own text; and variants that no template covers aren't another license."""
+    texts = list(licenses.TEMPLATES.items())
+    more = [
+        ("none", "This work is licensed under the GNU General Public License, version 1."), ("none", "Licensed under CC BY 3.0."),
+        ("none", "Licensed under the Apache License, Version 1.1."), ("none", "This work is licensed under a Creative Commons Attribution 3.0 International License."),
+        ("GPL-3.0", licenses.TEMPLATES["GPL-3.0"].replace("software;", "software:").replace("This program is distributed", "It is distributed")),
+    ]
+    rows = [(i, f"{prose(random.Random(i), 8)} {t} {prose(random.Random(i), 8)}", "en", "s") for i, (_, t) in enumerate(texts + more)]
+    got = defaultdict(set)
+    for x in licenses.scan(frame(spark, rows)).collect():
+        got[x["doc_id"]].add(x["license"])
+    assert {i: got.get(i, {"none"}) for i in range(len(rows))} == {i: {name} for i, (name, _) in enumerate(texts + more)}
 
 
 def test_license_scan_equals_direct_voting(spark, awkward, empty):
@@ -522,7 +618,7 @@ def test_language_backoff_equals_direct_scoring():
         w = text.split()
         want = np.sum([slow_score(counts, x, 5) for x in w], axis=0)
         uniq = wordhash.words_of(pa.array([text]), space=wordhash.PUNCTUATION).hash
-        _, hit = language._find(m.word_keys, uniq)
+        _, hit = language._find(m.words.keys, uniq)
         got = language.word_scores(m, uniq, [x.encode() for x, k in zip(w, hit) if not k], 5).sum(axis=0)
         assert np.allclose(got, want), text
         assert language.predict(m, pa.array([text]), 5)[0][0] == sorted(m.langs)[int(np.argmax(want))]
@@ -541,16 +637,32 @@ def test_language_held_out(spark, awkward, empty):
     assert {x["language"] for x in language.identify(frame(spark, [(1, "text", None, "s")])).collect()} == {"und"}
 
 
+def test_language_sample_covers_all_languages_and_the_whole_table(spark):
+    r = random.Random(30)
+    # One language fills the table, another comes once at its end, a third has a text that crosses the bound of words.
+    rows = [(i, f"common {prose(r, 5)} n{i}", "big", "s") for i in range(4000)] + [(5000, "rare words here", "rare", "s"), (5001, prose(r, 3000), "long", "s"), (5002, "short", "long", "s")]
+    p = language.Params(rows=50, words=1000)
+    got = language.sample(frame(spark, rows).coalesce(3), p).collect()
+    n = Counter(x["lang"] for x in got)
+    assert n["big"] == 50 and n["rare"] == 1 and 1 <= n["long"] <= 2
+    at = [int(x["text"].rsplit("n", 1)[1]) for x in got if x["lang"] == "big"]
+    assert min(at) < 800 and max(at) > 3200
+    # No word of the sample is left out, and ties go to the first name.
+    m = language.train(frame(spark, [(1, "aa bb cc", "x", "s"), (2, "aa bb cc", "y", "s")]))
+    assert len(m.words.keys) == 3 and language.predict(m, pa.array(["aa zz"]), 5)[0] == ["x"]
+
+
 # 9. Hamming search.
 
 
-@pytest.mark.parametrize("shard", [65_536, 37])
-def test_hamming_is_exact(spark, shard):
+@pytest.mark.parametrize(("shard", "tasks"), [(65_536, 24), (65_536, 1), (37, 3)])
+def test_hamming_is_exact(spark, shard, tasks):
     r = np.random.default_rng(3)
     base = r.normal(size=(12, 64))
     e = np.concatenate([base[r.integers(0, 12, 150)] + 0.4 * r.normal(size=(150, 64)), r.normal(size=(30, 64)), base[:3], base[:3]])
     rows = [(i, [float(x) for x in v], 0) for i, v in enumerate(e)] + [(5, [1.0] * 64, 1), (500, None, 0), (None, [1.0] * 64, 0), (501, [None, 1.0], 0), (502, [], 0)]
-    got = hamming.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int"), 10, shard, 16).collect()
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int").select("*", *[F.lit("x").alias(c) for c in ("code", "shard", "copy", "asks", "rank", "distance")])
+    got = hamming.nearest(df, 10, shard, tasks=tasks).collect()
     code = {}
     for i, v, _ in rows:
         if i is not None and v is not None:
@@ -562,6 +674,8 @@ def test_hamming_is_exact(spark, shard):
         near = sorted(((bin((c ^ d) & (1 << 64) - 1).count("1"), i) for i, d in code.items() if i != q))[:10]
         want |= {(q, i, d, k + 1) for k, (d, i) in enumerate(near)}
     assert {tuple(x) for x in got} == want and len(got) == len(want)
+    some = hamming.nearest(df, 10, shard, asks=F.col("vec_id") % 20 == 0, tasks=tasks).collect()
+    assert {tuple(x) for x in some} == {x for x in want if x[0] % 20 == 0}
 
 
 def test_hamming_small(spark):
