@@ -200,13 +200,18 @@ def near(x: np.ndarray, ys: list[np.ndarray], similarity: float) -> np.ndarray:
     return ok
 
 
+def tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def verified(pairs: DataFrame, words: DataFrame, p: Params) -> DataFrame:
     """The (a, b) of ``pairs`` that are near, by streaming each hub's members past its words."""
     per_hub = pairs.groupBy("a").agg(F.ceil(F.count("*") / p.fan).cast("int").alias("salts"))
     hubs = per_hub.join(words.hint("merge"), per_hub["a"] == words["doc_id"]).select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("bigint").alias("b"), "w")
     members = pairs.join(per_hub, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b")
     members = members.join(words.hint("merge"), members["b"] == words["doc_id"]).select("a", "salt", "b", "w")
-    rows = hubs.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
+    # A number is given, as adaptive execution would join partitions by their bytes, which say little of the work.
+    rows = hubs.unionByName(members).repartition(tasks(pairs), "a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, x, ids, ys = None, None, [], []
@@ -291,13 +296,15 @@ def across(members: DataFrame, comp: DataFrame, exact: DataFrame, words: DataFra
     mixed = scratch.write(mixed, "mixed")
     sk = exact.select(F.col("rep").alias("b"), "n", "sk")
     rows = scratch.write(labelled.join(mixed.hint("merge"), "bucket", "left_semi").join(sk.hint("merge"), "b"), "crossing")
+    if rows.isEmpty():
+        return rows.select(F.col("b").alias("a"), "b")
     sizes = rows.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / p.block), F.ceil(F.sum("n") / p.block_words)).cast("int").alias("blocks"))
     rows = rows.join(scratch.write(sizes, "sizes").hint("merge"), "bucket").withColumn("own", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
     # A member goes to the pairs of its block with every block, itself included.
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     rows = rows.select("bucket", "b", "comp", "sk", "own", other).withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
     rows = rows.join(words.withColumnRenamed("doc_id", "b").hint("merge"), "b")
-    rows = rows.select("bucket", "x", "y", "own", "comp", "b", "sk", "w").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "comp", "b")
+    rows = rows.select("bucket", "x", "y", "own", "comp", "b", "sk", "w").repartition(tasks(rows), "bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "comp", "b")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, block, slot = None, Block(p), 0
@@ -376,12 +383,13 @@ def groups(docs: DataFrame, p: Params = Params(), scratch: Scratch | None = None
     comp = scratch.write(components(found, scratch), "components")
     more = scratch.write(across(members.drop("a"), comp, exact, words, p, scratch), "across")
     links = scratch.write(found.union(more).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    # The new links are few: they join components, whose members needn't be connected again.
-    at = lambda c: comp.select(F.col("id").alias(c), F.col("comp").alias(f"c{c}"))
-    between = more.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    joined = scratch.write(components(between, scratch), "joined").select(F.col("id").alias("comp"), F.col("comp").alias("last"))
-    single = between.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(comp, "id", "left_anti").select("id", F.col("id").alias("comp"))
-    comp = comp.union(single).join(joined, "comp", "left").select("id", F.coalesce("last", "comp").alias("comp"))
+    if not more.isEmpty():
+        # The new links join components, whose members needn't be connected again.
+        at = lambda c: comp.select(F.col("id").alias(c), F.col("comp").alias(f"c{c}"))
+        between = more.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+        joined = scratch.write(components(between, scratch), "joined").select(F.col("id").alias("comp"), F.col("comp").alias("last"))
+        single = between.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(comp, "id", "left_anti").select("id", F.col("id").alias("comp"))
+        comp = comp.union(single).join(joined, "comp", "left").select("id", F.coalesce("last", "comp").alias("comp"))
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     comp = scratch.write(comp.join(degree, "id", "left").select("id", "comp", F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
     scratch.keep_only(exact, comp)
