@@ -63,6 +63,8 @@ class Params:
     min_words: int = 50
     window: int = 25
     batches: int = 4
+    #: Ids of a list that may be sent to all tasks, so that no other text moves.
+    broadcast_ids: int = 1_000_000
 
 
 #: Rows of the Arrow batches that Python returns.
@@ -292,6 +294,8 @@ def matches(docs: DataFrame, p: Params, scratch: Scratch, repeats: bool) -> tupl
     firsts = scratch.write(firsts, "firsts")
     shares = [i / p.batches for i in range(1, p.batches)]
     bounds = firsts.agg(F.percentile_approx("doc_id", shares, 1000)).first()[0] if shares else []
+    if firsts.count() <= p.broadcast_ids:
+        texts = texts.join(F.broadcast(firsts.select("doc_id").distinct()), "doc_id", "left_semi").select(*texts.columns)
     suffixes = scratch.write(suffix_table(texts, p, firsts), "suffixes")
     scratch.drop(again, contexts, contested, firsts)
     index, points = SuffixIndex(docs.sparkSession, scratch.path("index"), p), []
@@ -304,8 +308,13 @@ def matches(docs: DataFrame, p: Params, scratch: Scratch, repeats: bool) -> tupl
         found = points[0]
         for m in points[1:]:
             found = found.unionByName(m)
-        found = scratch.write(found.distinct().withColumn("n", F.lit(1).cast("smallint")).select(*place), "points")
-        scratch.drop(suffixes, *points, *[level for _, level in index.levels])
+        found = found.withColumn("n", F.lit(1).cast("smallint")).select(*place)
+        if repeats:
+            # Rows that repeat id and text give the same suffixes.
+            found = scratch.write(found.distinct(), "points")
+            scratch.drop(*points)
+        scratch.drop(suffixes, *[level for _, level in index.levels])
+        scratch.tables += points
     finally:
         index.close()
     return runs, found
