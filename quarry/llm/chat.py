@@ -8,7 +8,8 @@ conversation and are left out; a null text counts as empty and a null role as
 ``unknown``; an assistant turn without text gives no example but stays in the
 context of later ones; equal turn numbers are ordered by role, then text, and
 repeated rows stay repeated; an assistant turn that comes first has the empty
-context. The output has fixed columns whatever else the table holds.
+context; very long texts are kept whole; an empty table gives no examples. The
+output has fixed columns whatever else the table holds.
 """
 
 from __future__ import annotations

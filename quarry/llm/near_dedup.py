@@ -334,7 +334,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         both = e.select(F.col("a").alias("v"), F.col("b").alias("u")).union(e.select(F.col("b").alias("v"), F.col("a").alias("u")))
         if not large:
             both = both.where("u <= v")
-        low = both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m"))
+        # Written, so that the join reads two plain shuffles, which adaptive execution can split at a vertex of many edges.
+        low = scratch.write(both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m")), "low")
         if large:
             moved = both.join(low, "v").where("u > v").select(F.col("m").alias("a"), F.col("u").alias("b"))
         else:
@@ -345,8 +346,9 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     state = lambda t: tuple(t.agg(F.count("*"), F.sum("a"), F.sum(F.xxhash64("a", "b") % (1 << 40))).first())
     was = state(now)
     while True:
-        new = scratch.write(star(star(now, True), False), "stars")
-        scratch.drop(now)
+        large = scratch.write(star(now, True), "stars")
+        new = scratch.write(star(large, False), "stars")
+        scratch.drop(now, large)
         now, seen = new, state(new)
         if seen == was:
             break
@@ -364,8 +366,10 @@ def groups(docs: DataFrame, p: Params = Params(), scratch: Scratch | None = None
     scratch, repeats = scratch or Scratch(docs.sparkSession), _repeats(docs)
     sk = scratch.write(sketches_of(docs, p), "sketches")
     one = sk.groupBy("doc_id").agg(F.min(F.struct("f1", "f2", "n", "sk")).alias("s")).select("doc_id", "s.*") if repeats else sk
-    exact = one.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sk").alias("sk"), F.collect_list("doc_id").alias("ids"))
+    exact = one.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sk").alias("sk"))
     exact = scratch.write(exact, "exact")
+    # Copies stay rows of their own: a group of them may be as large as the table.
+    ids = scratch.write(one.select("doc_id", "f1", "f2"), "ids")
     scratch.drop(sk)
     # A bucket is one value of one slot, which stands in its last byte.
     slot = lambda v, j: F.call_function("shiftleft", F.xxhash64(v), F.lit(8)) + j
@@ -391,12 +395,11 @@ def groups(docs: DataFrame, p: Params = Params(), scratch: Scratch | None = None
         single = between.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(comp, "id", "left_anti").select("id", F.col("id").alias("comp"))
         comp = comp.union(single).join(joined, "comp", "left").select("id", F.coalesce("last", "comp").alias("comp"))
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
-    comp = scratch.write(comp.join(degree, "id", "left").select("id", "comp", F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
-    scratch.keep_only(exact, comp)
-    grouped = exact.join(comp, exact["rep"] == comp["id"], "left").select(
-        F.explode("ids").alias("doc_id"), F.coalesce("comp", "rep").alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.size("ids").alias("n"), "comp"
-    )
-    return grouped.where("comp is not null or n > 1").select("doc_id", "group_id", "n_links")
+    comp = comp.join(degree, "id", "left").select("id", "comp", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    classes = exact.select("f1", "f2", "rep", "copies").join(comp, F.col("rep") == F.col("id"), "left").where("comp is not null or copies > 1")
+    classes = scratch.write(classes.select("f1", "f2", F.coalesce("comp", "rep").alias("group_id"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links")), "classes")
+    scratch.keep_only(ids, classes)
+    return ids.join(classes.hint("merge"), ["f1", "f2"]).select("doc_id", "group_id", "n_links")
 
 
 def _repeats(docs: DataFrame) -> bool:

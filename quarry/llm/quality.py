@@ -80,7 +80,7 @@ def default_rules(text: str = "text") -> list[Rule]:
     count = lambda pattern, c=t: F.regexp_count(c, F.lit(pattern))
     lines = F.split(t, "\n")
     return [
-        Rule("has_text", F.length(F.trim(t)) > 0),
+        Rule("has_text", t.rlike(r"\S")),
         Rule("symbol_runs", count(r"[#$%&*]{2,}") <= 0.015 * n),
         Rule("table_bars", n - F.length(F.replace(t, F.lit("|"), F.lit(""))) <= 0.015 * n),
         Rule("shouting", (n < 50) | (count(r"\p{Lu}") <= 0.3 * n)),

@@ -60,7 +60,7 @@ ORACLES: dict[str, str] = {}
 
 ORACLES["op5_quality"] = rf"""
 SELECT doc_id, coalesce(
-  length(trim(text)) > 0
+  regexp_matches(text, '\S')
   AND len(regexp_extract_all(text, '[#$%&*]{{2,}}')) <= 0.015 * length(text)
   AND length(text) - length(replace(text, '|', '')) <= 0.015 * length(text)
   AND (length(text) < 50 OR len(regexp_extract_all(text, '\p{{Lu}}')) <= 0.3 * length(text))

@@ -19,7 +19,9 @@ has it once.
 
 Edge cases: null and empty texts count 0; every input row gives one output row,
 so repeated rows and ids, and null ids, stay as they are; only ``doc_id`` and
-``text`` are read; strings of special tokens are ordinary text.
+``text`` are read; strings of special tokens are ordinary text; a very long text is
+split whole, as a block of its own; an empty table gives an empty result; ids may be
+of any type, and columns of other names don't matter.
 """
 
 from __future__ import annotations

@@ -91,6 +91,32 @@ def test_packing_is_sum_of_squares():
         assert got == slow_pack(lengths, capacity)
 
 
+def test_pack_is_sum_of_squares_in_each_shard(spark):
+    """The query's own path, with sizes that tie all the time."""
+    r = random.Random(14)
+    lengths = [r.choice((3, 5, 5, 8, 13, 40)) for _ in range(300)]
+    df = frame(spark, [(i, " ".join(["w"] * n), "en", "s") for i, n in enumerate(lengths)])
+    for tokens in (10**9, 700):
+        rows = packing.pack(df, capacity=16, shard_tokens=tokens).collect()
+        shards = defaultdict(list)
+        for x in rows:
+            shards[x["shard"]].append(x)
+        assert len(shards) == 1 if tokens == 10**9 else len(shards) > 3
+        for part in shards.values():
+            mine = sorted({x["doc_id"] for x in part})
+            assert sorted((x["doc_id"], x["start"], x["size"], x["offset"]) for x in part) == sorted((i, *p) for i, ps in zip(mine, by_document(slow_pack([lengths[i] for i in mine], 16), [lengths[i] for i in mine])) for p in ps)
+
+
+def by_document(places, lengths):
+    out, at = [], 0
+    for n in lengths:
+        out.append([])
+        while sum(s for _, s, _ in out[-1]) < n:
+            out[-1].append(places[at])
+            at += 1
+    return out
+
+
 def test_packing_places_every_word_once(spark, awkward, empty):
     rows = packing.pack(awkward, capacity=64, shard_tokens=5000).collect()
     by_doc = defaultdict(int)
@@ -501,7 +527,8 @@ def test_token_counts_are_those_of_the_tokenizer(spark, awkward, empty):
     want = Counter((i % 5, len(enc.encode_ordinary(t or ""))) for i, t in enumerate(texts * 3))
     for block in (200, 8 << 20):
         assert Counter(map(tuple, token_counts.count_tokens(df, block_bytes=block).collect())) == want
-    assert token_counts.count_tokens(awkward).count() == 15 and token_counts.count_tokens(empty).count() == 0
+    want = Counter((x["doc_id"], len(enc.encode_ordinary(x["text"] or ""))) for x in awkward.collect())
+    assert Counter(map(tuple, token_counts.count_tokens(awkward).collect())) == want and token_counts.count_tokens(empty).count() == 0
 
 
 def test_postings_round_trip():
@@ -699,3 +726,6 @@ def test_chat_expansion(spark):
     want = [(1, 2, 2, p1 + a, "A1<|end|>\n", len(p1 + a)), (1, 5, 5, p2 + a, "A2<|end|>\n", len(p2 + a)), (2, 0, 0, a, "first<|end|>\n", len(a)), (5, 1, 0, a, "a<|end|>\n", len(a)), (5, 1, 1, a + "a<|end|>\n" + a, "b<|end|>\n", len(a + "a<|end|>\n" + a)), (6, 0, 0, a, "r<|end|>\n", len(a)), (6, 0, 1, a + "r<|end|>\n" + a, "r<|end|>\n", len(a + "r<|end|>\n" + a))]
     assert got == sorted(want)
     assert chat.expand(spark.createDataFrame([], s)).count() == 0
+    long = "long " * 200_000
+    got = chat.expand(spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long)], s)).first()
+    assert got["target"] == long + "<|end|>\n" and got["prompt"].count("long ") == 200_000 and got["trainable_from"] == len(got["prompt"])
