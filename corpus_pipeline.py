@@ -14,7 +14,11 @@ from quarry.workdir import Scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass every rule of the cascade, with toxicity as ``labels`` teach it where that table is there."""
+    """Documents that pass every rule of the cascade, with toxicity as ``labels`` teach it where that table is there.
+
+    Null and blank texts go; null ids, repeated rows, very long texts and columns
+    of other names stay as they are; an empty table stays empty.
+    """
     try:
         labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     except AnalysisException as missing:
@@ -25,22 +29,38 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates, the one of the smallest id.
+
+    Of rows that repeat an id one stays; rows without an id are in no group and
+    all stay, as do null and blank texts.
+    """
     return near_dedup.drop_near_duplicates(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 50 words or more stay where they come first."""
+    """Passages of 50 words or more stay where they come first.
+
+    By id, then text, then place. A document of which nothing is left goes; texts
+    of fewer words, null texts and rows without an id stay as they are.
+    """
     return suffix_dedup.drop_repeats(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in the order of the curriculum, once for each epoch that reaches them."""
+    """Documents in the order of the curriculum, once for each epoch that reaches them.
+
+    Rows without an id or words are never trained on and go, as do documents that
+    the schedule doesn't reach; positions that tie are ordered by id and epoch.
+    """
     return mixing.mix(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places in training sequences of 2,048 words; sequences by shard and bin follow the order of the mix."""
+    """Places in training sequences of 2,048 words; sequences by shard and bin follow the order of the mix.
+
+    Each row that comes in is placed whole, repeated ones too; an empty table gives
+    no places.
+    """
     return packing.pack_in_order(docs)
 
 
