@@ -77,6 +77,9 @@ def with_clitics(query: str) -> list[str]:
 SKIP_SIGNS = "".join(c for c in string.punctuation if c not in '#$%&*+@^`|~') + "¡§©«®°±¶·»¿×÷،؍؛؟٫٬٭۔–—‘’“”†‡•…′″‴™∂∇∏∑√∞∫≠≤≥○●◦⦗⦘﴾﴿"
 _SKIP = "[" + re.escape(SKIP_SIGNS).replace("&", r"\&") + "A-Za-zÀ-ɏḀ-ỿ0-9٠-٩۰-۹]"
 _ARABIC = "[؀-ۿݐ-ݿࢠ-ࣿ]"
+LETTERS = _ARABIC[1:-1]
+#: A token with what precedes it, up to the end of its run of letters and signs.
+CHUNK = f"[^{LETTERS}]*{_ARABIC}(?:{_ARABIC}|{_SKIP})*"
 _SKIP_RE, _ARABIC_RE = re.compile(_SKIP), re.compile(_ARABIC)
 
 

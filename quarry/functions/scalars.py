@@ -51,10 +51,18 @@ def version_in_range(v: Column, least: Column, most: Column) -> Column:
     return (least.isNull() | (version(v) >= version(least))) & (most.isNull() | (version(v) <= version(most)))
 
 
+def full_version(c: Column) -> Column:
+    """(major, minor, patch) of what precedes a tag, or null where three numbers of 32 bits don't come first."""
+    parts = F.split(F.element_at(F.split(c, "-"), 1), r"\.")
+    number = lambda i: F.when(F.get(parts, F.lit(i)).rlike(r"^\+?[0-9]+$"), F.get(parts, F.lit(i)).try_cast("bigint"))
+    numbers = [F.when(number(i) < 1 << 32, number(i)) for i in range(3)]
+    whole = numbers[0].isNotNull() & numbers[1].isNotNull() & numbers[2].isNotNull()
+    return F.when(whole, F.struct(*[n.alias(name) for n, name in zip(numbers, ("major", "minor", "patch"))]))
+
+
 def meets_minimum(v: Column, least: Column) -> Column:
-    """As ``version`` compares, but a version of fewer than three parts passes."""
-    short = (F.size(F.split(v, r"\.")) < 3) | (F.size(F.split(least, r"\.")) < 3)
-    return short | (version(v) >= version(least))
+    """Whether a version is at least another; what isn't a full version counts as compatible."""
+    return F.coalesce(full_version(v) >= full_version(least), F.lit(True))
 
 
 def sha256_matches(content: Column, expected: Column) -> Column:

@@ -16,12 +16,53 @@ def snippet_bounds(n_tokens: Column, center: Column, before: int = 10, after: in
     return F.struct(start.alias("start"), F.least(n_tokens, center + after + 1).alias("end"), (start > 0).alias("truncated"))
 
 
-def kwic(tokens: Column, positions: Column, size: int = 50, before: int = 5) -> Column:
-    """``size`` tokens with at most ``before`` ahead of the first match, an ellipsis where the page goes on."""
+def kwic(text: Column, positions: Column, size: int = 50, before: int = 5) -> Column:
+    """The page text about the first match: ``size`` tokens with at most ``before`` ahead of it, marked by an ellipsis where the start is cut.
+
+    ``text`` is free of markup; tokens are those of ``token_map``. Signs between
+    and inside tokens stay; a text without tokens there is given whole.
+    """
     first = F.coalesce(F.get(positions, F.lit(0)), F.lit(0))
     start = F.greatest(F.lit(0), first - before)
-    body = F.array_join(F.slice(tokens, start + 1, F.lit(size)), " ")
-    return F.concat(F.when(start > 0, "... ").otherwise(""), body, F.when(F.size(tokens) > start + size, " ...").otherwise(""))
+    # A chunk is a token with what precedes it and the signs that hang on it.
+    chunks = F.regexp_extract_all(text, F.lit(f"({arabic.CHUNK})"), F.lit(1))
+    inside = F.slice(chunks, start + 1, F.lit(size))
+    cut = F.regexp_replace(F.regexp_replace(F.array_join(inside, ""), f"^[^{arabic.LETTERS}]+", ""), f"[^{arabic.LETTERS}]+$", "")
+    return F.when(F.size(inside) == 0, text).otherwise(F.concat(F.when(start > 0, "… ").otherwise(""), cut))
+
+
+def reader_spans(pages: DataFrame, text: str = "body", positions: str = "matched_token_indices") -> DataFrame:
+    """``pages`` with a column ``spans``: the text in pieces, each with its token (null between tokens) and whether it is highlighted.
+
+    A piece is a run of characters of one token, or a single character of none.
+    """
+
+    @F.pandas_udf("array<struct<text:string,token:int,lit:boolean>>")
+    def run(texts, matched):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        return pd.Series([pieces(t or "", set(m if m is not None else ())) for t, m in zip(texts, matched)])
+
+    return pages.withColumn("spans", run(text, positions))
+
+
+def pieces(text: str, matched: set[int]) -> list[dict]:
+    out: list[dict] = []
+    for ch, token in zip(text, arabic.token_map(text)):
+        if token is not None and out and out[-1]["token"] == token and out[-1]["open"]:
+            out[-1]["text"] += ch
+            continue
+        if out:
+            out[-1]["open"] = False
+        out.append({"text": ch, "token": token, "lit": token is not None and token in matched, "open": True})
+    return [{k: x[k] for k in ("text", "token", "lit")} for x in out]
+
+
+def reader_tokens(spans: DataFrame, tokens: DataFrame) -> DataFrame:
+    """One row for each piece of each page, in order (``at``), with the definition of its token where there is one."""
+    key = ["text_id", "part_index", "page_id"]
+    each = spans.select(*key, F.posexplode("spans").alias("at", "s")).select(*key, "at", F.col("s.text").alias("text"), F.col("s.token").alias("idx"), F.col("s.lit").alias("lit"))
+    return each.join(tokens, [*key, "idx"], "left")
 
 
 def token_count(text: Column) -> Column:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import datetime
+import re
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions.scalars import meets_minimum, version, version_in_range
+from quarry.functions.scalars import full_version, version_in_range
 
 REMOTE = "corpus_version string, schema_version int, min_app_version string, built_at string, files array<struct<name:string,hash:string,size:bigint>>"
 LOCAL = "corpus_version string, schema_version int, downloaded_at string, files map<string,struct<hash:string,size:bigint,complete:boolean>>"
@@ -48,34 +50,62 @@ def download_size(missing: DataFrame) -> DataFrame:
     return missing.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.array_sort(F.collect_list("name")).alias("names"))
 
 
-def corpus_status(remote: dict | None, local: dict | None, n_missing: int, app_version: str) -> str:
-    """offline_ready | offline | app_too_old | not_downloaded | schema_update | incomplete | update_available | up_to_date."""
+@dataclass(frozen=True)
+class CorpusStatus:
+    ready: bool
+    local_version: str | None = None
+    remote_version: str | None = None
+    update_available: bool = False
+    update_required: bool = False
+    missing_files: list[str] = field(default_factory=list)
+    total_download_size: int = 0
+    error: str | None = None
 
-    def parts(v: str) -> tuple[int, ...]:
-        return tuple(int(x) if x.isdigit() else 0 for x in v.split("-")[0].split("."))
 
+def _parsed(version: str) -> tuple[int, ...] | None:
+    parts = version.split("-")[0].split(".")[:3]
+    numbers = [int(x) for x in parts if re.fullmatch(r"\+?[0-9]+", x) and int(x) < 1 << 32]
+    return tuple(numbers) if len(numbers) == 3 else None
+
+
+def is_complete(local: DataFrame, on_disk: DataFrame) -> bool:
+    """Whether every local file is finished and there."""
+    return local.join(on_disk.select("name", F.lit(True).alias("here")).distinct(), "name", "left").where(~F.col("complete") | F.col("here").isNull()).isEmpty()
+
+
+def corpus_status(remote: dict | None, local: dict | None, app_version: str, missing: tuple[int, list[str]] = (0, []), complete: bool = False, essential: bool = False, problem: str = "offline") -> CorpusStatus:
+    """What the manifests and the disk say.
+
+    ``missing`` is the size and the names of ``download_size``; ``complete`` that
+    all local files are whole (``is_complete``); ``essential`` that a corpus lies
+    on disk, with or without a manifest. Without a remote manifest ``problem`` is
+    why there is none.
+    """
+    have = local["corpus_version"] if local else None
     if remote is None:
-        return "offline_ready" if local else "offline"
-    least = parts(remote["min_app_version"])
-    if len(least) >= 3 and len(parts(app_version)) >= 3 and parts(app_version) < least:
-        return "app_too_old"
-    if local is None:
-        return "not_downloaded"
-    if local["schema_version"] != remote["schema_version"]:
-        return "schema_update"
-    if n_missing:
-        return "incomplete" if local["corpus_version"] == remote["corpus_version"] else "update_available"
-    return "up_to_date"
-
-
-def update_status(releases: DataFrame, app_version: str) -> DataFrame:
-    """Whether a newer release exists, and whether it must be taken: below the least supported, or one since is required."""
-    app = F.lit(app_version)
-    each = releases.select("latest_version", "min_supported_version", F.explode_outer("releases").alias("r"))
-    newer_required = F.coalesce(F.col("r.required") & (version(F.col("r.version")) > version(app)), F.lit(False))
-    return each.groupBy("latest_version", "min_supported_version").agg(F.max(newer_required).alias("req")).select(
-        "latest_version", (version(F.col("latest_version")) > version(app)).alias("update_available"),
-        (~meets_minimum(app, F.col("min_supported_version")) | F.col("req")).alias("required"),
+        if local and complete or essential:
+            return CorpusStatus(True, have if local and complete else None, error=f"Could not check for updates: {problem}")
+        return CorpusStatus(False, have, missing_files=["Unable to determine (offline)"], error=f"Could not fetch manifest: {problem}")
+    app, least = _parsed(app_version), _parsed(remote["min_app_version"])
+    if app and least and app < least:
+        return CorpusStatus(False, have, remote["corpus_version"], update_required=True, error=f"App version {app_version} is too old. Please update to at least {remote['min_app_version']}")
+    size, names = missing
+    schema = bool(local) and local["schema_version"] != remote["schema_version"]
+    newer = bool(local) and not schema and have != remote["corpus_version"]
+    ready = not names and not schema if local else essential
+    by_hand = ready and not local
+    return CorpusStatus(ready, have, remote["corpus_version"], newer, schema, [] if by_hand else list(names), 0 if by_hand else size)
+
+
+def update_status(releases: DataFrame, app_version: str, platform: str = "linux") -> DataFrame:
+    """Whether a newer release exists, and whether it must be taken: below the least supported, or one since is required; notes and address are of the release listed first."""
+    app, no = F.lit(app_version), F.lit(False)
+    newer = lambda v: F.coalesce(full_version(v) > full_version(app), no)
+    first = F.get("releases", F.lit(0))
+    return releases.select(
+        app.alias("current_version"), "latest_version", "min_supported_version",
+        (newer(F.col("min_supported_version")) | F.coalesce(F.exists("releases", lambda r: newer(r["version"]) & r["required"]), no)).alias("update_required"),
+        newer(F.col("latest_version")).alias("update_available"), first["notes"].alias("release_notes"), first["downloads"][platform].alias("download_url"),
     )
 
 

@@ -51,7 +51,7 @@ def centuries(books: DataFrame) -> DataFrame:
 
 def corpus_stats(pages: DataFrame, books: DataFrame) -> DataFrame:
     n = lambda t, name: t.agg(F.count("*").alias(name))
-    return n(pages, "n_pages").crossJoin(n(books, "n_books"))
+    return n(pages, "n_pages").withColumn("n_books", n(books, "n_books").scalar())
 
 
 def author_summary(authors: DataFrame, books: DataFrame) -> DataFrame:
@@ -103,6 +103,22 @@ def in_collections(books: DataFrame, collections: DataFrame, names: list[str]) -
     return books.join(ids, "id", "left_semi")
 
 
+def text_selection(books: DataFrame, authors: DataFrame, f: BookFilter, collections: DataFrame | None = None, names: list[str] = ()) -> DataFrame:
+    """``browse`` among the books of the named collections, or of all where none is named."""
+    return browse(in_collections(books, collections, list(names)) if names else books, authors, f)
+
+
+def toggled(selection: list[int], ids: list[int]) -> list[int]:
+    """The selection with each of ``ids`` put in, or taken out if all of them are in it."""
+    have = set(selection)
+    return sorted(have - set(ids) if set(ids) <= have else have | set(ids))
+
+
+def selection_differs(left: DataFrame, right: DataFrame) -> bool:
+    """Whether two selections (id) hold different books."""
+    return not (left.select("id").exceptAll(right.select("id")).isEmpty() and right.select("id").exceptAll(left.select("id")).isEmpty())
+
+
 def selected(books: DataFrame, authors: DataFrame, ids: list[int], text: str = "") -> DataFrame:
     chosen = books.sparkSession.createDataFrame([(i,) for i in ids], "id bigint")
     return browse(books.join(chosen, "id", "left_semi"), authors, BookFilter(text=text))
@@ -114,13 +130,13 @@ def books_of_author(books: DataFrame, author_id: int | None) -> DataFrame:
 
 
 def author_rollup(books: DataFrame, authors: DataFrame, genres: DataFrame) -> DataFrame:
-    """Per author (-1: unknown): books, pages, genres by name, and the death year of the first book that has one."""
+    """Per author (-1: unknown): books, pages, genres by name, and the earliest death year of the books; a name that isn't known is ``Unknown``."""
     g = books.join(F.broadcast(genres.select(F.col("id").alias("genre_id"), "genre")), "genre_id", "left")
     per = g.groupBy(F.coalesce("author_id", F.lit(-1)).alias("author_id")).agg(
         F.count("*").alias("n_books"), F.sum(F.coalesce("page_count", F.lit(0))).alias("n_pages"),
-        F.concat_ws("; ", F.array_sort(F.collect_set("genre"))).alias("genres"), F.min_by("death_ah", F.when(F.col("death_ah").isNotNull(), F.col("id"))).alias("death_ah"),
+        F.concat_ws("; ", F.array_sort(F.collect_set("genre"))).alias("genres"), F.min("death_ah").alias("death_ah"),
     )
-    named = per.join(authors.select(F.col("id").alias("author_id"), "author"), "author_id", "left")
+    named = per.join(authors.select(F.col("id").alias("author_id"), "author"), "author_id", "left").withColumn("author", F.coalesce("author", F.lit("Unknown")))
     return named.orderBy(F.asc_nulls_last("death_ah"), "author_id")
 
 

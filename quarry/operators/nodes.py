@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 from quarry.functions import arabic
 from quarry.functions.arabic import SURFACE
 
+#: Beyond this distance a pattern over the words between would recurse too deep.
+PATTERN_REACH = 100
+
 _META = re.compile(r"([.+*?^$()\[\]{}|\\])")
 
 
@@ -122,7 +125,10 @@ class And(Node):
         return _union([p.positions() for p in self.parts])
 
     def label(self) -> str:
-        return "(" + " AND ".join(p.label() for p in self.parts) + ")"
+        plain = [p.label() for p in self.parts if not isinstance(p, Or)]
+        groups = [f"({p.label()})" for p in self.parts if isinstance(p, Or)]
+        ands = " AND ".join(plain)
+        return " AND ".join(([f"({ands})"] if groups and ands else [ands] if ands else []) + groups)
 
 
 @dataclass(frozen=True)
@@ -136,7 +142,7 @@ class Or(Node):
         return _union([p.positions() for p in self.parts])
 
     def label(self) -> str:
-        return "(" + " OR ".join(p.label() for p in self.parts) + ")"
+        return " OR ".join(p.label() for p in self.parts)
 
 
 @dataclass(frozen=True)
@@ -162,7 +168,7 @@ class Near(Node):
     def matches(self) -> Column:
         single = len(self.left.slots) == len(self.right.slots) == 1
         present = self.left.matches() & self.right.matches()
-        if single and self.left.stream == self.right.stream:
+        if single and self.left.stream == self.right.stream and (self.distance <= PATTERN_REACH or self.left.slots == self.right.slots):
             a, b = self.left.slots[0].start, self.right.slots[0].start
             if a == b:
                 return self.left.matches()
@@ -170,20 +176,64 @@ class Near(Node):
                 return F.lit(False)
             x, y, gap = escape(a), escape(b), rf" (?:\S+ ){{0,{self.distance - 1}}}"
             return present & F.col(f"{self.left.stream}_j").rlike(f" {x}{gap}{y} | {y}{gap}{x} ")
-        # Positions within reach meet in one array operation: linear in the page, not in pairs.
-        return present & F.arrays_overlap(self._reach(self._spots(self.left)), self._spots(self.right))
+        # In the sorted positions of both sides the closest pair stands side by side: no pairs, and any distance costs the same.
+        tag = lambda side, bit: F.transform(self._spots(side), lambda p: p * 2 + bit)
+        both = F.array_sort(F.concat(tag(self.left, 0), tag(self.right, 1)))
+        steps = F.zip_with(F.slice(both, F.lit(1), F.greatest(F.size(both) - 1, F.lit(0))), F.slice(both, 2, F.size(both)), lambda x, y: (x % 2 != y % 2) & (F.shiftright(y, 1) - F.shiftright(x, 1) <= self.distance))
+        return present & F.exists(steps, lambda near: near)
 
     def _reach(self, spots: Column) -> Column:
         return F.flatten(F.transform(spots, lambda p: F.sequence(p - self.distance, p + self.distance)))
 
     def positions(self) -> Column:
         l, r = self._spots(self.left), self._spots(self.right)
-        return F.array_sort(F.array_union(F.array_intersect(l, self._reach(r)), F.array_intersect(r, self._reach(l))))
+        if self.distance <= PATTERN_REACH:
+            return F.array_sort(F.array_union(F.array_intersect(l, self._reach(r)), F.array_intersect(r, self._reach(l))))
+        # Wide reaches hold most positions, so the search for one ends soon.
+        close = lambda x, ys: F.filter(x, lambda p: F.exists(ys, lambda q: F.abs(p - q) <= self.distance))
+        return F.array_sort(F.array_union(close(l, r), close(r, l)))
 
     def label(self) -> str:
         return f"{self.left.label()} ~{self.distance} {self.right.label()}"
 
 
+# How queries are shown, from the strings as they were typed.
+
+
+def combined_label(and_terms: list[str], or_terms: list[str] = ()) -> str:
+    ands, ors = " AND ".join(and_terms), " OR ".join(or_terms)
+    return f"({ands}) AND ({ors})" if ands and ors else ands or ors
+
+
+def near_label(left: str, right: str, distance: int) -> str:
+    return f"{left} ~{distance} {right}"
+
+
+def names_label(forms: list[list[str]]) -> str:
+    """The first pattern of each form."""
+    return " AND ".join(f[0] for f in forms if f)
+
+
+def tab_label(and_terms: list[str], or_terms: list[str] = ()) -> str:
+    """Two terms at most, for the title of a tab."""
+    ands, ors = ([t for t in ts if t.strip()] for ts in (and_terms, or_terms))
+    if ands:
+        return " AND ".join((ands + ors[: 2 - len(ands)] if len(ands) < 2 else ands)[:2])
+    return " OR ".join(ors[:2]) or "Search"
+
+
+def full_label(and_terms: list[str], or_terms: list[str] = ()) -> str:
+    parts = [f"{name}: {', '.join(ts)}" for name, ts in (("AND", and_terms), ("OR", or_terms)) if ts]
+    return " | ".join(parts) or "Search"
+
+
+def name_tab_label(form) -> str:  # noqa: ANN001
+    """Of a name form: its first kunya, the lineage and the first nisba, in 40 characters."""
+    first = lambda xs: next((x.strip() for x in xs if x.strip()), "")
+    text = " ".join(x for x in (first(form.kunyas), form.nasab.strip(), first(form.nisbas)) if x) or "Name Search"
+    return text[:37] + "..." if len(text) > 40 else text
+
+
 # From query strings to nodes.
 
 
@@ -195,8 +245,8 @@ def term(query: str, mode: str = arabic.LEMMA) -> Node:
 
 def combined(and_terms: list[tuple[str, str]], or_terms: list[tuple[str, str]] = ()) -> Node:
     """All of the first and, where there are some, one of the second."""
-    ands = [n for n in (term(*t) for t in and_terms) if not isinstance(n, Nothing)]
-    ors = [n for n in (term(*t) for t in or_terms) if not isinstance(n, Nothing)]
+    # A term that comes twice is looked for once.
+    ands, ors = (list(dict.fromkeys(n for n in (term(*t) for t in ts) if not isinstance(n, Nothing))) for ts in (and_terms, or_terms))
     parts = [*ands, *([Or(tuple(ors)) if len(ors) > 1 else ors[0]] if ors else [])]
     return Nothing() if not parts else parts[0] if len(parts) == 1 else And(tuple(parts))
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators import nodes
@@ -17,6 +17,8 @@ from quarry.operators.nodes import Node
 
 KEY = ["text_id", "part_index", "page_id"]
 IN_LIST = 1000
+#: A page of results in the reader's window, the most that it pages through, and the most that an export holds.
+PAGE_SIZE, MAX_RESULTS, EXPORT_MAX_RESULTS = 250, 5000, 2000
 
 
 @dataclass
@@ -103,9 +105,16 @@ class Search:
         return self.hits(nodes.names(forms), light=nodes.names(forms[:1]) if first_form_only else None, **kw)
 
     def with_total(self, node: Node, filters: Filters | None = None, limit: int = 50) -> DataFrame:
-        """Page keys and, on each row, the number of all matches, in one pass."""
-        rows = self.matching(node, filters).select(*KEY, "death_ah").withColumn("total_hits", F.count("*").over(Window.partitionBy()))
-        return rows.orderBy(*in_order()).limit(limit)
+        """Page keys and, on each row, the number of all matches: a count and a top-k, which both combine before they shuffle."""
+        return self.keys(node, filters, limit).withColumn("total_hits", self.total(node, filters).scalar())
+
+    def load_more(self, node: Node, filters: Filters | None = None, shown: int = 0) -> DataFrame:
+        """The next page after ``shown`` results, none beyond ``MAX_RESULTS``."""
+        return self.hits(node, filters, max(0, min(PAGE_SIZE, MAX_RESULTS - shown)), shown)
+
+    def for_export(self, node: Node, filters: Filters | None = None) -> DataFrame:
+        """The same search again, from its start, with as many results as an export holds."""
+        return self.hits(node, filters, EXPORT_MAX_RESULTS)
 
     # One page by its key.
 

@@ -8,11 +8,12 @@ version is whole, so that a lost executor or driver leaves the last good one.
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.workdir import exists, read_text, write_text
+
 HISTORY = "id bigint, search_type string, query_data string, display_label string, book_filter_count bigint, book_ids string, created_at string"
 SAVED = "id bigint, history_id bigint, search_type string, query_data string, display_label string, book_filter_count bigint, book_ids string, created_at string"
 SETTINGS = "key string, value string"
@@ -105,28 +106,25 @@ def dismiss(table: DataFrame, ids: list[str], now: str) -> DataFrame:
 
 
 class Store:
-    """Versioned Parquet tables under a local or mounted directory."""
+    """Versioned Parquet tables under a directory of any file system that Spark writes to."""
 
     SCHEMAS = {"history": HISTORY, "saved": SAVED, "app_settings": SETTINGS, "user_settings": SETTINGS, "collections": COLLECTIONS, "dismissed": DISMISSED}
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, Path(root)
-        self.root.mkdir(parents=True, exist_ok=True)
+        self.spark, self.root = spark, root.rstrip("/")
 
     def _version(self, name: str) -> int:
-        at = self.root / f"{name}.json"
-        return json.loads(at.read_text())["version"] if at.exists() else 0
+        at = f"{self.root}/{name}.json"
+        return json.loads(read_text(self.spark, at))["version"] if exists(self.spark, at) else 0
 
     def get(self, name: str) -> DataFrame:
         v = self._version(name)
-        return self.spark.read.schema(self.SCHEMAS[name]).parquet(str(self.root / f"{name}-{v}")) if v else self.spark.createDataFrame([], self.SCHEMAS[name])
+        return self.spark.read.schema(self.SCHEMAS[name]).parquet(f"{self.root}/{name}-{v}") if v else self.spark.createDataFrame([], self.SCHEMAS[name])
 
     def put(self, name: str, table: DataFrame) -> None:
         v = self._version(name) + 1
-        table.coalesce(1).write.mode("overwrite").parquet(str(self.root / f"{name}-{v}"))
-        new = self.root / f"{name}.json.new"
-        new.write_text(json.dumps({"version": v}))
-        new.replace(self.root / f"{name}.json")
+        table.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/{name}-{v}")
+        write_text(self.spark, f"{self.root}/{name}.json", json.dumps({"version": v}))
 
     def clear(self, name: str) -> None:
         self.put(name, self.spark.createDataFrame([], self.SCHEMAS[name]))

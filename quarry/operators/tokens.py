@@ -1,9 +1,18 @@
-"""The token dictionary: packed ids per page, definitions, and their six dimensions."""
+"""The token dictionary: packed ids per page, definitions, and their six dimensions.
+
+Ids are unpacked by numpy over the raw bytes of a batch of pages. Dimensions and,
+while it has at most ``BROADCAST_ROWS`` definitions, the dictionary are sent to the
+tasks, so that no token moves; a larger dictionary is joined by a shuffle of the
+tokens, which adaptive execution splits where a token is frequent.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +20,9 @@ from quarry.functions.scalars import json_clitics, json_strings
 from quarry.workdir import Scratch
 
 KEY = ["text_id", "part_index", "page_id"]
+BROADCAST_ROWS = 1_000_000
+#: Rows of the Arrow batches that Python returns.
+ROWS = 1 << 16
 
 
 def decode_ids(blob: Column) -> Column:
@@ -26,6 +38,32 @@ def encode_ids(ids: Column) -> Column:
     return F.unhex(F.array_join(F.transform(ids, lambda x: flip(F.lpad(F.hex(x), 8, "0"))), ""))
 
 
+def unpacked(packed: DataFrame) -> DataFrame:
+    """Page key, ``idx`` and ``token_id`` of every token of ``packed`` (key, token_ids); a trailing part of an id is ignored."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            blobs = b.column(3).cast(pa.large_binary())
+            at = np.frombuffer(blobs.buffers()[1], np.int64)[blobs.offset : blobs.offset + len(blobs) + 1]
+            data = np.frombuffer(blobs.buffers()[2] or b"", np.uint8)
+            n = np.diff(at) // 4
+            ids = [np.frombuffer(data[s : s + 4 * k].tobytes(), "<u4") for s, k in zip(at, n)]
+            page = np.repeat(np.arange(len(n)), n)
+            idx = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+            token = (np.concatenate(ids) if ids else np.zeros(0, "<u4")).astype(np.int64)
+            for s in range(0, len(page), ROWS):
+                part = pa.array(page[s : s + ROWS])
+                yield pa.RecordBatch.from_arrays([*(b.column(i).take(part) for i in range(3)), pa.array(idx[s : s + ROWS]), pa.array(token[s : s + ROWS])], [*KEY, "idx", "token_id"])
+
+    kinds = ", ".join(f"{c} {packed.schema[c].dataType.simpleString()}" for c in KEY)
+    return packed.select(*KEY, F.coalesce("token_ids", F.lit(b"")).alias("token_ids")).mapInArrow(run, f"{kinds}, idx int, token_id bigint")
+
+
+def small(table: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Marked to be sent to all tasks if it has few rows."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
 @dataclass
 class Dictionary:
     """``definitions`` (id, surface, lemma_id, root_id, pos_id, feature_set_id, clitic_set_id) and its dimensions."""
@@ -37,13 +75,15 @@ class Dictionary:
     feature_sets: DataFrame
     clitic_sets: DataFrame
 
-    def resolved(self) -> DataFrame:
-        """Definitions with all texts in place: one row for each distinct token."""
+    def resolved(self, ids: DataFrame | None = None) -> DataFrame:
+        """Definitions with all texts in place: one row for each distinct token, or for those in ``ids`` (token_id)."""
         d = self.definitions
+        if ids is not None:
+            d = d.join(small(ids.select(F.col("token_id").alias("id")).distinct()), "id", "left_semi")
         for table, key, col in ((self.roots, "root_id", "root"), (self.lemmas, "lemma_id", "lemma"), (self.pos_types, "pos_id", "pos")):
-            d = d.join(table.select(F.col("id").alias(key), col), key, "left")
-        d = d.join(self.feature_sets.select(F.col("id").alias("feature_set_id"), json_strings(F.col("features")).alias("features")), "feature_set_id", "left")
-        d = d.join(self.clitic_sets.select(F.col("id").alias("clitic_set_id"), json_clitics(F.col("clitics")).alias("clitics")), "clitic_set_id", "left")
+            d = d.join(small(table.select(F.col("id").alias(key), col)), key, "left")
+        d = d.join(small(self.feature_sets.select(F.col("id").alias("feature_set_id"), json_strings(F.col("features")).alias("features"))), "feature_set_id", "left")
+        d = d.join(small(self.clitic_sets.select(F.col("id").alias("clitic_set_id"), json_clitics(F.col("clitics")).alias("clitics"))), "clitic_set_id", "left")
         return d.select(
             F.col("id").alias("token_id"), "surface", F.coalesce("lemma", F.lit("unknown")).alias("lemma"), "root", F.coalesce("pos", F.lit("UNK")).alias("pos"),
             F.coalesce("features", F.array().cast("array<string>")).alias("features"),
@@ -51,10 +91,8 @@ class Dictionary:
         )
 
 
-def page_tokens(packed: DataFrame, dictionary: Dictionary) -> DataFrame:
-    """Tokens of pages in order; one without a definition keeps its place as a placeholder."""
-    at = packed.select(*KEY, F.posexplode(decode_ids(F.col("token_ids"))).alias("idx", "token_id"))
-    t = at.join(dictionary.resolved(), "token_id", "left")
+def _overlaid(at: DataFrame, definitions: DataFrame) -> DataFrame:
+    t = at.join(definitions, "token_id", "left")
     miss = F.col("defined").isNull()
     put = lambda c, v: F.when(miss, F.lit(v)).otherwise(F.col(c)).alias(c)
     return t.select(
@@ -63,6 +101,20 @@ def page_tokens(packed: DataFrame, dictionary: Dictionary) -> DataFrame:
     )
 
 
+def page_tokens(packed: DataFrame, dictionary: Dictionary) -> DataFrame:
+    """Tokens of pages in order; one without a definition keeps its place as a placeholder."""
+    definitions = dictionary.resolved()
+    return _overlaid(unpacked(packed), F.broadcast(definitions) if dictionary.definitions.count() <= BROADCAST_ROWS else definitions)
+
+
+def tokens_of_page(packed: DataFrame, dictionary: Dictionary, key: tuple[int, int, int]) -> DataFrame:
+    """Tokens of one page in order: its row is found first, and only its definitions are resolved."""
+    for c, v in zip(KEY, key):
+        packed = packed.where(F.col(c) == v)
+    at = unpacked(packed.limit(1))
+    return _overlaid(at, F.broadcast(dictionary.resolved(at))).orderBy("idx")
+
+
 def token_at(tokens: DataFrame, key: tuple[int, int, int], idx: int) -> DataFrame:
     cond = [F.col(c) == v for c, v in zip((*KEY, "idx"), (*key, idx))]
     for c in cond:
@@ -86,6 +138,22 @@ def numbered(rows: DataFrame, by: list[str], scratch: Scratch) -> DataFrame:
     return parts.join(F.broadcast(shift), "pid").select(*rows.columns, (F.col("shift") + rank).alias("id"))
 
 
+def packed_ids(tokens: DataFrame) -> DataFrame:
+    """Page key and ``token_ids`` from (key, pos, token_id)."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            lists = b.column(3)
+            ids = lists.flatten().field(1).to_numpy().astype("<u4")
+            at = lists.offsets.to_numpy() - (lists.offsets[0].as_py() if len(lists) else 0)
+            blobs = pa.array([ids[s:e].tobytes() for s, e in zip(at, at[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), blobs], [*KEY, "token_ids"])
+
+    rows = tokens.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("pos", "token_id"))).alias("ids"))
+    kinds = ", ".join(f"{c} {tokens.schema[c].dataType.simpleString()}" for c in KEY)
+    return rows.mapInArrow(run, f"{kinds}, token_ids binary")
+
+
 def dictionary_of(tokens: DataFrame) -> tuple[Dictionary, DataFrame]:
     """A dictionary and packed pages from a token table (key, pos, surface, lemma, root); ids follow the sort order."""
     scratch = Scratch(tokens.sparkSession)
@@ -99,6 +167,6 @@ def dictionary_of(tokens: DataFrame) -> tuple[Dictionary, DataFrame]:
     d = number(tokens.select("surface", "lemma", "root").distinct(), "surface", "lemma", "root")
     d = d.join(lemmas.select("lemma", F.col("id").alias("lemma_id")), "lemma").join(roots.select("root", F.col("id").alias("root_id")), "root", "left")
     d = d.select("id", "surface", "lemma", "root", "lemma_id", "root_id", F.lit(1).cast("bigint").alias("pos_id"), (1 + F.col("id") % 2).alias("feature_set_id"), (1 + F.col("id") % 3).alias("clitic_set_id"))
-    named = tokens.join(d.select(F.col("id").alias("token_id"), "surface", "lemma", F.col("root").alias("r")), ["surface", "lemma"]).where(F.col("root").eqNullSafe(F.col("r")))
-    packed = named.groupBy(*KEY).agg(encode_ids(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token_id"))), lambda x: x["token_id"])).alias("token_ids"))
-    return Dictionary(d.drop("lemma", "root"), roots, lemmas, pos, features, clitics), packed
+    d = scratch.write(d, "definitions")
+    named = tokens.join(small(d.select(F.col("id").alias("token_id"), "surface", "lemma", F.col("root").alias("r"))), ["surface", "lemma"]).where(F.col("root").eqNullSafe(F.col("r")))
+    return Dictionary(d.drop("lemma", "root"), roots, lemmas, pos, features, clitics), packed_ids(named)

@@ -8,12 +8,15 @@ expression with the engine. Arrays are compared as joined strings.
 
 from __future__ import annotations
 
+import dataclasses
 import datetime
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.engine import Corpus
 from quarry.functions import arabic, names, scalars
 from quarry.operators import highlight, manifest, metadata, nodes, store
 from quarry.operators import tokens as tok
@@ -76,7 +79,7 @@ def history(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def saved(spark: SparkSession, sf: str) -> DataFrame:
-    h = history(spark, sf).where(F.col("id") % 10 == 0)
+    h = history(spark, sf).where(F.col("query_data").contains("1") & (F.col("search_type") != "view"))
     return h.groupBy("query_data").agg(F.min("id").alias("id")).select("id", "query_data")
 
 
@@ -101,7 +104,7 @@ books AS (SELECT *, (death_ah + 99) // 100 AS century_ah FROM b),
 authors AS (SELECT s_suppkey AS id, s_name AS author FROM supplier), genres AS (SELECT CAST(r_regionkey AS BIGINT) AS id, r_name AS genre FROM region)
 """
 H = """WITH h AS (SELECT event_id AS id, event_type AS search_type, props AS query_data, event_type || ':' || props AS display_label, user_id % 5 AS book_filter_count, ts AS created_at FROM events),
-s AS (SELECT min(id) AS id, query_data FROM h WHERE id % 10 = 0 GROUP BY query_data)
+s AS (SELECT min(id) AS id, query_data FROM h WHERE query_data LIKE '%1%' AND search_type <> 'view' GROUP BY query_data)
 """
 BY = "ORDER BY coalesce(death_ah, 0), text_id, part_index, page_id"
 
@@ -213,6 +216,8 @@ add("near_5", searching(nodes.near(_s(OF), _s(TO), 5)), top(near_sql(_eq(OF), _e
 add("near_0_self", searching(nodes.near(_s(OF), _s(OF), 0)), top(on(OF)))
 add("near_cross_mode", searching(nodes.near(_s(OF), (_L4, "lemma"), 3)), top(near_sql(_eq(OF), _eq(_L4, "lemma"), 3)))
 add("near_multi_word", searching(nodes.near(_s(f"{OF} {THE}"), _s(TO), 2)), top(f"{on(f'{OF} {THE}')} AND {near_sql(f'surface IN ({OF!r}, {THE!r})', _eq(TO), 2)}"))
+add("near_far", searching(nodes.near(_s(OF), _s(TO), 10_000)), top(near_sql(_eq(OF), _eq(TO), 10_000)))
+add("near_far_count", lambda s, d: Search(pages(s, d)).total(nodes.near(_s(OF), (_L4, "lemma"), 300)), count(near_sql(_eq(OF), _eq(_L4, "lemma"), 300)))
 add("near_count", lambda s, d: Search(pages(s, d)).total(nodes.near(_s(OF), _s(TO), 5)), count(near_sql(_eq(OF), _eq(TO), 5)))
 _pairs = f"SELECT x.page_id, x.pos, y.pos AS pos2 FROM t x JOIN t y ON x.page_id = y.page_id AND abs(x.pos - y.pos) <= 5 WHERE x.{_eq(OF)} AND y.{_eq(TO)}"
 add("near_positions", lambda s, d: lit_positions(Search(pages(s, d)).proximity(_s(OF), _s(TO), 5)), spots(near_sql(_eq(OF), _eq(TO), 5), f"SELECT page_id, pos FROM ({_pairs}) UNION SELECT page_id, pos2 FROM ({_pairs})", cap=50))
@@ -308,6 +313,10 @@ def page_nav(spark: SparkSession, sf: str) -> DataFrame:
 
 # Paging and sets.
 
+add("paging_server_limit", lambda s, d: known(Search(pages(s, d), max_limit=100).keys(_of, limit=500)), top(on(OF), 100))
+add("paging_load_more", lambda s, d: Search(pages(s, d)).load_more(_of, shown=250).select(*KEY), f"SELECT text_id, part_index, page_id FROM ({top(on(OF), 250, 250)})")
+add("export_rerun", lambda s, d: Search(pages(s, d)).for_export(_of).select(*KEY), f"SELECT text_id, part_index, page_id FROM ({top(on(OF), 2000)})")
+
 add("paging_offset", searching(_of, limit=20, offset=10), top(on(OF), 20, 10))
 
 
@@ -370,11 +379,25 @@ add("term_frequency", lambda s, d: index(s, d).frequencies(), f"{P} SELECT surfa
 # Tokens.
 
 
+_CORPUS: dict[tuple[str, str], Corpus] = {}
+
+
+def whole(spark: SparkSession, sf: str) -> Corpus:
+    """The corpus with its dictionary, laid down once for a session and input and opened from its folder."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _CORPUS:
+        folder = f"{Scratch(spark).root}/corpus"
+        d, packed = tok.dictionary_of(corpus.tokens(pages(spark, sf)))
+        user = {"page_tokens": packed, "token_definitions": d.definitions, "roots": d.roots, "lemmas": d.lemmas, "pos_types": d.pos_types, "feature_sets": d.feature_sets, "clitic_sets": d.clitic_sets}
+        corpus.write_tables(user | {"books": books(spark, sf), "authors": authors(spark, sf), "genres": genres(spark, sf)}, folder)
+        _CORPUS[key] = Corpus(pages(spark, sf), corpus.read_tables(spark, folder))
+    return _CORPUS[key]
+
+
 def _overlay(spark: SparkSession, sf: str, drop_defined: bool = False) -> DataFrame:
-    d, packed = tok.dictionary_of(corpus.tokens(pages(spark, sf)))
-    if drop_defined:
-        d.definitions = d.definitions.where(F.col("id") % 5 != 0)
-    return tok.page_tokens(packed, d)
+    c = whole(spark, sf)
+    d = dataclasses.replace(c.dictionary, definitions=c.dictionary.definitions.where(F.col("id") % 5 != 0)) if drop_defined else c.dictionary
+    return tok.page_tokens(c.tables["page_tokens"], d)
 
 
 _dict = f"""{P}, d AS (SELECT surface, lemma, root, dense_rank() OVER (ORDER BY surface, lemma, root NULLS FIRST) AS id FROM (SELECT DISTINCT surface, lemma, root FROM t)),
@@ -396,18 +419,22 @@ def token_missing_placeholder(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{P} SELECT text_id, part_index, page_id, CAST(pos AS INTEGER) AS idx FROM t WHERE root = '{arabic.root_form(_ROOT)}'")
 def token_find_positions(spark: SparkSession, sf: str) -> DataFrame:
-    t = corpus.tokens(pages(spark, sf)).withColumnRenamed("pos", "idx")
-    return tok.find_positions(t, "root", arabic.root_form(_ROOT))
+    return tok.find_positions(whole(spark, sf).all_tokens(), "root", arabic.root_form(_ROOT))
 
 
 @query(f"{P} SELECT surface, lemma, root FROM t WHERE {_AT} AND pos = 3")
 def token_at(spark: SparkSession, sf: str) -> DataFrame:
-    return tok.token_at(corpus.tokens(pages(spark, sf)).withColumnRenamed("pos", "idx"), _KEY, 3).select("surface", "lemma", "root")
+    return whole(spark, sf).token_at(_KEY, 3).select("surface", "lemma", "root")
+
+
+@query(f"""{_dict} SELECT text_id, part_index, page_id, CAST(pos AS INTEGER) AS idx, surface, lemma, root, CASE WHEN id % 2 = 0 THEN 's,3' ELSE '' END AS features FROM o WHERE {_AT}""")
+def page_tokens_by_key(spark: SparkSession, sf: str) -> DataFrame:
+    return whole(spark, sf).page_tokens(_KEY).select(*KEY, "idx", "surface", "lemma", "root", F.array_join("features", ",").alias("features"))
 
 
-@query("SELECT l_orderkey, string_agg(n::VARCHAR, ',' ORDER BY n) AS ids FROM (SELECT l_orderkey, l_partkey * 70000 + l_linenumber AS n FROM lineitem WHERE l_partkey * 70000 < 4294960000) GROUP BY l_orderkey")
+@query("SELECT l_orderkey, string_agg(n::VARCHAR, ',' ORDER BY n) AS ids FROM (SELECT l_orderkey, (l_partkey * 70000 + l_linenumber) % 4294967296 AS n FROM lineitem) GROUP BY l_orderkey")
 def blob_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "lineitem").select("l_orderkey", (F.col("l_partkey") * 70000 + F.col("l_linenumber")).alias("n")).where("l_partkey * 70000 < 4294960000")
+    rows = table(spark, sf, "lineitem").select("l_orderkey", ((F.col("l_partkey") * 70000 + F.col("l_linenumber")) % (1 << 32)).alias("n"))
     blobs = rows.groupBy("l_orderkey").agg(tok.encode_ids(F.array_sort(F.collect_list("n"))).alias("blob"))
     return blobs.select("l_orderkey", F.array_join(tok.decode_ids(F.col("blob")).cast("array<string>"), ",").alias("ids"))
 
@@ -439,13 +466,6 @@ def export_context(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", F.substring(scalars.strip_html_for_export(F.col("html")), 1, 500).alias("context"))
 
 
-@query(f"""{P}, f AS (SELECT page_id, min(pos) AS first FROM t WHERE surface = '{TO}' GROUP BY page_id), s AS (SELECT *, greatest(0, first - 5) AS start FROM p JOIN f USING (page_id))
-SELECT page_id, CASE WHEN start > 0 THEN '... ' ELSE '' END || array_to_string(surface[start + 1:start + 50], ' ') || CASE WHEN len(surface) > start + 50 THEN ' ...' ELSE '' END AS snippet FROM s""")
-def kwic_snippet(spark: SparkSession, sf: str) -> DataFrame:
-    node = nodes.term(TO, "surface")
-    return Search(pages(spark, sf)).matching(node).select("page_id", highlight.kwic(F.col("surface"), node.positions()).alias("snippet"))
-
-
 _skip_sql = arabic._SKIP.replace("'", "''")
 
 
@@ -469,6 +489,170 @@ def content_hashes(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", h.alias("hash"), scalars.sha256_matches(F.col("text"), F.concat(F.lit("sha256:"), h)).alias("same"))
 
 
+_chunk, _run_sql = arabic.CHUNK.replace("'", "''"), arabic._ARABIC
+
+
+@query(f"""{P}, f AS (SELECT page_id, min(pos) AS first FROM t WHERE surface = '{TO}' GROUP BY page_id),
+s AS (SELECT page_id, first, regexp_extract_all(translate(body, '{corpus.LATIN}', '{corpus.SCRIPT}'), '{_chunk}') AS c, translate(body, '{corpus.LATIN}', '{corpus.SCRIPT}') AS text FROM p JOIN f USING (page_id)),
+k AS (SELECT page_id, text, greatest(0, first - 5) AS start, c[greatest(0, first - 5) + 1:greatest(0, first - 5) + 50] AS c FROM s)
+SELECT page_id, CASE WHEN len(c) = 0 THEN text ELSE CASE WHEN start > 0 THEN '… ' ELSE '' END || regexp_replace(regexp_replace(array_to_string(c, ''), '^[^{arabic.LETTERS}]+', ''), '[^{arabic.LETTERS}]+$', '') END AS snippet FROM k""")
+def kwic_snippet(spark: SparkSession, sf: str) -> DataFrame:
+    node = nodes.term(TO, "surface")
+    text = F.translate("body", corpus.LATIN, corpus.SCRIPT)
+    return Search(pages(spark, sf)).matching(node).select("page_id", highlight.kwic(text, node.positions()).alias("snippet"))
+
+
+def _lit(spark: SparkSession, sf: str, token: int) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return docs.select("doc_id", F.translate("text", corpus.LATIN, corpus.SCRIPT).alias("body"), F.array(F.lit(token)).alias("matched_token_indices"))
+
+
+_plain = f"translate(text, '{corpus.LATIN}', '{corpus.SCRIPT}')"
+
+
+@query(f"""SELECT doc_id, length(regexp_extract({_plain}, '^[^{arabic.LETTERS}]*')) AS start_char, length(regexp_extract({_plain}, '^[^{arabic.LETTERS}]*{_run_sql}+')) AS end_char
+FROM documents WHERE regexp_matches({_plain}, '{_run_sql}')""")
+def highlight_first_token(spark: SparkSession, sf: str) -> DataFrame:
+    r = highlight.highlight_ranges(_lit(spark, sf, 0)).where(F.size("ranges") > 0)
+    first = F.get("ranges", F.lit(0))
+    return r.select("doc_id", first["start"].cast("bigint").alias("start_char"), first["end"].cast("bigint").alias("end_char"))
+
+
+@query(f"SELECT doc_id, len(regexp_extract_all({_plain}, '{_run_sql}+')) + length(regexp_replace({_plain}, '{_run_sql}+', '', 'g')) AS n_spans, length(regexp_replace({_plain}, '[^{arabic.LETTERS}]+', '', 'g')) AS n_letters FROM documents")
+def reader_rendering(spark: SparkSession, sf: str) -> DataFrame:
+    r = highlight.reader_spans(_lit(spark, sf, 1))
+    letters = F.aggregate("spans", F.lit(0), lambda n, x: n + F.when(x["token"].isNotNull(), F.length(x["text"])).otherwise(0))
+    return r.select("doc_id", F.size("spans").cast("bigint").alias("n_spans"), letters.cast("bigint").alias("n_letters"))
+
+
+@query("SELECT event_id, event_type AS key, props AS value, CASE WHEN length(props) > 9 THEN substr(props, 1, 6) || '...' ELSE props END AS label FROM events")
+def key_values(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events")
+    kv = scalars.key_value(F.concat("event_type", F.lit(": "), "props"))
+    return e.select("event_id", kv["key"].alias("key"), kv["value"].alias("value"), scalars.label(F.col("props"), 9).alias("label"))
+
+
+@query("""WITH t AS (SELECT event_id, ts, epoch(TIMESTAMP '2024-02-01')::BIGINT - epoch(date_trunc('second', ts))::BIGINT AS s FROM events)
+SELECT event_id, CASE WHEN s < 60 THEN 'Just now' WHEN s < 3600 THEN (s // 60) || 'm ago' WHEN s < 86400 THEN (s // 3600) || 'h ago' WHEN s < 604800 THEN (s // 86400) || 'd ago' ELSE strftime(ts, '%Y-%m-%d') END AS ago,
+  strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS stamp FROM t""")
+def time_labels(spark: SparkSession, sf: str) -> DataFrame:
+    now = F.to_timestamp(F.lit("2024-02-01 00:00:00"))
+    return table(spark, sf, "events").select("event_id", scalars.relative_time(F.col("ts"), now).alias("ago"), scalars.rfc3339(F.col("ts")).alias("stamp"))
+
+
+# Goldens written out by hand.
+
+
+def values(columns: str, rows: list[tuple]) -> str:
+    """The rows as SQL."""
+    cell = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) v({columns})"
+
+
+def golden(name: str, columns: str, want: list[tuple], got: Callable[[], list[tuple]], schema: str) -> None:
+    add(name, lambda s, d: s.createDataFrame(got(), schema), values(columns, want))
+
+
+_NAMED = names.NameForm(kunyas=["أبو بكر"], nasab="محمد بن علي", nisbas=["البصري"], shuhra="ابن سينا", allow_rare_kunya_nisba=True, allow_kunya_nasab=True, allow_one_nasab=True, allow_one_nasab_nisba=True, allow_two_nasab=True)
+_NAMED_WANT = [
+    "ابو بكر محمد بن علي", "ابو بكر محمد بن علي البصري", "ابو بكر محمد البصري", "ابو بكر بن علي", "ابو بكر بن علي البصري",
+    "ابا بكر محمد بن علي", "ابا بكر محمد بن علي البصري", "ابا بكر محمد البصري", "ابا بكر بن علي", "ابا بكر بن علي البصري",
+    "ابي بكر محمد بن علي", "ابي بكر محمد بن علي البصري", "ابي بكر محمد البصري", "ابي بكر بن علي", "ابي بكر بن علي البصري",
+    "محمد بن علي البصري", "ابو بكر البصري", "ابا بكر البصري", "ابي بكر البصري", "ابو بكر محمد", "ابا بكر محمد", "ابي بكر محمد",
+    "محمد", "محمد البصري", "محمد بن علي", "المعروف بابن سينا", "المشهور بابن سينا",
+]
+golden("names_patterns", "place, pattern", list(enumerate(_NAMED_WANT)), lambda: list(enumerate(names.patterns(_NAMED))), "place int, pattern string")
+_THREE = names.NameForm(nasab="فَاطِمَة بنت أسد بنت هاشم بنت رابع", nisbas=["المكية", " "])
+golden("names_three_parts", "place, pattern", list(enumerate(["فاطمة بنت اسد بنت هاشم", "فاطمة بنت اسد بنت هاشم المكية", "فاطمة بنت اسد المكية"])), lambda: list(enumerate(names.patterns(_THREE))), "place int, pattern string")
+golden("names_search_patterns", "place, pattern", list(enumerate(["المعروف بابي نعيم", "والمعروف بابي نعيم", "فالمعروف بابي نعيم", "بالمعروف بابي نعيم", "لالمعروف بابي نعيم", "كالمعروف بابي نعيم", "المشهور بابي نعيم", "والمشهور بابي نعيم", "فالمشهور بابي نعيم", "بالمشهور بابي نعيم", "لالمشهور بابي نعيم", "كالمشهور بابي نعيم"])),
+       lambda: list(enumerate(names.search_patterns(names.NameForm(shuhra="أبو نعيم")))), "place int, pattern string")
+golden("names_display_patterns", "place, pattern", list(enumerate(["اب* بكر محمد"])), lambda: list(enumerate(names.display_patterns(names.NameForm(kunyas=["أبو بكر"], nasab="محمد", allow_kunya_nasab=True)))), "place int, pattern string")
+golden("names_parts", "name, parts, link", [("محمد بن أحمد بن علي", "محمد|احمد|علي", "بن"), ("فاطمة بنت أسد", "فاطمة|اسد", "بنت"), ("إسحق", "اسحق", "بن"), ("", "", "بن")], lambda: [(t, "|".join(names.nasab_parts(t)[0]), names.nasab_parts(t)[1]) for t in ("محمد بن أحمد بن علي", "فاطمة بنت أسد", "إسحق", "")], "name string, parts string, link string")
+golden("names_kunyas", "kunya, variants", [("أبو منصور", "ابو منصور|ابا منصور|ابي منصور"), ("أبا عبد الله", "ابو عبد الله|ابا عبد الله|ابي عبد الله"), ("أم سلمة", "ام سلمة")], lambda: [(k, "|".join(names.kunya_variants(k))) for k in ("أبو منصور", "أبا عبد الله", "أم سلمة")], "kunya string, variants string")
+_VALID = {"nothing": names.NameForm(), "shuhra": names.NameForm(shuhra="الطبري"), "one name": names.NameForm(nasab="محمد"), "one name allowed": names.NameForm(nasab="محمد", allow_one_nasab=True), "name and nisba": names.NameForm(nasab="محمد", nisbas=["البصري"]), "two names": names.NameForm(nasab="محمد بن علي"), "two names allowed": names.NameForm(nasab="محمد بن علي", allow_two_nasab=True), "kunya and nisba": names.NameForm(kunyas=["أبو بكر"], nisbas=["البصري"]), "kunya": names.NameForm(kunyas=["أبو بكر"])}
+golden("names_valid", "form, ok", [("nothing", False), ("shuhra", True), ("one name", False), ("one name allowed", True), ("name and nisba", True), ("two names", False), ("two names allowed", True), ("kunya and nisba", True), ("kunya", False)], lambda: [(k, names.is_valid(f)) for k, f in _VALID.items()], "form string, ok boolean")
+
+
+def _refused(q: str, mode: str) -> str:
+    try:
+        nodes.check_wildcard(q, mode)
+    except ValueError as e:
+        return str(e)
+    return ""
+
+
+_WILD = [("أب*", "surface", ""), ("أح*مد", "surface", ""), ("أ*مد", "surface", "Internal wildcard requires at least 2 characters before it"), ("*منصور", "surface", "Wildcard cannot be at start of word"), ("أب*", "lemma", "Wildcards only supported in Surface mode"), ("أب* ك*", "surface", "Only one wildcard (*) allowed per search term"), ("ابن", "lemma", ""), ("", "root", "")]
+golden("wildcard_rules", "query, mode, error", _WILD, lambda: [(q, m, _refused(q, m)) for q, m, _ in _WILD], "query string, mode string, error string")
+golden("query_cleaning", "query, clean", [(" a,  b؟* ", "a b"), ("«كتاب»، (قول)!", "كتاب قول"), ("ك.ت.ب", "كتب"), ("…", "")], lambda: [(q, arabic.clean_query(q)) for q in (" a,  b؟* ", "«كتاب»، (قول)!", "ك.ت.ب", "…")], "query string, clean string")
+golden("query_labels", "place, label", list(enumerate(["(a AND b) AND (c OR d)", "a AND b", "c OR d", "", "a ~5 b", "x AND z", "a AND b", "a AND c", "c OR d", "Search", "AND: a, b | OR: c", "أبو بكر محمد بن علي البصري"])),
+       lambda: list(enumerate([nodes.combined_label(["a", "b"], ["c", "d"]), nodes.combined_label(["a", "b"]), nodes.combined_label([], ["c", "d"]), nodes.combined_label([]), nodes.near_label("a", "b", 5), nodes.names_label([["x", "y"], [], ["z"]]), nodes.tab_label(["a", "b", "c"], ["d"]), nodes.tab_label(["a"], ["c", "d"]), nodes.tab_label([], ["c", "d", "e"]), nodes.tab_label([" "]), nodes.full_label(["a", "b"], ["c"]), nodes.name_tab_label(_NAMED)])), "place int, label string")
+_TEXT = "قال، الإ1مام abc رحمه الله"
+golden("snippet_ranges", "what, first, last", [("token 0", 0, 3), ("token 1", 5, 8), ("at 6", 1, 1), ("about 1", 0, 21), ("about 3", 17, 26), ("none", 0, 3)],
+       lambda: [("token 0", *highlight.token_range(_TEXT, 0)), ("token 1", *highlight.token_range(_TEXT, 1)), ("at 6", highlight.token_at_char(_TEXT, 6), highlight.token_at_char(_TEXT, 6)), ("about 1", *highlight.snippet_chars(_TEXT, 1, 1, 1)[:2]), ("about 3", *highlight.snippet_chars(_TEXT, 3, 1, 5)[:2]), ("none", *highlight.snippet_chars("abc", 0)[:2])], "what string, first int, last int")
+_REMOTE, _LOCAL = {"min_app_version": "0.5.0", "schema_version": 1, "corpus_version": "2"}, {"schema_version": 1, "corpus_version": "2"}
+_STATUS = {
+    "offline, whole": manifest.corpus_status(None, _LOCAL, "1.0.0", complete=True), "offline, in part": manifest.corpus_status(None, _LOCAL, "1.0.0"), "offline, by hand": manifest.corpus_status(None, None, "1.0.0", essential=True),
+    "offline, nothing": manifest.corpus_status(None, None, "1.0.0"), "old application": manifest.corpus_status(_REMOTE, _LOCAL, "0.4.9"), "odd application": manifest.corpus_status(_REMOTE, _LOCAL, "0.4"),
+    "nothing": manifest.corpus_status(_REMOTE, None, "1.0.0", (30, ["a"])), "by hand": manifest.corpus_status(_REMOTE, None, "1.0.0", (30, ["a"]), essential=True), "files lack": manifest.corpus_status(_REMOTE, _LOCAL, "1.0.0", (30, ["a"])),
+    "new version": manifest.corpus_status(_REMOTE, _LOCAL | {"corpus_version": "1"}, "1.0.0"), "new schema": manifest.corpus_status(_REMOTE, _LOCAL | {"schema_version": 2}, "1.0.0"), "current": manifest.corpus_status(_REMOTE, _LOCAL, "1.0.0"),
+}
+golden("corpus_status", "kind, ready, here, available, required, n_missing, size", [
+    ("offline, whole", True, "2", False, False, 0, 0), ("offline, in part", False, "2", False, False, 1, 0), ("offline, by hand", True, "", False, False, 0, 0), ("offline, nothing", False, "", False, False, 1, 0),
+    ("old application", False, "2", False, True, 0, 0), ("odd application", True, "2", False, False, 0, 0), ("nothing", False, "", False, False, 1, 30), ("by hand", True, "", False, False, 0, 0), ("files lack", False, "2", False, False, 1, 30),
+    ("new version", True, "1", True, False, 0, 0), ("new schema", False, "2", False, True, 0, 0), ("current", True, "2", False, False, 0, 0),
+], lambda: [(k, x.ready, x.local_version or "", x.update_available, x.update_required, len(x.missing_files), x.total_download_size) for k, x in _STATUS.items()], "kind string, ready boolean, here string, available boolean, required boolean, n_missing int, size int")
+
+
+@query(values("current, required, available, notes, url", [("0.9.0", True, True, "n1", "u1"), ("1.1.0", True, True, "n1", "u1"), ("1.2.0", False, True, "n1", "u1"), ("1.3.0", False, False, "n1", "u1"), ("1.2", False, False, "n1", "u1")]))
+def update_status(spark: SparkSession, sf: str) -> DataFrame:
+    rel = spark.createDataFrame([("1.3.0", "1.0.0", [("1.1.0", "", False, "n1", ("w1", "m1", "u1")), ("1.2.0", "", True, "n2", ("w2", "m2", "u2"))])], manifest.RELEASES)
+    each = [manifest.update_status(rel, v) for v in ("0.9.0", "1.1.0", "1.2.0", "1.3.0", "1.2")]
+    return reduce(DataFrame.union, each).select(F.col("current_version").alias("current"), F.col("update_required").alias("required"), F.col("update_available").alias("available"), F.col("release_notes").alias("notes"), F.col("download_url").alias("url"))
+
+
+@query(values("id, name, description, books, updated_at", [(2, "second", "d", "7", "t3"), (3, "third", "", "", "t4")]))
+def collections_changed(spark: SparkSession, sf: str) -> DataFrame:
+    t = spark.createDataFrame([], store.COLLECTIONS)
+    for i, name in enumerate(("first", "b", "third")):
+        t = store.create_collection(t, name, [1, 2] if i < 2 else [], f"t{1 + i + (i == 2)}", "d" if i == 1 else "")
+    t = store.delete_collection(store.update_collection(t, 2, "t3", name="second", book_ids=[7]), 1)
+    return store.list_collections(t).select("id", "name", "description", F.array_join(F.col("book_ids").cast("array<string>"), ",").alias("books"), "updated_at")
+
+
+@query(values("kind, key, value", [("setting", "a", "2"), ("setting", "b", "1"), ("dismissed", "n1", "t1"), ("dismissed", "n2", "t2"), ("next", "id", "10001"), ("saved", "is", "true"), ("saved", "was", "false")]).replace("'10001'", "(SELECT (max(event_id) + 1)::VARCHAR FROM events)"))
+def user_tables(spark: SparkSession, sf: str) -> DataFrame:
+    text = "kind string, key string, value string"
+    settings = spark.createDataFrame([], store.SETTINGS)
+    for k, v in (("a", "1"), ("b", "1"), ("a", "2")):
+        settings = store.put_setting(settings, k, v)
+    gone = store.dismiss(store.dismiss(spark.createDataFrame([], store.DISMISSED), ["n1"], "t1"), ["n1", "n2"], "t2")
+    kept = saved(spark, sf)
+    one = kept.orderBy("id").first()["query_data"]
+    facts = [("next", "id", str(store.next_id(history(spark, sf)))), ("saved", "is", str(store.is_saved(kept, one)).lower()), ("saved", "was", str(store.is_saved(store.unsave(kept, query_data=one), one)).lower())]
+    named = lambda t, kind, *c: t.select(F.lit(kind).alias("kind"), *[F.col(x).alias(n) for x, n in zip(c, ("key", "value"))])
+    return named(settings, "setting", "key", "value").union(named(gone, "dismissed", "id", "dismissed_at")).union(spark.createDataFrame(facts, text))
+
+
+@query(f"{H} SELECT id, query_data FROM s WHERE query_data <> '{{\"k\": 1}}'".replace('\\"', '"'))
+def saved_without_one(spark: SparkSession, sf: str) -> DataFrame:
+    """Kept in the store, taken up again, and one taken out."""
+    s = store.Store(spark, f"{Scratch(spark).root}/user")
+    rows = saved(spark, sf).select("id", F.lit(None).cast("bigint").alias("history_id"), F.lit("term").alias("search_type"), "query_data", F.lit("").alias("display_label"), F.lit(0).cast("bigint").alias("book_filter_count"), F.lit(None).cast("string").alias("book_ids"), F.lit("t").alias("created_at"))
+    s.put("saved", rows)
+    s.put("saved", store.unsave(s.get("saved"), query_data='{"k": 1}'))
+    return s.get("saved").select("id", "query_data")
+
+
+@query("SELECT p_name || p_partkey AS name, md5(p_name) AS hash, CAST(p_size AS BIGINT) AS size FROM part")
+def manifest_read(spark: SparkSession, sf: str) -> DataFrame:
+    """Every part as a file of a JSON manifest that is written and read."""
+    files = _files(spark, sf)[0]
+    whole = files.agg(F.collect_list(F.struct("name", "hash", "size")).alias("files")).select(F.to_json(F.struct(F.lit("1").alias("corpus_version"), F.lit(1).alias("schema_version"), F.lit("0.1.0").alias("min_app_version"), F.lit("").alias("built_at"), "files")).alias("value"))
+    path = f"{Scratch(spark).root}/manifest"
+    whole.coalesce(1).write.text(path)
+    return manifest.remote_files(manifest.read_manifest(spark, path, manifest.REMOTE))
+
+
 # Metadata.
 
 _BOOK = "id, corpus, title, coalesce(author_id, -1) AS author_id, coalesce(death_ah, -1) AS death_ah, coalesce(century_ah, -1) AS century_ah, genre_id, page_count, token_count, original_id, paginated, tags"
@@ -487,7 +671,7 @@ add("author_summary", lambda s, d: metadata.author_summary(authors(s, d), books(
 add("authors_search", lambda s, d: metadata.search_authors(authors(s, d), books(s, d), "Supplier#00000000"), f"{_bw} {_asum} WHERE lower(a.author) LIKE '%supplier#00000000%' GROUP BY a.id, a.author ORDER BY min(b.death_ah) NULLS LAST, a.id LIMIT 50")
 add("authors_search_short", lambda s, d: metadata.search_authors(authors(s, d), books(s, d), "Su"), f"{_bw} {_asum} WHERE false GROUP BY a.id, a.author")
 add("author_rollup", lambda s, d: metadata.author_rollup(books(s, d), authors(s, d), genres(s, d)).fillna(-1, ["death_ah"]), f"""{_bw} SELECT coalesce(b.author_id, -1) AS author_id, count(*) AS n_books, CAST(sum(coalesce(page_count, 0)) AS BIGINT) AS n_pages,
-  array_to_string(list_sort(list_distinct(list(g.genre))), '; ') AS genres, coalesce(arg_min(death_ah, b.id) FILTER (WHERE death_ah IS NOT NULL), -1) AS death_ah, any_value(a.author) AS author
+  array_to_string(list_sort(list_distinct(list(g.genre))), '; ') AS genres, coalesce(min(death_ah), -1) AS death_ah, coalesce(any_value(a.author), 'Unknown') AS author
   FROM books b LEFT JOIN genres g ON g.id = b.genre_id LEFT JOIN authors a ON a.id = b.author_id GROUP BY coalesce(b.author_id, -1)""")
 _named = "FROM books b LEFT JOIN authors a ON a.id = b.author_id"
 _ids = lambda df: df.select("id", "title", "author")
@@ -495,6 +679,7 @@ _FB = metadata.BookFilter(150, 600, [0, 1, 2], "000000003")
 add("browser_filter", lambda s, d: _ids(metadata.browse(books(s, d), authors(s, d), _FB)), f"{_bw} SELECT b.id, title, author {_named} WHERE death_ah BETWEEN 150 AND 600 AND genre_id IN (0, 1, 2) AND (lower(title) LIKE '%000000003%' OR lower(coalesce(author, '')) LIKE '%000000003%')")
 add("books_plain_search", lambda s, d: _ids(metadata.plain_search(books(s, d), authors(s, d), "SUPPLIER#000000004")), f"{_bw} SELECT b.id, title, author {_named} WHERE lower(title) LIKE '%supplier#000000004%' OR lower(coalesce(author, '')) LIKE '%supplier#000000004%'")
 add("collection_filter", lambda s, d: metadata.in_collections(books(s, d), metadata.collections_table(s, [("a", [1, 2, 3]), ("b", [3, 10, 99]), ("c", [5])]), ["a", "b"]).select("id", "title"), f"{_bw} SELECT id, title FROM books WHERE id IN (1, 2, 3, 10, 99)")
+add("text_selection", lambda s, d: _ids(metadata.text_selection(books(s, d), authors(s, d), metadata.BookFilter(150, 600, [0, 1, 2], "000000003"), metadata.collections_table(s, [("a", list(range(1, 900))), ("b", [3, 2000]), ("c", [5])]), ["a", "b"])), f"{_bw} SELECT b.id, title, author {_named} WHERE (b.id < 900 OR b.id = 2000) AND death_ah BETWEEN 150 AND 600 AND genre_id IN (0, 1, 2) AND (lower(title) LIKE '%000000003%' OR lower(coalesce(author, '')) LIKE '%000000003%')")
 add("selected_books", lambda s, d: _ids(metadata.selected(books(s, d), authors(s, d), [2, 4, 12, 14], "000000004")), f"{_bw} SELECT b.id, title, author {_named} WHERE b.id IN (2, 4, 12, 14) AND (lower(title) LIKE '%000000004%' OR lower(coalesce(author, '')) LIKE '%000000004%')")
 add("books_unknown_author", lambda s, d: metadata.books_of_author(books(s, d), None).select("id"), f"{_bw} SELECT id FROM books WHERE author_id IS NULL")
 
@@ -515,41 +700,41 @@ def _csv(*cells: str) -> str:
 add("export_books_csv", lambda s, d: export.csv_lines(export.books_sheet(books(s, d), authors(s, d), genres(s, d))), f"""{_bw} SELECT {_csv("b.id", "title", "author", "author_id", "death_ah", "century_ah", "genre", "genre_id", "page_count", "token_count", "corpus", "original_id", "CASE WHEN paginated THEN 'Yes' ELSE 'No' END")}
   {_named} LEFT JOIN genres g ON g.id = b.genre_id""")
 add("export_results_csv", lambda s, d: export.csv_lines(export.results_sheet(_enriched(s, d))), _enr.format(_csv("text_id", "coalesce(title, '')", "coalesce(author, '')", "hit.death_ah", "hit.century_ah", "coalesce(genre, '')", "part_index", "page_id", "'0.00'", r"substr(trim(regexp_replace(regexp_replace(body, '<[^>]*>', '', 'g'), '\s+', ' ', 'g')), 1, 500)")))
-add("export_authors_csv", lambda s, d: export.csv_lines(export.authors_sheet(metadata.author_rollup(books(s, d), authors(s, d), genres(s, d)))), f"{ORACLES['author_rollup'].replace('SELECT coalesce(b.author_id', ', r AS (SELECT coalesce(b.author_id', 1)}) SELECT {_csv('author', 'author_id', 'nullif(death_ah, -1)', 'n_books', 'n_pages', 'genres')} FROM r")
+add("export_authors_csv", lambda s, d: export.csv_lines(export.authors_sheet(metadata.author_rollup(books(s, d), authors(s, d), genres(s, d)))), f"{ORACLES['author_rollup'].replace('SELECT coalesce(b.author_id', ', r AS (SELECT coalesce(b.author_id', 1)}) SELECT {_csv('author', 'nullif(author_id, -1)', 'nullif(death_ah, -1)', 'n_books', 'n_pages', 'genres')} FROM r")
 
 # User tables.
 
 _HC = ["id", "search_type", "query_data", "display_label", "book_filter_count"]
 _hc = ", ".join(_HC)
 add("history_recent", lambda s, d: store.newest(history(s, d), 50).select(*_HC), f"{H} SELECT {_hc} FROM h ORDER BY created_at DESC, id DESC LIMIT 50")
-add("history_rotate", lambda s, d: store.add_history(history(s, d).where("id % 2 = 0"), history(s, d).where("id % 2 = 1")).select(*_HC), f"{H} SELECT {_hc} FROM h ORDER BY created_at DESC, id DESC LIMIT 100")
+add("history_rotate", lambda s, d: store.add_history(history(s, d).where("search_type = 'view'"), history(s, d).where("search_type <> 'view'")).select(*_HC), f"{H} SELECT {_hc} FROM h ORDER BY created_at DESC, id DESC LIMIT 100")
 add("history_is_saved", lambda s, d: store.history_with_saved(history(s, d), saved(s, d)).select("id", "query_data", "is_saved"), f"{H} SELECT n.id, n.query_data, s.id IS NOT NULL AS is_saved FROM (SELECT * FROM h ORDER BY created_at DESC, id DESC LIMIT 100) n LEFT JOIN s USING (query_data)")
-add("saved_insert_ignore", lambda s, d: store.save_search(saved(s, d), history(s, d).where("id % 10 = 1").select("id", "query_data")), f"{H} SELECT * FROM s UNION ALL SELECT min(id), query_data FROM h WHERE id % 10 = 1 AND query_data NOT IN (SELECT query_data FROM s) GROUP BY query_data")
+add("saved_insert_ignore", lambda s, d: store.save_search(saved(s, d), history(s, d).where("search_type = 'view'").select("id", "query_data")), f"{H} SELECT * FROM s UNION ALL SELECT min(id), query_data FROM h WHERE search_type = 'view' AND query_data NOT IN (SELECT query_data FROM s) GROUP BY query_data")
 
-# Manifests and versions: parts as remote files, those of even keys as local ones.
+# Manifests and versions: parts as remote files, those of all types but one as local ones.
 
-_MF = "WITH r AS (SELECT p_name || p_partkey AS name, md5(p_name) AS hash, CAST(p_size AS BIGINT) AS size FROM part), l AS (SELECT p_name || p_partkey AS name, CASE WHEN p_partkey % 6 = 0 THEN 'x' ELSE md5(p_name) END AS hash, p_partkey % 10 <> 0 AS complete FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT 'old' || p_partkey, 'y', true FROM part WHERE p_partkey < 20)"
+_MF = "WITH r AS (SELECT p_name || p_partkey AS name, md5(p_name) AS hash, CAST(p_size AS BIGINT) AS size FROM part), l AS (SELECT p_name || p_partkey AS name, CASE WHEN p_partkey % 6 = 0 THEN 'x' ELSE md5(p_name) END AS hash, p_partkey % 10 <> 0 AS complete FROM part WHERE p_type <> 'SMALL' UNION ALL SELECT 'old' || p_partkey, 'y', true FROM part WHERE p_type = 'SMALL')"
 
 
 def _files(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     p = table(spark, sf, "part")
     name, k = F.concat("p_name", F.col("p_partkey").cast("string")), F.col("p_partkey")
     remote = p.select(name.alias("name"), F.md5(F.col("p_name").cast("binary")).alias("hash"), F.col("p_size").cast("bigint").alias("size"))
-    local = p.where(k % 2 == 0).select(name.alias("name"), F.when(k % 6 == 0, "x").otherwise(F.md5(F.col("p_name").cast("binary"))).alias("hash"), (k % 10 != 0).alias("complete"))
-    return remote, local.union(p.where(k < 20).select(F.concat(F.lit("old"), k.cast("string")), F.lit("y"), F.lit(True)))
+    local = p.where("p_type <> 'SMALL'").select(name.alias("name"), F.when(k % 6 == 0, "x").otherwise(F.md5(F.col("p_name").cast("binary"))).alias("hash"), (k % 10 != 0).alias("complete"))
+    return remote, local.union(p.where("p_type = 'SMALL'").select(F.concat(F.lit("old"), k.cast("string")), F.lit("y"), F.lit(True)))
 
 
 add("manifest_missing", lambda s, d: manifest.missing_files(*_files(s, d)), f"{_MF} SELECT name, hash, size FROM r WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.name = r.name AND l.hash = r.hash AND l.complete)")
 add("manifest_orphans", lambda s, d: manifest.orphans(*_files(s, d)).select("name"), f"{_MF} SELECT name FROM l WHERE name NOT IN (SELECT name FROM r)")
-add("download_size", lambda s, d: manifest.download_size(manifest.missing_files(*_files(s, d))).select("bytes"), f"{_MF} SELECT CAST(sum(size) AS BIGINT) AS bytes FROM r WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.name = r.name AND l.hash = r.hash AND l.complete)")
+add("download_size", lambda s, d: manifest.download_size(manifest.missing_files(*_files(s, d))).select("bytes", F.array_join("names", ",").alias("names")), f"{_MF} SELECT CAST(sum(size) AS BIGINT) AS bytes, string_agg(name, ',' ORDER BY name) AS names FROM r WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.name = r.name AND l.hash = r.hash AND l.complete)")
 _v = lambda k: F.concat_ws(".", (k % 3).cast("string"), (k % 11).cast("string"), (k % 7).cast("string"))
 
 
-@query("SELECT p_partkey, (p_partkey % 3, p_partkey % 11, p_partkey % 7) >= (1, 4, 2) AS at_least, p_partkey % 3 AS major, p_partkey % 7 AS patch FROM part")
+@query("SELECT p_partkey, p_partkey % 9 = 0 OR p_partkey % 10 = 0 OR (p_partkey % 3, p_partkey % 11, p_partkey % 7) >= (1, 4, 2) AS at_least, p_partkey % 3 AS major, p_partkey % 7 AS patch FROM part")
 def semver_order(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("p_partkey")
-    v = F.concat(_v(k), F.when(k % 4 == 0, "-alpha").otherwise(""))
-    own = scalars.version(v)
+    v = F.concat(F.when(k % 9 == 0, F.lit("1.x.3")).when(k % 10 == 0, F.lit("0.2")).otherwise(_v(k)), F.when(k % 4 == 0, "-a.b").otherwise(""))
+    own = scalars.version(_v(k))
     return table(spark, sf, "part").select("p_partkey", scalars.meets_minimum(v, F.lit("1.4.2")).alias("at_least"), own["major"].cast("bigint").alias("major"), own["patch"].cast("bigint").alias("patch"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import arabic
+from quarry.workdir import exists
 
 STREAMS = ("surface", "lemma", "root")
 BOOK_COLUMNS = ["id", "corpus", "title", "author_id", "death_ah", "century_ah", "genre_id", "page_count", "token_count", "original_id", "paginated", "tags", "book_meta", "author_meta"]
@@ -28,6 +29,104 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return pages if "surface_j" in pages.columns else with_strings(pages)
 
 
+#: The tables of a corpus, with the columns that queries read.
+TABLES = {
+    "page_tokens": ["text_id", "part_index", "page_id", "token_ids"],
+    "token_definitions": ["id", "surface", "lemma_id", "root_id", "pos_id", "feature_set_id", "clitic_set_id"],
+    "roots": ["id", "root"], "lemmas": ["id", "lemma"], "pos_types": ["id", "pos"], "feature_sets": ["id", "features"], "clitic_sets": ["id", "clitics"],
+    "books": BOOK_COLUMNS, "authors": ["id", "author"], "genres": ["id", "genre"],
+}
+
+
+def _shaped(df: DataFrame, name: str) -> DataFrame:
+    """With the columns of ``TABLES``; databases name a page's text ``book_id``, and may have no parts."""
+    if name == "page_tokens" and "text_id" not in df.columns:
+        df = df.withColumnRenamed("book_id", "text_id")
+    if name == "page_tokens" and "part_index" not in df.columns:
+        df = df.withColumn("part_index", F.lit(0).cast("bigint"))
+    absent = [c for c in TABLES[name] if c not in df.columns]
+    if absent:
+        raise ValueError(f"table {name} lacks {', '.join(absent)}")
+    return df.select(*TABLES[name])
+
+
+def read_tables(spark: SparkSession, folder: str, names: list[str] | None = None) -> dict[str, DataFrame]:
+    """The tables of a corpus that was written as Parquet, each as ``folder/name`` or ``folder/name.parquet``."""
+    out = {}
+    for name in names or TABLES:
+        path = next((p for p in (f"{folder}/{name}", f"{folder}/{name}.parquet") if exists(spark, p)), None)
+        if path is None:
+            raise FileNotFoundError(f"{folder} has no table {name}")
+        out[name] = _shaped(spark.read.parquet(path), name)
+    return out
+
+
+def read_jdbc(spark: SparkSession, url: str, names: list[str] | None = None, parts: int = 32, **options: str) -> dict[str, DataFrame]:
+    """The same from a database, by a driver on Spark's class path; tables with an id are read in ranges of it."""
+    out = {}
+    for name in names or TABLES:
+        reader = spark.read.format("jdbc").options(url=url, dbtable=name, **options)
+        if name == "token_definitions":
+            edge = spark.read.format("jdbc").options(url=url, query=f"SELECT min(id) AS low, max(id) AS high FROM {name}", **options).load().first()
+            if edge["low"] is not None:
+                reader = reader.options(partitionColumn="id", lowerBound=str(edge["low"]), upperBound=str(edge["high"]), numPartitions=str(parts))
+        out[name] = _shaped(reader.load(), name)
+    return out
+
+
+SQLITE_TYPES = {"token_ids": "binary", **{c: "string" for c in ("surface", "root", "lemma", "pos", "features", "clitics", "corpus", "title", "original_id", "tags", "book_meta", "author_meta", "author", "genre")}, "paginated": "boolean"}
+
+
+def read_sqlite(spark: SparkSession, path: str, names: list[str] | None = None, rows: int = 50_000) -> dict[str, DataFrame]:
+    """The same from a SQLite file that every executor can open at ``path``; tasks read ranges of row ids."""
+    import sqlite3
+    from contextlib import closing
+
+    with closing(sqlite3.connect(f"file:{path}?mode=ro", uri=True)) as db:
+        have = {name: [r[1] for r in db.execute(f"PRAGMA table_info({name})")] for name in names or TABLES}
+        edges = {name: db.execute(f"SELECT min(rowid), max(rowid) FROM {name}").fetchone() for name, columns in have.items() if columns}
+    out = {}
+    for name, columns in have.items():
+        if not columns:
+            raise FileNotFoundError(f"{path} has no table {name}")
+        schema = ", ".join(f"{c} {SQLITE_TYPES.get(c, 'bigint')}" for c in columns)
+        low, high = edges[name]
+        ranges = spark.range(low or 0, (high or -1) + 1, rows, -(-((high or -1) + 1 - (low or 0)) // rows) or 1)
+        out[name] = _shaped(ranges.mapInArrow(_sqlite_rows(path, name, columns, rows), schema), name)
+    return out
+
+
+def _sqlite_rows(path: str, name: str, columns: list[str], rows: int):  # noqa: ANN202
+    def run(it):  # noqa: ANN001, ANN202
+        import sqlite3
+        from contextlib import closing
+
+        import pyarrow as pa
+
+        kinds = {"binary": pa.binary(), "string": pa.string(), "boolean": pa.bool_(), "bigint": pa.int64()}
+        with closing(sqlite3.connect(f"file:{path}?mode=ro", uri=True)) as db:
+            for b in it:
+                for at in b.column(0).to_pylist():
+                    got = db.execute(f"SELECT {', '.join(columns)} FROM {name} WHERE rowid >= ? AND rowid < ?", (at, at + rows)).fetchall()
+                    cells = list(zip(*got)) if got else [()] * len(columns)
+                    arrays = []
+                    for c, values in zip(columns, cells):
+                        kind = SQLITE_TYPES.get(c, "bigint")
+                        values = [None if v is None else bool(v) if kind == "boolean" else str(v) if kind == "string" else v for v in values]
+                        arrays.append(pa.array(values, kinds[kind]))
+                    yield pa.RecordBatch.from_arrays(arrays, columns)
+
+    return run
+
+
+def write_tables(tables: dict[str, DataFrame], folder: str) -> None:
+    """Lays a corpus down as ``read_tables`` reads it; pages lie by key, so that a page is found in few row groups."""
+    for name, df in tables.items():
+        if name == "page_tokens":
+            df = df.repartitionByRange("text_id", "part_index", "page_id").sortWithinPartitions("text_id", "part_index", "page_id")
+        df.write.parquet(f"{folder}/{name}")
+
+
 def tokens(pages: DataFrame) -> DataFrame:
     """One row for each token position."""
     both = F.arrays_zip(*STREAMS)

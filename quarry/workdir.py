@@ -50,11 +50,11 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         stream.write(bytearray(text.encode()))
     finally:
         stream.close()
-    _, at = _file(spark, path)
-    if fs.exists(at):
-        fs.delete(at, False)
-    if not fs.rename(new, at):
-        raise OSError(f"{path} can't be written")
+    sc, fs_ = spark.sparkContext, spark.sparkContext._jvm.org.apache.hadoop.fs
+    how = sc._gateway.new_array(fs_.Options.Rename, 1)
+    how[0] = fs_.Options.Rename.OVERWRITE
+    context = fs_.FileContext.getFileContext(fs.getUri(), sc._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(new), fs.makeQualified(fs_.Path(path)), how)
 
 
 class Scratch:

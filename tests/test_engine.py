@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quarry.engine import Corpus
 from quarry.operators import highlight, manifest, metadata, nodes, store
 from quarry.operators import tokens as tok
 from quarry.operators.postings import TermIndex, all_of, any_of
@@ -66,7 +67,7 @@ def test_wildcards_against_brute_force(pages, rows):
         assert got == {r[2]: sorted({p + k for p in at(r[10], words) for k in range(len(words))}) for r in rows if at(r[10], words)}, q
 
 
-@pytest.mark.parametrize("d", [0, 1, 2, 5])
+@pytest.mark.parametrize("d", [0, 1, 2, 5, 101, 10_000])
 def test_near_against_brute_force(pages, rows, d):
     s = Search(pages)
     pairs = lambda x, a, b: [(i, j) for i, u in enumerate(x) for j, v in enumerate(b[1]) if u == a and v == b[0] and abs(i - j) <= d]
@@ -80,6 +81,17 @@ def test_near_against_brute_force(pages, rows, d):
     assert ids(s.matching(cross)) == {r[2] for r in rows if any(u == "قال" and v == "كت" and abs(i - j) <= d for i, u in enumerate(r[10]) for j, v in enumerate(r[11]))}
 
 
+def test_near_of_any_distance_on_long_pages(spark):
+    """A pattern over 10,000 words would end the JVM."""
+    def page(i, gap):
+        return (1, 0, i, 1, 1, 100, 1, "", "", "", ["x"] * 50 + ["a"] + ["y"] * (gap - 1) + ["b"] + ["z"] * 20_000, None, None)
+
+    s = Search(corpus.with_strings(spark.createDataFrame([page(1, 1), page(2, 2000), page(3, 9_999), page(4, 10_001)], ingest.PAGES)))
+    near = lambda d: nodes.near(("a", "surface"), ("b", "surface"), d)
+    assert [ids(s.matching(near(d))) for d in (0, 1, 1_999, 2_000, 9_999, 10_000, 10_001)] == [set(), {1}, {1}, {1, 2}, {1, 2, 3}, {1, 2, 3}, {1, 2, 3, 4}]
+    assert {r["page_id"]: r["matched_token_indices"] for r in s.hits(near(10_000)).collect()} == {1: [50, 51], 2: [50, 2050], 3: [50, 10_049]}
+
+
 def test_near_is_monotone_and_phrase_within_and(pages):
     s = Search(pages)
     found = [ids(s.matching(nodes.near(("اب", "surface"), ("كتب", "surface"), d))) for d in range(5)]
@@ -92,10 +104,11 @@ def test_boolean_names_and_empty(pages, rows):
     s = Search(pages)
     node = nodes.combined([("اب", "surface"), ("كت", "lemma")], [("قال", "surface"), ("من", "surface")])
     assert ids(s.matching(node)) == brute(rows, lambda x, y, z: "اب" in x and "كت" in y and ("قال" in x or "من" in x))
+    assert node == nodes.combined([("اب", "surface"), ("كت", "lemma"), ("اب", "surface")], [("قال", "surface"), ("من", "surface"), ("من", "surface")])
     assert s.matching(nodes.combined([], [])).count() == 0 and s.matching(nodes.names([[" "], []])).count() == 0
     two = nodes.names([["اب كتب", "قال"], ["من"]])
     assert ids(s.matching(two)) == brute(rows, lambda x, *_: (bool(at(x, ["اب", "كتب"])) or "قال" in x) and "من" in x)
-    assert "AND" in node.label() and "OR" in node.label()
+    assert node.label() == "(اب AND كت) AND (قال OR من)"
 
 
 def test_clitics_keep_groups_apart_unless_compat(pages, rows):
@@ -224,13 +237,16 @@ def test_manifests(spark, tmp_path):
     assert tuple(manifest.download_size(missing).first()) == (30, ["b", "c", "e"])
     assert [r["name"] for r in manifest.orphans(remote, local).collect()] == ["d"]
     assert manifest.read_manifest(spark, str(tmp_path / "none.json"), manifest.LOCAL) is None
+    assert not manifest.is_complete(local, disk) and manifest.is_complete(local.where("name in ('a', 'b')"), disk)
+    assert not manifest.is_complete(local.where("name = 'e'"), disk)
     r, here = {"min_app_version": "0.5.0", "schema_version": 1, "corpus_version": "2"}, {"schema_version": 1, "corpus_version": "1"}
-    assert manifest.corpus_status(None, None, 0, "1.0.0") == "offline" and manifest.corpus_status(r, here, 0, "0.4.9") == "app_too_old"
-    assert manifest.corpus_status(r, None, 0, "1.0.0") == "not_downloaded" and manifest.corpus_status(r, here, 2, "1.0.0") == "update_available"
-    assert manifest.corpus_status(r, here | {"schema_version": 2}, 0, "1.0.0") == "schema_update" and manifest.corpus_status(r, here, 0, "1.0.0") == "up_to_date"
-    rel = spark.createDataFrame([("1.3.0", "1.0.0", [("1.1.0", "", False, "", None), ("1.2.0", "", True, "", None)])], manifest.RELEASES)
-    get = lambda v: tuple(manifest.update_status(rel, v).first())[1:]
-    assert get("0.9.0") == (True, True) and get("1.1.0") == (True, True) and get("1.2.0") == (True, False) and get("1.3.0") == (False, False)
+    x = manifest.corpus_status(r, here, "1.0.0", (30, ["b"]))
+    assert not x.ready and x.update_available and (x.missing_files, x.total_download_size, x.local_version, x.remote_version) == (["b"], 30, "1", "2")
+    assert "at least 0.5.0" in manifest.corpus_status(r, here, "0.4.9").error
+    rel = spark.createDataFrame([("1.3.0", "1.0.0", [("1.1.0", "", False, "new", ("w", "m", "l")), ("1.2.0", "", True, "", None)])], manifest.RELEASES)
+    row = manifest.update_status(rel, "1.1.0", "windows").first()
+    assert (row["update_required"], row["update_available"], row["release_notes"], row["download_url"], row["min_supported_version"]) == (True, True, "new", "w", "1.0.0")
+    assert manifest.update_status(rel.withColumn("releases", F.slice("releases", 1, 0)), "x").first()["release_notes"] is None
 
 
 def test_announcements(spark):
@@ -256,6 +272,79 @@ def test_exports(spark, pages, tmp_path):
     assert [tuple(r) for r in ranges] == [(3, 6)]
 
 
+def test_unknown_author_and_workbook(spark, tmp_path):
+    from zipfile import ZipFile
+
+    schema = "id bigint, author_id bigint, death_ah bigint, genre_id bigint, page_count bigint"
+    books = spark.createDataFrame([(1, None, None, 1, 5), (2, 5, 300, 1, 1), (3, 5, 200, None, 2), (4, 6, 90, 1, 3)], schema)
+    authors, genres = spark.createDataFrame([(5, "<A> & \x01b")], "id bigint, author string"), spark.createDataFrame([(1, "g")], "id bigint, genre string")
+    rollup = metadata.author_rollup(books, authors, genres)
+    assert {r["author_id"]: (r["author"], r["death_ah"]) for r in rollup.collect()} == {-1: ("Unknown", None), 5: ("<A> & \x01b", 200), 6: ("Unknown", 90)}
+    sheet = export.authors_sheet(rollup)
+    assert "Unknown,,,1,5,g" in {r["value"] for r in export.csv_lines(sheet).collect()}
+    export.write_xlsx({"Authors": sheet, "Other": genres}, str(tmp_path / "a.xlsx"))
+    with ZipFile(tmp_path / "a.xlsx") as z:
+        import xml.etree.ElementTree as ET
+
+        assert z.testzip() is None and all(ET.fromstring(z.read(n)) is not None for n in z.namelist())
+        one = z.read("xl/worksheets/sheet1.xml").decode()
+        assert one.count("<row ") == 4 and "&lt;A&gt; &amp; b" in one and '<c r="C2"><v>90</v></c>' in one and 'name="Authors"' in z.read("xl/workbook.xml").decode()
+    with pytest.raises(ValueError):
+        export.write_xlsx({"Authors": sheet}, str(tmp_path / "b.xlsx"), most=2)
+
+
+def test_corpus_opens_from_a_folder_and_a_database(spark, pages, tmp_path):
+    import sqlite3
+
+    d, packed = tok.dictionary_of(corpus.tokens(pages))
+    books = spark.createDataFrame([(i, "c", f"T{i}", i % 3, 100 + i, 1, 2, 3, 4, "o", True, None, None, None) for i in range(5)], "id bigint, corpus string, title string, author_id bigint, death_ah bigint, century_ah bigint, genre_id bigint, page_count bigint, token_count bigint, original_id string, paginated boolean, tags string, book_meta string, author_meta string")
+    tables = {"page_tokens": packed, "token_definitions": d.definitions, "roots": d.roots, "lemmas": d.lemmas, "pos_types": d.pos_types, "feature_sets": d.feature_sets, "clitic_sets": d.clitic_sets, "books": books, "authors": spark.createDataFrame([(0, "A"), (1, "B")], "id bigint, author string"), "genres": spark.createDataFrame([(2, "g")], "id bigint, genre string")}
+    folder, user = str(tmp_path / "corpus"), str(tmp_path / "user")
+    corpus.write_tables(tables, folder)
+    pages.drop("surface_j", "lemma_j", "root_j").write.parquet(f"{folder}/pages")
+    with sqlite3.connect(tmp_path / "corpus.db") as db:
+        for name, df in tables.items():
+            db.execute(f"CREATE TABLE {name} ({', '.join(df.columns).replace('text_id', 'book_id')})")
+            db.executemany(f"INSERT INTO {name} VALUES ({', '.join('?' * len(df.columns))})", [tuple(bytes(v) if isinstance(v, bytearray) else v for v in r) for r in df.collect()])
+    here, there = Corpus.open(spark, folder, user), Corpus.open_database(spark, f"{folder}/pages", str(tmp_path / "corpus.db"), user, server=True)
+    plain = lambda df: sorted(map(str, df.collect()))
+    key = tuple(packed.where("length(token_ids) > 8").select("text_id", "part_index", "page_id").first())
+    want = plain(here.all_tokens().where(f"text_id = {key[0]} and part_index = {key[1]} and page_id = {key[2]}"))
+    for c in (here, there):
+        assert plain(c.page_tokens(key)) == want and len(want) > 2
+        assert c.token_at(key, 1).count() == 1 and c.token_at(key, 999).count() == 0
+        assert tuple(c.stats().first()) == (60, 5) and plain(c.books()) == plain(books) and c.book(3).first()["title"] == "T3"
+        assert c.authors().count() == 2 and c.genres().count() == 1 and c.centuries().first()["n_books"] == 5 and c.search_authors("AAA").count() == 0
+        assert c.list_books(genre_id=2).count() == 5 and c.list_books_filtered(death_ah_min=103).count() == 2
+        assert c.enriched(c.search("اب", "surface")).count() == min(50, len(ids(c.matching(nodes.term("اب", "surface")))))
+    assert plain(there.all_tokens()) == plain(here.all_tokens()) and there.max_limit == 100
+    here.store.put("collections", store.create_collection(here.store.get("collections"), "mine", [1, 4], "t"))
+    assert sorted(r["id"] for r in there.text_selection(metadata.BookFilter(death_min=102), ["mine"]).collect()) == [4]
+    assert there.text_selection(metadata.BookFilter(text="t1")).count() == 1
+    with pytest.raises(FileNotFoundError):
+        corpus.read_tables(spark, str(tmp_path / "none"))
+    with pytest.raises(ValueError):
+        Corpus(pages, {}).store  # noqa: B018
+
+
+def test_selections(spark):
+    assert metadata.toggled([1, 2], [2, 3]) == [1, 2, 3] and metadata.toggled([1, 2, 3], [2, 3]) == [1] and metadata.toggled([], []) == []
+    t = lambda *x: spark.createDataFrame([(i,) for i in x], "id bigint")
+    assert metadata.selection_differs(t(1, 2), t(1)) and not metadata.selection_differs(t(1, 2), t(2, 1))
+
+
+def test_reader_and_snippet(spark):
+    df = spark.createDataFrame([(1, 0, 1, "قال، الإ1مام abc رحمه الله", [1]), (1, 0, 2, "abc", [])], "text_id int, part_index int, page_id int, body string, matched_token_indices array<int>")
+    spans = {r["page_id"]: [(x["text"], x["token"], x["lit"]) for x in r["spans"]] for r in highlight.reader_spans(df).collect()}
+    assert spans[1][:6] == [("قال", 0, False), ("،", None, False), (" ", None, False), ("الإ", 1, True), ("1", None, False), ("مام", 1, True)]
+    assert "".join(x[0] for x in spans[1]) == df.first()["body"] and spans[2] == [(c, None, False) for c in "abc"]
+    tokens = spark.createDataFrame([(1, 0, 1, 1, "الإمام")], "text_id int, part_index int, page_id int, idx int, surface string")
+    got = {r["at"]: r["surface"] for r in highlight.reader_tokens(highlight.reader_spans(df), tokens).where("page_id = 1").collect()}
+    assert got[3] == got[5] == "الإمام" and got[0] is None and len(got) == len(spans[1])
+    cut = lambda size, before: [r[0] for r in df.select(highlight.kwic(F.col("body"), F.col("matched_token_indices"), size, before)).collect()]
+    assert cut(50, 5) == ["قال، الإ1مام abc رحمه الله", "abc"] and cut(2, 0)[0] == "… الإ1مام abc رحمه"
+
+
 def test_author_search_needs_three_bytes(spark):
     authors = spark.createDataFrame([(1, "ابو"), (2, "Xab")], "id bigint, author string")
     books = spark.createDataFrame([(1, 1, 90)], "id bigint, author_id bigint, death_ah bigint")
