@@ -14,7 +14,7 @@ rare words count little. A text fails where the weights of its distinct words
 reach the language's threshold: the score that at most ``clean_share`` of the
 clean rows reach when each half of the sample is scored by weights fitted on the
 other half, or a third of the median score of the toxic rows where that is more. The sample is at most ``toxic_rows`` and ``clean_rows`` rows of each of
-at most ``languages`` languages, those of the smallest hash of the id. A null
+at most ``languages`` languages, those of the smallest MD5 of the id. A null
 language, or one without weights, is judged by weights over all languages.
 
 Edge cases: a null, empty or blank text is rejected by ``has_text``; rows are
@@ -118,7 +118,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", p: Fit = Fi
     largest = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(p.languages).collect()]
     if not largest:
         return Toxicity({}, {})
-    nth = F.row_number().over(Window.partitionBy("lang", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    nth = F.row_number().over(Window.partitionBy("lang", "toxic").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id"))
     drawn = rows.where(reduce(lambda a, b: a | b, (F.col("lang").eqNullSafe(x) for x in largest))).withColumn("nth", nth)
     drawn = drawn.where(F.col("nth") <= F.when(F.col("toxic") == 1, p.toxic_rows).otherwise(p.clean_rows)).select("doc_id", F.col("lang").alias("of"), "toxic")
     one = docs.select("doc_id", text).join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "of", "toxic").agg(F.min(text).alias("body"))
@@ -214,14 +214,19 @@ def cascade(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text"
     return reduce(lambda a, b: a & b, (F.coalesce(m.rule.ok, F.lit(False)) for m in ordered))
 
 
-def judge(docs: DataFrame, text: str = "text", sample_rows: int = 1000) -> DataFrame:
+def all_rules(docs: DataFrame, labels: DataFrame | None, text: str = "text") -> list[Rule]:
+    """The default rules and, with ``labels``, the toxicity that they teach."""
+    rules = default_rules(text)
+    if labels is not None:
+        rules.append(toxicity_rule(toxicity(docs, labels, text), "lang" in docs.columns, text))
+    return rules
+
+
+def judge(docs: DataFrame, text: str = "text", sample_rows: int = 1000, labels: DataFrame | None = None) -> DataFrame:
     """``doc_id, kept`` for every row."""
-    return docs.select("doc_id", cascade(docs, text=text, sample_rows=sample_rows).alias("kept"))
+    return docs.select("doc_id", cascade(docs, all_rules(docs, labels, text), text, sample_rows).alias("kept"))
 
 
 def keep_good(docs: DataFrame, text: str = "text", sample_rows: int = 1000, labels: DataFrame | None = None) -> DataFrame:
-    """The rows that pass, with all their columns. With ``labels`` the toxicity that they teach is a rule too."""
-    rules = default_rules(text)
-    if labels is not None:
-        rules.append(toxicity_rule(toxicity(docs, labels, text), "lang" in docs.columns, text))
-    return docs.where(cascade(docs, rules, text, sample_rows))
+    """The rows that pass, with all their columns."""
+    return docs.where(cascade(docs, all_rules(docs, labels, text), text, sample_rows))

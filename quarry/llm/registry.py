@@ -31,7 +31,7 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(_table(spark, sf_dir, "documents"))
+    return quality.judge(_table(spark, sf_dir, "documents"), labels=_table(spark, sf_dir, "labels"))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,9 +58,31 @@ QUERIES = {q.__name__: q for q in (op1_packing, op2_near_dedup, op3_mixing, op4_
 
 ORACLES: dict[str, str] = {}
 
+# '*' stands for all languages.
 ORACLES["op5_quality"] = rf"""
+WITH marked AS (SELECT doc_id, max(toxic) AS toxic FROM labels WHERE doc_id IS NOT NULL AND toxic IS NOT NULL GROUP BY doc_id),
+all_ AS (SELECT doc_id, min(lang) AS lang, min(toxic) AS toxic, min(text) AS text FROM documents JOIN marked USING (doc_id) WHERE length(trim(text)) > 0 GROUP BY doc_id),
+r AS (SELECT * FROM all_ WHERE coalesce(lang, '') IN (SELECT coalesce(lang, '') FROM all_ GROUP BY lang ORDER BY count(*) DESC, lang NULLS FIRST LIMIT {quality.Fit.languages})
+      QUALIFY row_number() OVER (PARTITION BY lang, toxic ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) <= CASE toxic WHEN 1 THEN {quality.Fit.toxic_rows} ELSE {quality.Fit.clean_rows} END),
+g AS (SELECT lang AS g, * FROM r WHERE lang IS NOT NULL UNION ALL SELECT '*' AS g, * FROM r),
+h AS (SELECT *, (row_number() OVER (PARTITION BY g, toxic ORDER BY doc_id) - 1) % 2 AS half FROM g),
+w AS (SELECT g, doc_id, toxic, half, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9\x{{80}}-\x{{10FFFF}}]+'))) AS word FROM h),
+fits AS (SELECT DISTINCT g, fit FROM h, range(0, 3) f(fit) WHERE g IN (SELECT g FROM h GROUP BY g HAVING min(toxic) = 0 AND max(toxic) = 1)),
+sizes AS (SELECT g, fit, count(DISTINCT CASE WHEN toxic = 1 THEN doc_id END) AS nt, count(DISTINCT CASE WHEN toxic = 0 THEN doc_id END) AS nc
+          FROM w JOIN fits USING (g) WHERE half <> fit GROUP BY ALL),
+counts AS (SELECT g, fit, word, sum(toxic) AS t, sum(1 - toxic) AS c FROM w JOIN fits USING (g) WHERE half <> fit GROUP BY ALL),
+lows AS (SELECT g, fit, word, t, ln((t + 0.5) / (nt + 1)) - ln((c + 0.5) / (nc + 1)) - 1.64 * sqrt(1 / (t + 0.5) + 1 / (c + 0.5)) AS low FROM counts JOIN sizes USING (g, fit)),
+weights AS (SELECT * FROM lows WHERE t >= 3 AND low >= 1 QUALIFY row_number() OVER (PARTITION BY g, fit ORDER BY low DESC, word) <= 500),
+scores AS (SELECT h.g, h.doc_id, h.toxic, coalesce(sum(low), 0) AS score FROM h JOIN fits ON h.g = fits.g AND fits.fit = h.half
+           LEFT JOIN w ON w.g = h.g AND w.doc_id = h.doc_id LEFT JOIN weights x ON x.g = h.g AND x.fit = fits.fit AND x.word = w.word GROUP BY ALL),
+cleans AS (SELECT g, list_sort(list(score)) AS c FROM scores WHERE toxic = 0 GROUP BY g),
+limits AS (SELECT g, c[len(c) - CAST(floor(0.005 * len(c)) AS BIGINT)] AS above, greatest(2.0, median(score) / 3) AS least FROM scores JOIN cleans USING (g) WHERE toxic = 1 GROUP BY ALL),
+d AS (SELECT *, row_number() OVER () AS rid FROM documents),
+of AS (SELECT rid, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9\x{{80}}-\x{{10FFFF}}]+'))) AS word, CASE WHEN lang IN (SELECT g FROM limits) THEN lang ELSE '*' END AS g FROM d),
+toxic AS (SELECT rid FROM of JOIN weights USING (g, word) JOIN limits USING (g) WHERE fit = 2 GROUP BY rid, above, least HAVING sum(low) > above AND sum(low) >= least)
 SELECT doc_id, coalesce(
   regexp_matches(text, '\S')
+  AND rid NOT IN (SELECT rid FROM toxic)
   AND len(regexp_extract_all(text, '[#$%&*]{{2,}}')) <= 0.015 * length(text)
   AND length(text) - length(replace(text, '|', '')) <= 0.015 * length(text)
   AND (length(text) < 50 OR len(regexp_extract_all(text, '\p{{Lu}}')) <= 0.3 * length(text))
@@ -68,7 +90,7 @@ SELECT doc_id, coalesce(
   AND len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1])) <= 0.2 * len(w)
   AND (length(text) < 50 OR len(regexp_extract_all(text, '[^\p{{L}}\s]')) <= 0.4 * length(text))
   AND len(regexp_extract_all(lower(text), '\b({'|'.join(quality.BLOCKLIST)})\b')) < 2, false) AS kept
-FROM (SELECT *, regexp_extract_all(text, '\S+') AS w FROM documents)
+FROM (SELECT *, regexp_extract_all(text, '\S+') AS w FROM d)
 """
 
 ORACLES["op3_mixing"] = """
