@@ -359,11 +359,9 @@ def cut_spans(docs: DataFrame, found: DataFrame, repeats: bool = False) -> DataF
     rows = docs.select(F.col("doc_id").alias("id"), fingerprint(docs["text"], repeats).alias("f"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     rows = rows.join(cuts, ["id", "f"], "left")
 
-    @F.pandas_udf("string")
-    def rest(text, cuts):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        return pd.Series([cut(t, c) for t, c in zip(text, cuts)], dtype=object)
+    @F.arrow_udf("string")
+    def rest(text: pa.Array, cuts: pa.Array) -> pa.Array:
+        return pa.array((cut(t.as_py(), c.as_py()) for t, c in zip(text, cuts)), pa.string())
 
     text = F.when(F.col("cuts").isNull(), F.col("row.text")).otherwise(F.col("new"))
     # Only documents with spans pass through Python.

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
-PIECE = 1 << 19
+PIECE = 1 << 17
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[list(b" \t\n\r\x0b\x0c")] = True
 #: Only ASCII letters and digits, and all beyond ASCII, count as parts of words.
@@ -123,8 +123,8 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def batches(it: Iterator[pa.RecordBatch], text: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of about ``limit`` bytes of text, so that memory doesn't grow with the length of the documents."""
+def batches(it: Iterator[pa.RecordBatch], text: int, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of about ``limit`` bytes of text, or of one longer text, so that what is computed from them stays small."""
     for b in it:
         sizes = pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).cumsum()
         at = 0
