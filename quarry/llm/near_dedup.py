@@ -204,11 +204,11 @@ def tasks(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def verified(pairs: DataFrame, words: DataFrame, p: Params) -> DataFrame:
+def verified(pairs: DataFrame, words: DataFrame, p: Params, scratch: Scratch) -> DataFrame:
     """The (a, b) of ``pairs`` that are near, by streaming each hub's members past its words."""
-    per_hub = pairs.groupBy("a").agg(F.ceil(F.count("*") / p.fan).cast("int").alias("salts"))
+    per_hub = scratch.write(pairs.groupBy("a").agg(F.ceil(F.count("*") / p.fan).cast("int").alias("salts")), "salts")
     hubs = per_hub.join(words.hint("merge"), per_hub["a"] == words["doc_id"]).select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("bigint").alias("b"), "w")
-    members = pairs.join(per_hub, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b")
+    members = pairs.join(per_hub.hint("merge"), "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b")
     members = members.join(words.hint("merge"), members["b"] == words["doc_id"]).select("a", "salt", "b", "w")
     # A number is given, as adaptive execution would join partitions by their bytes, which say little of the work.
     rows = hubs.unionByName(members).repartition(tasks(pairs), "a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
@@ -383,7 +383,7 @@ def groups(docs: DataFrame, p: Params = Params(), scratch: Scratch | None = None
     needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text").join(needed.hint("merge"), "doc_id", "left_semi")
     words = scratch.write(word_ids(texts, repeats), "words")
-    found = scratch.write(verified(pairs, words, p), "found")
+    found = scratch.write(verified(pairs, words, p, scratch), "found")
     comp = scratch.write(components(found, scratch), "components")
     more = scratch.write(across(members.drop("a"), comp, exact, words, p, scratch), "across")
     links = scratch.write(found.union(more).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")

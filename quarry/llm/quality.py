@@ -120,6 +120,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", p: Fit = Fi
         return Toxicity({}, {})
     nth = F.row_number().over(Window.partitionBy("lang", "toxic").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id"))
     drawn = rows.where(reduce(lambda a, b: a | b, (F.col("lang").eqNullSafe(x) for x in largest))).withColumn("nth", nth)
+    # The plain bound lets each task drop what can't be among the first.
+    drawn = drawn.where(F.col("nth") <= max(p.toxic_rows, p.clean_rows))
     drawn = drawn.where(F.col("nth") <= F.when(F.col("toxic") == 1, p.toxic_rows).otherwise(p.clean_rows)).select("doc_id", F.col("lang").alias("of"), "toxic")
     one = docs.select("doc_id", text).join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "of", "toxic").agg(F.min(text).alias("body"))
     # The driver sorts, so that the halves don't depend on the order of tasks.
