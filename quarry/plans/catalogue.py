@@ -23,6 +23,7 @@ from quarry.operators import tokens as tok
 from quarry.operators.postings import TermIndex, all_of, any_of
 from quarry.operators.search import KEY, Filters, Search, in_order
 from quarry.sources import corpus, export
+from quarry.streaming import ingest
 from quarry.workdir import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -376,6 +377,17 @@ add("index_all_of", lambda s, d: all_of([index(s, d).term(OF), index(s, d).term(
 add("index_any_of", lambda s, d: any_of([index(s, d).term(OF), index(s, d).term(AND)]).select(*KEY), f"{P} SELECT text_id, part_index, page_id FROM p WHERE {on(OF)} OR {on(AND)}")
 add("term_frequency", lambda s, d: index(s, d).frequencies(), f"{P} SELECT surface AS term, count(DISTINCT page_id) AS n_pages, count(*) AS n FROM t GROUP BY surface")
 
+
+
+@query(f"{P} SELECT text_id, part_index, page_id FROM p WHERE {on(OF)} AND {on(AND)}")
+def standing_query(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored pages as files that arrive, matched by a stream until all are through."""
+    root = Scratch(spark).root
+    arriving = ingest.page_stream(spark, pages(spark, sf)._scratch_path)
+    ingest.to_parquet(ingest.standing_query(arriving, nodes.combined([_s(OF), _s(AND)])), f"{root}/hits", f"{root}/log").awaitTermination()
+    return spark.read.parquet(f"{root}/hits").select(*KEY)
+
+
 # Tokens.
 
 
