@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-from quarry.functions import arabic
+from quarry.functions import arabic, arrow
 
 
 def snippet_bounds(n_tokens: Column, center: Column, before: int = 10, after: int = 20, most_before: int | None = None) -> Column:
@@ -35,27 +42,62 @@ def reader_spans(pages: DataFrame, text: str = "body", positions: str = "matched
     """``pages`` with a column ``spans``: the text in pieces, each with its token (null between tokens) and whether it is highlighted.
 
     A piece is a run of characters of one token, or a single character of none.
+    Texts go through numpy in slices of bounded size, and come back in as many batches.
     """
-
-    @F.pandas_udf("array<struct<text:string,token:int,lit:boolean>>")
-    def run(texts, matched):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        return pd.Series([pieces(t or "", set(m if m is not None else ())) for t, m in zip(texts, matched)])
-
-    return pages.withColumn("spans", run(text, positions))
-
-
-def pieces(text: str, matched: set[int]) -> list[dict]:
-    out: list[dict] = []
-    for ch, token in zip(text, arabic.token_map(text)):
-        if token is not None and out and out[-1]["token"] == token and out[-1]["open"]:
-            out[-1]["text"] += ch
-            continue
-        if out:
-            out[-1]["open"] = False
-        out.append({"text": ch, "token": token, "lit": token is not None and token in matched, "open": True})
-    return [{k: x[k] for k in ("text", "token", "lit")} for x in out]
+    kept = [f for f in pages.schema.fields if f.name != "spans"]
+    names, kind = [f.name for f in kept], "array<struct<text:string,token:int,lit:boolean>>"
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for part in arrow.text_slices(b, text):
+                yield pa.RecordBatch.from_arrays([*part.columns, spans_of(part.column(text), part.column(positions))], [*names, "spans"])
+
+    return pages.select(*[F.col(f"`{n}`") for n in names]).mapInArrow(run, StructType([*kept, StructField("spans", _parse_datatype_string(kind))]))
+
+
+def spans_of(texts: pa.Array, matched: pa.Array) -> pa.Array:
+    points, n = arrow.code_points(texts)
+    row = np.repeat(np.arange(len(n)), n)
+    kind = _kinds()[points]
+    # A token begins at a letter whose neighbour before it, signs left out, is none.
+    solid = np.flatnonzero(kind != _SIGN)
+    letter = kind[solid] == _LETTER
+    after = np.zeros(len(solid), bool)
+    after[1:] = letter[:-1] & (row[solid[1:]] == row[solid[:-1]])
+    begins = np.zeros(len(points), np.int64)
+    begins[solid] = letter & ~after
+    count = np.concatenate([np.zeros(1, np.int64), np.cumsum(begins)])
+    token = count[1:] - 1 - count[arrow.starts(n)[:-1]][row]
+    joined = np.zeros(len(points), bool)
+    joined[1:] = (kind[1:] == _LETTER) & (kind[:-1] == _LETTER) & (row[1:] == row[:-1])
+    first = np.flatnonzero(~joined)
+    inside, token, row = kind[first] == _LETTER, token[first], row[first]
+    if isinstance(matched, pa.ChunkedArray):
+        matched = matched.combine_chunks()
+    m = pc.list_value_length(matched).fill_null(0).to_numpy(zero_copy_only=False)
+    marks = pa.array(matched.flatten()).cast(pa.int64())
+    known = marks.is_valid().to_numpy(zero_copy_only=False)
+    wide = int(token.max(initial=0)) + 2
+    at, of = np.repeat(np.arange(len(m)), m)[known], marks.drop_null().to_numpy(zero_copy_only=False)
+    here = (of >= 0) & (of < wide)
+    lit = inside & np.isin(row * wide + token, at[here] * wide + of[here])
+    pieces = pa.StructArray.from_arrays(
+        [arrow.strings(points, np.diff(np.append(first, len(points)))), pa.array(token.astype(np.int32), mask=~inside), pa.array(lit)], ["text", "token", "lit"]
+    )
+    return arrow.lists(np.bincount(row, minlength=len(n)), pieces)
+
+
+_SIGN, _LETTER = 1, 2
+
+
+@functools.cache
+def _kinds() -> np.ndarray:
+    """By code point: a sign that belongs to no token but ends none, a letter of a token, or anything else (0)."""
+    table = np.zeros(arrow.ALL, np.uint8)
+    for c in range(0x10000):
+        if not 0xD800 <= c < 0xE000:
+            table[c] = _SIGN if arabic._SKIP_RE.match(chr(c)) else _LETTER if arabic._ARABIC_RE.match(chr(c)) else 0
+    return table
 
 
 def reader_tokens(spans: DataFrame, tokens: DataFrame) -> DataFrame:
