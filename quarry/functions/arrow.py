@@ -74,3 +74,10 @@ def marked(characters: str) -> np.ndarray:
     table = np.zeros(ALL, bool)
     table[[ord(c) for c in characters]] = True
     return table
+
+
+def blob_values(blobs: pa.Array, kind: str) -> np.ndarray:
+    """The numbers in consecutive binaries."""
+    blobs = blobs.cast(pa.large_binary())
+    at = np.frombuffer(blobs.buffers()[1], np.int64)[blobs.offset : blobs.offset + len(blobs) + 1]
+    return np.frombuffer((blobs.buffers()[2] or pa.py_buffer(b"")).slice(at[0], at[-1] - at[0]).to_pybytes() if len(blobs) else b"", kind)

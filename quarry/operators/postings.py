@@ -2,7 +2,8 @@
 
 ``write_term_index`` in ``quarry.sources.corpus`` lays down one row for each term
 and page (term, page key, positions), range-partitioned and sorted by term, so
-that a lookup is pushed to Parquet and reads the row groups of its terms only. A
+that a lookup is pushed to Parquet and reads the row groups of its terms only. The
+pages of a term come in no order. A
 phrase or a pair of near terms joins just those postings by page.
 """
 
