@@ -52,6 +52,20 @@ def strings(points: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.StringArray.from_buffers(len(lengths), pa.py_buffer(offsets), pa.py_buffer(data))
 
 
+def split_strings(joined: pa.Array) -> pa.Array:
+    """The tokens of strings that have one space before, between and after them, as lists; only spaces are looked for, byte by byte."""
+    whole = joined.cast(pa.large_string())
+    at = np.frombuffer(whole.buffers()[1], np.int64)[whole.offset : whole.offset + len(whole) + 1]
+    data = np.frombuffer(whole.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    at = at - at[0]
+    spaces = np.flatnonzero(data == 32)
+    counts = np.where(np.diff(at) > 2, np.diff(np.searchsorted(spaces, at)) - 1, 0)
+    lengths = np.diff(spaces) - 1
+    lengths = lengths[lengths > 0]
+    tokens = pa.StringArray.from_buffers(len(lengths), pa.py_buffer(starts(lengths).astype(np.int32)), pa.py_buffer(data[data != 32]))
+    return lists(counts, tokens, joined.is_null().to_numpy(zero_copy_only=False))
+
+
 def lists(counts: np.ndarray, values: pa.Array, null: np.ndarray | None = None) -> pa.Array:
     mask = pa.array(null) if null is not None and null.any() else None
     return pa.ListArray.from_arrays(pa.array(starts(counts), pa.int32()), values, mask=mask)
@@ -76,8 +90,14 @@ def marked(characters: str) -> np.ndarray:
     return table
 
 
-def blob_values(blobs: pa.Array, kind: str) -> np.ndarray:
+def blob_values(blobs: pa.Array, kind: str | np.dtype) -> np.ndarray:
     """The numbers in consecutive binaries."""
     blobs = blobs.cast(pa.large_binary())
     at = np.frombuffer(blobs.buffers()[1], np.int64)[blobs.offset : blobs.offset + len(blobs) + 1]
     return np.frombuffer((blobs.buffers()[2] or pa.py_buffer(b"")).slice(at[0], at[-1] - at[0]).to_pybytes() if len(blobs) else b"", kind)
+
+
+def blobs(values: np.ndarray, begin: np.ndarray) -> pa.Array:
+    """Binaries of consecutive numbers, from where each begins."""
+    ends = (np.append(begin, len(values)) * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))])

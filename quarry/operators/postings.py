@@ -2,7 +2,9 @@
 
 ``write_term_index`` in ``quarry.sources.corpus`` lays down one row for each term
 and page (term, page key, positions), range-partitioned and sorted by term, so
-that a lookup is pushed to Parquet and reads the row groups of its terms only. The
+that a lookup is pushed to Parquet and reads the row groups of its terms only.
+``write_term_segments`` packs the postings of a block of pages, in groups of
+consecutive terms; a lookup unpacks what it needs of the groups of its terms. The
 pages of a term come in no order. A
 phrase or a pair of near terms joins just those postings by page.
 """
@@ -11,15 +13,19 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.sources import corpus
+
 KEY = ["text_id", "part_index", "page_id"]
 
 
 class TermIndex:
     def __init__(self, postings: DataFrame):
         self.postings = postings
+        self.packed = "terms" in postings.columns
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> TermIndex:
@@ -27,14 +33,23 @@ class TermIndex:
 
     def term(self, word: str) -> DataFrame:
         """Page key and ``positions`` of a term."""
+        if self.packed:
+            groups = self.postings.where((F.col("first") <= word) & (F.col("last") >= word))
+            return corpus.unpacked(groups, lambda terms: pc.equal(terms, word)).select(*KEY, "positions")
         return self.postings.where(F.col("term") == word).select(*KEY, "positions")
 
+    def _starting(self, start: str, end: str) -> DataFrame:
+        least = len(start) + len(end)
+        if self.packed:
+            groups = self.postings.where((F.col("last") >= start) & ((F.col("first") < start) | F.col("first").startswith(start)))
+            fits = lambda terms: pc.and_(pc.starts_with(terms, start), pc.and_(pc.ends_with(terms, end), pc.greater_equal(pc.utf8_length(terms), least)))
+            return corpus.unpacked(groups, fits)
+        c = F.col("term").startswith(start)
+        return self.postings.where(c & F.col("term").endswith(end) & (F.length("term") >= least) if end else c)
+
     def prefix(self, start: str, end: str = "") -> DataFrame:
         """Of all terms with a start and, for an infix wildcard, an end that doesn't overlap it."""
-        c = F.col("term").startswith(start)
-        if end:
-            c = c & F.col("term").endswith(end) & (F.length("term") >= len(start) + len(end))
-        found = self.postings.where(c).groupBy(*KEY).agg(F.flatten(F.collect_list("positions")).alias("p"))
+        found = self._starting(start, end).groupBy(*KEY).agg(F.flatten(F.collect_list("positions")).alias("p"))
         return found.select(*KEY, F.array_sort("p").alias("positions"))
 
     def phrase(self, words: list[str]) -> DataFrame:
@@ -54,6 +69,8 @@ class TermIndex:
 
     def frequencies(self) -> DataFrame:
         """``term, n_pages, n``."""
+        if self.packed:
+            return corpus.counted(self.postings).groupBy("term").agg(F.sum("n_pages").alias("n_pages"), F.sum("n").alias("n"))
         return self.postings.groupBy("term").agg(F.count("*").alias("n_pages"), F.sum(F.size("positions")).alias("n"))
 
 
