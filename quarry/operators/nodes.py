@@ -157,13 +157,11 @@ class Near(Node):
     right: Phrase
     distance: int
 
-    def _any_of(self, side: Phrase) -> Column:
-        return F.array(*[F.lit(s.start) for s in side.slots])
-
     def _spots(self, side: Phrase) -> Column:
-        tokens = F.col(side.stream)
-        spots = F.filter(F.sequence(F.lit(0), F.size(tokens) - 1), lambda p: F.array_contains(self._any_of(side), F.get(tokens, p)))
-        return F.when(F.size(tokens) > 0, spots).otherwise(_none())
+        # The tokens are an argument, not a name inside the function: there they would be split again for each word.
+        words = [s.start for s in side.slots]
+        at = F.transform(F.col(side.stream), lambda token, p: F.when(token.isin(words), p).otherwise(-1))
+        return F.coalesce(F.filter(at, lambda p: p >= 0), _none())
 
     def matches(self) -> Column:
         single = len(self.left.slots) == len(self.right.slots) == 1
@@ -179,8 +177,8 @@ class Near(Node):
         # In the sorted positions of both sides the closest pair stands side by side: no pairs, and any distance costs the same.
         tag = lambda side, bit: F.transform(self._spots(side), lambda p: p * 2 + bit)
         both = F.array_sort(F.concat(tag(self.left, 0), tag(self.right, 1)))
-        steps = F.zip_with(F.slice(both, F.lit(1), F.greatest(F.size(both) - 1, F.lit(0))), F.slice(both, 2, F.size(both)), lambda x, y: (x % 2 != y % 2) & (F.shiftright(y, 1) - F.shiftright(x, 1) <= self.distance))
-        return present & F.exists(steps, lambda near: near)
+        steps = lambda both: F.zip_with(F.slice(both, F.lit(1), F.greatest(F.size(both) - 1, F.lit(0))), F.slice(both, 2, F.size(both)), lambda x, y: (x % 2 != y % 2) & (F.shiftright(y, 1) - F.shiftright(x, 1) <= self.distance))
+        return present & F.exists(F.array(both), lambda once: F.exists(steps(once), lambda near: near))
 
     def _reach(self, spots: Column) -> Column:
         return F.flatten(F.transform(spots, lambda p: F.sequence(p - self.distance, p + self.distance)))
