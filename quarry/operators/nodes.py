@@ -53,6 +53,10 @@ class Node:
     def label(self) -> str:
         raise NotImplementedError
 
+    def streams(self) -> set[str]:
+        """Which token streams it reads."""
+        raise NotImplementedError
+
 
 @dataclass(frozen=True)
 class Nothing(Node):
@@ -65,6 +69,9 @@ class Nothing(Node):
     def label(self) -> str:
         return ""
 
+    def streams(self) -> set[str]:
+        return set()
+
 
 @dataclass(frozen=True)
 class Slot:
@@ -110,6 +117,9 @@ class Phrase(Node):
         covered = starts if n == 1 else F.flatten(F.transform(starts, lambda p: F.sequence(p, p + (n - 1))))
         return F.when(F.size(tokens) >= n, F.array_sort(F.array_distinct(covered))).otherwise(_none())
 
+    def streams(self) -> set[str]:
+        return {self.stream}
+
     def label(self) -> str:
         return " ".join(s.start if s.exact else f"{s.start}*{s.end}" for s in self.slots)
 
@@ -124,6 +134,9 @@ class And(Node):
     def positions(self) -> Column:
         return _union([p.positions() for p in self.parts])
 
+    def streams(self) -> set[str]:
+        return set().union(*(p.streams() for p in self.parts))
+
     def label(self) -> str:
         plain = [p.label() for p in self.parts if not isinstance(p, Or)]
         groups = [f"({p.label()})" for p in self.parts if isinstance(p, Or)]
@@ -141,6 +154,9 @@ class Or(Node):
     def positions(self) -> Column:
         return _union([p.positions() for p in self.parts])
 
+    def streams(self) -> set[str]:
+        return set().union(*(p.streams() for p in self.parts))
+
     def label(self) -> str:
         return " OR ".join(p.label() for p in self.parts)
 
@@ -191,6 +207,9 @@ class Near(Node):
         close = lambda x, ys: F.filter(x, lambda p: F.exists(ys, lambda q: F.abs(p - q) <= self.distance))
         return F.array_sort(F.array_union(close(l, r), close(r, l)))
 
+    def streams(self) -> set[str]:
+        return self.left.streams() | self.right.streams()
+
     def label(self) -> str:
         return f"{self.left.label()} ~{self.distance} {self.right.label()}"
 
